@@ -2,9 +2,9 @@
 
 The benchmark's windows (WINDOW consecutive words, or a whole item that has fewer) become a table with one row per
 distinct window: a 64-bit hash, its words, its items. It is broadcast if its measured size is at most
-BROADCAST_BYTES; a larger one is joined by a shuffle on the hash, same plan otherwise. Each document becomes its
-array of window hashes in one narrow pass; explode, hash lookup and the check of the words themselves run fused,
-so a window that is not in the benchmark never becomes a stored row. A closing entry in every array carries the
+BROADCAST_BYTES; a larger one is joined by shuffles, first on the hash and then on the words at the places found.
+Each document becomes its array of window hashes in one narrow pass; explode, hash lookup and the check of the words
+themselves run fused, so a window that is not in the benchmark never becomes a stored row. A closing entry in every array carries the
 document through the same join, so documents without hits need no second scan.
 
 Defined results: null has no words; a document with no hits has n_items 0 and the digest of the empty string;
@@ -65,15 +65,12 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broad
         F.lit(CLOSING).cast("long").alias("hash"), F.lit(0).alias("size"),
         F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items"),
     )
-    hashed = hashed.unionByName(closing)
-    if (facts["bytes"] or 0) <= broadcast_bytes:
-        hashed = F.broadcast(hashed)
-
     d = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"), words(F.col("text")).alias("__w"))
     d = d.withColumn("__n", F.size("__w")).withColumn("__h", F.transform("__w", lambda x: F.xxhash64(x)))
     all_hashes = F.concat(*[_hashes("__h", "__n", s) for s in sizes], F.array(F.lit(CLOSING).cast("long")))
     d = d.select("__doc", "__text", "__n", "__w", all_hashes.alias("__all"))
-    rows = d.select("__doc", "__text", "__n", "__w", F.posexplode("__all").alias("__i", "__hash"))
+    # outer: else Spark infers a filter on the array and pushes it, all hashes with it, below the words' projection
+    rows = d.select("__doc", "__text", "__n", "__w", F.posexplode_outer("__all").alias("__i", "__hash"))
 
     # entry __i of the joined arrays: which size it belongs to, and where its window starts
     before, start, size_at, last = F.lit(0), None, None, F.lit(0)
@@ -85,18 +82,37 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broad
         before = before + count
         last = before
     is_closing = F.col("__i") == last
-    same = (F.col("size") == size_at) & (F.slice("__w", start + 1, F.col("size")) == F.col("win"))
-    hit = rows.join(
-        hashed,
-        (F.col("__hash") == F.col("hash"))
-        & F.when(is_closing, F.col("size") == 0).otherwise(F.when(F.col("size") > 0, same).otherwise(F.lit(False))),
-    ).select(
-        "__doc", "__text", "__n",
-        F.when(~is_closing, F.struct(start.alias("start"), (start + F.col("size")).alias("end"))).alias("span"),
-        "items",
-        F.when(is_closing, 1).otherwise(0).alias("closing"),
-    )
-    per = hit.groupBy("__doc", "__text", "__n").agg(
+    key = ["__doc", "__text", "__n"]
+    span = F.struct(start.alias("start"), (start + F.col("size")).alias("end"))
+    if (facts["bytes"] or 0) <= broadcast_bytes:
+        same = (F.col("size") == size_at) & (F.slice("__w", start + 1, F.col("size")) == F.col("win"))
+        hit = rows.join(
+            F.broadcast(hashed.unionByName(closing)),
+            (F.col("__hash") == F.col("hash"))
+            & F.when(is_closing, F.col("size") == 0).otherwise(F.when(F.col("size") > 0, same).otherwise(F.lit(False))),
+        ).select(
+            *key,
+            F.when(~is_closing, span).alias("span"),
+            "items",
+            F.when(is_closing, 1).otherwise(0).alias("closing"),
+        )
+    else:
+        # no words in the exploded rows: hash hits first, then the words at those places, joined as they stand
+        places = (
+            rows.filter(~is_closing)
+            .select(*key, "__i", size_at.alias("size"), F.col("__hash").alias("hash"))
+            .join(hashed.select("hash", "size"), ["hash", "size"], "left_semi")
+            .groupBy(*key).agg(F.collect_set("__i").alias("__places"))
+            .select(F.col("__doc").alias("__d"), F.col("__text").alias("__t"), "__places")
+        )
+        found = d.join(places, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")))
+        found = found.select(*key, "__w", F.explode("__places").alias("__i"))
+        found = found.select(*key, start.alias("__start"), F.slice("__w", start + 1, size_at).alias("win")).join(wins, "win")
+        span = F.struct(F.col("__start").alias("start"), (F.col("__start") + F.col("size")).alias("end"))
+        hit = found.select(*key, span.alias("span"), "items", F.lit(0).alias("closing")).unionByName(
+            d.select(*key, F.lit(1).alias("closing")), allowMissingColumns=True
+        )
+    per = hit.groupBy(*key).agg(
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.sum("closing").cast("int").alias("copies"),
