@@ -6,8 +6,10 @@ from ridgeline.llm.decontaminate import OP9_SQL, op9_decontamination
 from ridgeline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from ridgeline.llm.language_id import op3_language_id
 from ridgeline.llm.license_scan import op1_license_scan
+from ridgeline.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
     "op8_exact_dedup": op8_exact_dedup,
