@@ -6,9 +6,11 @@ from ridgeline.llm.decontaminate import OP9_SQL, op9_decontamination
 from ridgeline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from ridgeline.llm.language_id import op3_language_id
 from ridgeline.llm.license_scan import op1_license_scan
+from ridgeline.llm.near_dedup import OP7_SQL, op7_near_dedup
 from ridgeline.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op7_near_dedup": op7_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
@@ -16,6 +18,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 ORACLE: dict[str, str] = {
+    "op7_near_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_decontamination": OP9_SQL,
 }
