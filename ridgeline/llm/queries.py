@@ -7,9 +7,11 @@ from ridgeline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from ridgeline.llm.language_id import op3_language_id
 from ridgeline.llm.license_scan import op1_license_scan
 from ridgeline.llm.near_dedup import OP7_SQL, op7_near_dedup
+from ridgeline.llm.packing import op6_packing
 from ridgeline.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op1_license_scan": op1_license_scan,
