@@ -9,8 +9,10 @@ from ridgeline.llm.license_scan import op1_license_scan
 from ridgeline.llm.near_dedup import OP7_SQL, op7_near_dedup
 from ridgeline.llm.packing import op6_packing
 from ridgeline.llm.toxicity import op2_toxicity
+from ridgeline.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -20,6 +22,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 ORACLE: dict[str, str] = {
+    "op4_warc": OP4_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_decontamination": OP9_SQL,
