@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ridgeline.llm.chat import OP5_SQL, op5_chat
 from ridgeline.llm.decontaminate import OP9_SQL, op9_decontamination
 from ridgeline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from ridgeline.llm.language_id import op3_language_id
@@ -12,6 +13,7 @@ from ridgeline.llm.toxicity import op2_toxicity
 from ridgeline.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op5_chat": op5_chat,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
@@ -22,6 +24,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 ORACLE: dict[str, str] = {
+    "op5_chat": OP5_SQL,
     "op4_warc": OP4_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
