@@ -9,10 +9,12 @@ from ridgeline.llm.language_id import op3_language_id
 from ridgeline.llm.license_scan import op1_license_scan
 from ridgeline.llm.near_dedup import OP7_SQL, op7_near_dedup
 from ridgeline.llm.packing import op6_packing
+from ridgeline.llm.secrets import op10_secrets
 from ridgeline.llm.toxicity import op2_toxicity
 from ridgeline.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op10_secrets": op10_secrets,
     "op5_chat": op5_chat,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
