@@ -1,6 +1,693 @@
-"""Every registered query of the engine's own operators, with its SQL."""
+"""Every registered query of the engine's own operators, with its SQL where SQL can express it.
+
+All queries run over whole tables. The standard log is a view of `lineitem`: four parameters in the box [-6, 6]^4,
+their target value, a phase.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ridgeline.config import Projection, ScanConfig, VolumeConfig
+from ridgeline.functions import phases
+from ridgeline.functions.nuisance import Nuisance
+from ridgeline.functions.sampling import umbrella, undiscovered
+from ridgeline.functions.targets import PEAK, Target
+from ridgeline.operators import grid as G
+from ridgeline.operators import pool as P
+from ridgeline.operators import profile as R
+from ridgeline.operators import state as S
+from ridgeline.sources import samples as L
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+XS = ["x0", "x1", "x2", "x3"]
+BOX = [(-6.0, 6.0)] * 4
+TARGET = Target("himmelblau", 4)
+VIEW = {
+    "x0": "-6e0 + 12 * (l_quantity - 1) / 49", "x1": "-6e0 + 12 * l_discount / 1e-1", "x2": "-6e0 + 12 * l_tax / 8e-2",
+    "x3": "-6e0 + 12 * (l_partkey % 997) / 996e0", "phase": "cast(l_linenumber % 5 as int)",
+}
+ROI = 60.0
+P01 = Projection.of([0, 1], [24, 10], BOX)
+P2 = Projection.of([2], [8], BOX)
+P012 = Projection.of([0, 1, 2], [12, 10, 8], BOX)
+PHI = ["x2", "x3"]
+EXTENT = [12.0, 12.0]
+
+
+def log(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*[f"{v} as {k}" for k, v in VIEW.items()])
+    return t.withColumn("logl", TARGET.column(XS))
+
+
+def cell_sql(x: str, lo: float, hi: float, n: int) -> str:
+    return f"CAST(greatest(0, least({n}, round_even(({x} - ({lo!r}e0)) / {hi - lo!r}e0 * {n}, 0))) AS INTEGER)"
+
+
+def cells_sql(p: Projection) -> str:
+    return ", ".join(f"{cell_sql(f'x{d}', *p.box(k), p.grid_points[k])} AS i{k}" for k, d in enumerate(p.dims))
+
+
+LOG_SQL = f"v AS (SELECT {', '.join(f'{v} AS {k}' for k, v in VIEW.items())} FROM lineitem), log AS (SELECT *, {TARGET.sql(XS)} AS logl FROM v)"
+STATE_SQL = LOG_SQL + f""", c AS (SELECT *, {cells_sql(P01)} FROM log), state AS (
+  SELECT i0, i1, logl, x2, x3 FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 ORDER BY logl DESC, x2, x3) AS k FROM c) t WHERE k = 1)"""
+
+
+def near_sql(kind: str = "moore", k: int = 1) -> str:
+    return ", o AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in G.offsets(2, kind, k)) + ") t(a, b))"
+
+
+def state(spark: SparkSession, sf: str) -> DataFrame:
+    """The best point of every cell of the plane (0, 1), ties to the smallest parameters."""
+    return R.best_per_cell(G.with_cells(log(spark, sf), P01), P01.cells, "logl", PHI)
+
+
+def r6(c: str) -> F.Column:
+    return F.round(F.col(c), 6)
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+# -- targets ---------------------------------------------------------------------------------------------------
+
+
+def _target_query(name: str, expression: str, inputs: str) -> None:
+    stats = "SELECT phase, count(*) AS n, round(min(f), 6) AS low, round(max(f), 6) AS high, round(avg(f), 5) AS mean FROM f GROUP BY phase"
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        f = log(spark, sf).select("phase", F.expr(expression).alias("f"))
+        return f.groupBy("phase").agg(
+            F.count("*").alias("n"), F.round(F.min("f"), 6).alias("low"), F.round(F.max("f"), 6).alias("high"), F.round(F.avg("f"), 5).alias("mean")
+        )
+
+    register(name, f"WITH {LOG_SQL}, f AS (SELECT phase, {expression} AS f FROM log) {stats}")(query)
+
+
+for _n in ("sphere", "rosenbrock", "himmelblau", "eggholder", "rastrigin", "ackley", "griewank", "michalewicz", "styblinski_tang", "levy", "schwefel"):
+    _target_query(f"target_{_n}", Target(_n, 4).sql(XS), "")
+_target_query("target_beale", Target("beale", 2).sql(XS[:2]), "")
+for _mode in ("shift", "scale", "rotation", "additive", "mixed"):
+    for _pen in ("gaussian", "soft_uniform"):
+        _target_query(f"target_nuisance_{_mode}_{_pen}", Nuisance(Target("rosenbrock", 2), 2, _mode, _pen, sigma=2.0).sql(XS), "")
+
+
+@register(
+    "target_nuisance_uniform",
+    f"WITH {LOG_SQL}, f AS (SELECT phase, {Nuisance(Target('sphere', 2), 2, 'shift', 'uniform', sigma=2.0).sql(XS)} AS f FROM log) "
+    "SELECT phase, count(*) AS n, count(*) FILTER (WHERE f > -1e300) AS inside, round(max(f), 6) AS high FROM f GROUP BY phase",
+)
+def target_nuisance_uniform(spark, sf):
+    f = log(spark, sf).select("phase", F.expr(Nuisance(Target("sphere", 2), 2, "shift", "uniform", sigma=2.0).sql(XS)).alias("f"))
+    return f.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("f") > -1e300).alias("inside"), F.round(F.max("f"), 6).alias("high"))
+
+
+@register("target_catalogue", "SELECT name, peak FROM (VALUES " + ", ".join(f"('{k}', {v!r}e0)" for k, v in PEAK.items()) + ") t(name, peak)")
+def target_catalogue(spark, sf):
+    return spark.createDataFrame(list(PEAK.items()), "name string, peak double")
+
+
+# -- grids and cells ---------------------------------------------------------------------------------------------
+
+
+@register("grid_axes", "SELECT 0 AS axis, 0 AS dim, CAST(i AS INTEGER) AS i, -6e0 + 12e0 * i / 24 AS coord FROM range(25) t(i) UNION ALL SELECT 1, 1, CAST(i AS INTEGER), -6e0 + 12e0 * i / 10 FROM range(11) t(i)")
+def grid_axes(spark, sf):
+    return G.axes(spark, P01)
+
+
+@register("grid_cross_2d", "SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, -6e0 + 12e0 * i / 24 AS g0, -6e0 + 12e0 * j / 10 AS g1 FROM range(25) a(i), range(11) b(j)")
+def grid_cross_2d(spark, sf):
+    return G.grid(spark, P01)
+
+
+@register("cell_assign", f"WITH {LOG_SQL} SELECT {cells_sql(P012)}, count(*) AS n FROM log GROUP BY 1, 2, 3")
+def cell_assign(spark, sf):
+    return G.with_cells(log(spark, sf), P012).groupBy(*P012.cells).agg(F.count("*").alias("n"))
+
+
+@register("cell_ties", f"SELECT i AS k, {cell_sql('(i / 2e0)', 0.0, 10.0, 10)} AS cell FROM range(-3, 26) t(i)")
+def cell_ties(spark, sf):
+    return spark.range(-3, 26).select(F.col("id").alias("k"), G.cell_index(F.col("id") / 2.0, 0.0, 10.0, 10).alias("cell"))
+
+
+# -- profiles ----------------------------------------------------------------------------------------------------
+
+
+@register("profile_1d", f"WITH {LOG_SQL} SELECT {cells_sql(P2)}, round(max(logl), 6) AS logl FROM log GROUP BY 1")
+def profile_1d(spark, sf):
+    return R.best_per_cell(G.with_cells(log(spark, sf), P2), P2.cells).withColumn("logl", r6("logl"))
+
+
+@register("profile_2d", f"WITH {LOG_SQL} SELECT {cells_sql(P01)}, round(max(logl), 6) AS logl, count(*) AS n FROM log GROUP BY 1, 2")
+def profile_2d(spark, sf):
+    return G.with_cells(log(spark, sf), P01).groupBy(*P01.cells).agg(F.round(F.max("logl"), 6).alias("logl"), F.count("*").alias("n"))
+
+
+@register("profile_argmax_2d", f"WITH {STATE_SQL} SELECT i0, i1, round(logl, 6) AS logl, round(x2, 6) AS x2, round(x3, 6) AS x3 FROM state")
+def profile_argmax_2d(spark, sf):
+    return state(spark, sf).select("i0", "i1", r6("logl").alias("logl"), r6("x2").alias("x2"), r6("x3").alias("x3"))
+
+
+@register("profile_delta", f"WITH {STATE_SQL} SELECT i0, i1, round(logl - max(logl) OVER (), 6) AS delta FROM state")
+def profile_delta(spark, sf):
+    return R.with_delta(state(spark, sf)).select("i0", "i1", r6("delta").alias("delta"))
+
+
+_P3 = f"{LOG_SQL}, c AS (SELECT *, {cells_sql(P012)} FROM log), p AS (SELECT i0, i1, i2, max(logl) AS logl FROM c GROUP BY 1, 2, 3)"
+
+
+def profile3(spark, sf):
+    return R.best_per_cell(G.with_cells(log(spark, sf), P012), P012.cells)
+
+
+@register(
+    "profile_3d_marginal",
+    f"WITH {_P3} " + " UNION ALL ".join(f"SELECT 'i{a}' AS a, 'i{b}' AS b, i{a} AS ia, i{b} AS ib, round(max(logl), 6) AS logl FROM p GROUP BY i{a}, i{b}" for a, b in ((0, 1), (0, 2), (1, 2))),
+)
+def profile_3d_marginal(spark, sf):
+    return R.pair_marginals(profile3(spark, sf), P012.cells).withColumn("logl", r6("logl"))
+
+
+@register(
+    "profile_3d_slice",
+    f"WITH {_P3}, b AS (SELECT i2 FROM p ORDER BY logl DESC, i0, i1, i2 LIMIT 1) SELECT i0, i1, round(logl, 6) AS logl FROM p WHERE i2 = (SELECT i2 FROM b)",
+)
+def profile_3d_slice(spark, sf):
+    return R.slice_at_best(profile3(spark, sf), P012.cells, ["i0", "i1"]).withColumn("logl", r6("logl"))
+
+
+@register("param_median_map", f"WITH {LOG_SQL} SELECT {cells_sql(P01)}, round(median(x3), 6) AS x3 FROM log GROUP BY 1, 2")
+def param_median_map(spark, sf):
+    return R.median_map(G.with_cells(log(spark, sf), P01), P01.cells, "x3").withColumn("x3", r6("x3"))
+
+
+@register(
+    "wilks_interval_1d",
+    f"WITH {LOG_SQL}, c AS (SELECT {cell_sql('x0', -6.0, 6.0, 24)} AS i0, max(logl) AS logl FROM log GROUP BY 1), d AS (SELECT -6e0 + 12e0 * i0 / 24 AS g0, logl - max(logl) OVER () AS delta FROM c) "
+    "SELECT level, round(min(g0), 6) AS lo, round(max(g0), 6) AS hi FROM d, (VALUES ('near', -5e0), ('far', -50e0)) l(level, cut) WHERE delta >= cut GROUP BY level",
+)
+def wilks_interval_1d(spark, sf):
+    p = Projection.of([0], [24], BOX)
+    prof = G.with_coordinates(R.best_per_cell(G.with_cells(log(spark, sf), p), p.cells), p)
+    return R.wilks_intervals(prof, "g0", {"near": -5.0, "far": -50.0}).select("level", r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+@register("lnl_histogram", f"WITH {LOG_SQL}, h AS (SELECT least(CAST(floor((logl + 100) / 5e0) AS INTEGER), 19) AS bin FROM log WHERE logl BETWEEN -100 AND 0) SELECT CAST(b.bin AS INTEGER) AS bin, count(h.bin) AS n FROM range(20) b(bin) LEFT JOIN h ON h.bin = b.bin GROUP BY 1")
+def lnl_histogram(spark, sf):
+    return R.histogram(log(spark, sf), "logl", -100.0, 0.0, 20)
+
+
+# -- filters -----------------------------------------------------------------------------------------------------
+
+for _strict, _op in ((True, ">"), (False, ">=")):
+
+    @register(f"roi_filter_{'strict' if _strict else 'inclusive'}", f"WITH {STATE_SQL} SELECT i0, i1, round(logl, 6) AS logl FROM state WHERE logl {_op} (SELECT max(logl) FROM state) - 60e0")
+    def roi_filter(spark, sf, strict=_strict):
+        return R.in_roi(state(spark, sf), ROI, strict=strict).select("i0", "i1", r6("logl").alias("logl"))
+
+
+@register("phase_filter", f"WITH {LOG_SQL} SELECT phase, count(*) AS n, round(max(logl), 6) AS logl FROM log WHERE phase = 2 GROUP BY phase")
+def phase_filter(spark, sf):
+    return log(spark, sf).filter("phase = 2").groupBy("phase").agg(F.count("*").alias("n"), F.round(F.max("logl"), 6).alias("logl"))
+
+
+@register(
+    "phase_legend",
+    "SELECT j AS job, coalesce(p, -1) AS phase, coalesce(l, 'unknown') AS legend FROM (VALUES "
+    + ", ".join(f"('{j}', {p}, '{phases.PHASES[p]}')" for j, p in phases.JOB_PHASE.items()) + ", ('OTHER', NULL, NULL)) t(j, p, l)",
+)
+def phase_legend(spark, sf):
+    jobs = spark.createDataFrame([(j,) for j in [*phases.JOB_PHASE, "OTHER"]], "job string")
+    return jobs.withColumn("phase", phases.phase_column(F.col("job"))).withColumn("legend", phases.legend_column(F.col("phase")))
+
+
+@register("bounds_filter", f"WITH {LOG_SQL} SELECT phase, count(*) AS n FROM log WHERE x0 BETWEEN -3 AND 4 AND x1 BETWEEN -6 AND 0 AND x2 BETWEEN -1 AND 6 AND x3 BETWEEN -5 AND 5 GROUP BY phase")
+def bounds_filter(spark, sf):
+    return log(spark, sf).filter(G.inside(XS, [(-3, 4), (-6, 0), (-1, 6), (-5, 5)])).groupBy("phase").agg(F.count("*").alias("n"))
+
+
+@register("band_samples", f"WITH {LOG_SQL} SELECT round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3, round(logl, 6) AS logl FROM log WHERE logl >= (SELECT max(logl) FROM log) - 30e0")
+def band_samples(spark, sf):
+    return R.in_roi(log(spark, sf), 30.0).select(*[r6(x).alias(x) for x in [*XS, "logl"]])
+
+
+# -- logs --------------------------------------------------------------------------------------------------------
+
+
+@register("log_union", f"WITH {LOG_SQL}, u AS (SELECT * FROM log WHERE phase = 0 UNION ALL SELECT * FROM log WHERE phase = 0 UNION ALL SELECT * FROM log WHERE phase = 3) SELECT phase, count(*) AS n FROM u GROUP BY phase")
+def log_union(spark, sf):
+    d = log(spark, sf)
+    return L.combine([d.filter("phase = 0"), d.filter("phase = 0"), d.filter("phase = 3")]).groupBy("phase").agg(F.count("*").alias("n"))
+
+
+@register("log_csv_roundtrip", f"WITH {LOG_SQL} SELECT phase, count(*) AS n, round(max(logl), 6) AS logl, round(sum(x3), 4) AS s FROM log GROUP BY phase")
+def log_csv_roundtrip(spark, sf):
+    from ridgeline.sources.store import stored
+
+    cols = [*XS, "logl", "phase"]
+    text = stored(log(spark, sf).select(L.text_line(cols).alias("value")), "text")
+    path = text.inputFiles()[0].rsplit("/", 1)[0] + "-csv"
+    L.write_log(log(spark, sf).select(*cols), path, "csv")
+    return L.read_log(spark, path, cols, "csv").groupBy("phase").agg(F.count("*").alias("n"), F.round(F.max("logl"), 6).alias("logl"), F.round(F.sum("x3"), 4).alias("s"))
+
+
+@register("log_format_text", f"WITH {LOG_SQL} SELECT DISTINCT printf('%.10e', x0) || ', ' || printf('%.10e', x1) AS line FROM log")
+def log_format_text(spark, sf):
+    return log(spark, sf).select(L.text_line(["x0", "x1"]).alias("line")).distinct()
+
+
+# -- pools and seeds ---------------------------------------------------------------------------------------------
+
+
+@register("warm_start_seeds", f"WITH {STATE_SQL} SELECT i0, i1, round(logl, 6) AS logl, round(x2, 6) AS x2, round(x3, 6) AS x3 FROM state WHERE logl >= (SELECT max(logl) FROM state) - 60e0")
+def warm_start_seeds(spark, sf):
+    return P.seeds(log(spark, sf), P01, ROI, PHI).select("i0", "i1", *[r6(x).alias(x) for x in ("logl", "x2", "x3")])
+
+
+_ORDER = "logl DESC, x0, x1, x2, x3"
+
+
+@register("pool_topn", f"WITH {LOG_SQL} SELECT round(logl, 6) AS logl, round(x0, 6) AS x0, round(x3, 6) AS x3 FROM (SELECT * FROM log ORDER BY {_ORDER} LIMIT 10000) t")
+def pool_topn(spark, sf):
+    return P.pool_of(log(spark, sf), 4, "logl", *XS).select(*[r6(x).alias(x) for x in ("logl", "x0", "x3")])
+
+
+@register("pool_best_per_cell", f"WITH {LOG_SQL}, p AS (SELECT * FROM log ORDER BY {_ORDER} LIMIT 10000) SELECT {cells_sql(P01)}, round(max(logl), 6) AS logl FROM p GROUP BY 1, 2")
+def pool_best_per_cell(spark, sf):
+    p = P.pool_of(log(spark, sf), 4, "logl", *XS)
+    return R.best_per_cell(G.with_cells(p, P01), P01.cells).withColumn("logl", r6("logl"))
+
+
+@register("pbest_archive", f"WITH {STATE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY logl DESC, i0, i1) AS k, count(*) OVER () AS n FROM state) SELECT i0, i1, k FROM r WHERE k <= greatest(1, floor(n * 1e-1))")
+def pbest_archive(spark, sf):
+    s = state(spark, sf)  # one row per cell of the grid, so the ranking is bounded by the grid
+    n = s.agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(0.1))).alias("most"))
+    w = Window.orderBy(F.desc("logl"), "i0", "i1")
+    return s.withColumn("k", F.row_number().over(w)).join(F.broadcast(n)).filter("k <= most").select("i0", "i1", F.col("k").cast("long").alias("k"))
+
+
+# -- neighbourhoods ----------------------------------------------------------------------------------------------
+
+for _name, _kind, _k in (("moore_neighbours", "moore", 1), ("von_neumann_neighbours", "cross", 1), ("k_ring", "ring", 3)):
+
+    @register(_name, f"WITH {STATE_SQL}{near_sql(_kind, _k)} SELECT s.i0 AS i0, s.i1 AS i1, count(*) AS n, round(max(t.logl), 6) AS best FROM state s, o JOIN state t ON t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b GROUP BY 1, 2")
+    def neighbour_query(spark, sf, kind=_kind, k=_k):
+        return G.with_neighbours(state(spark, sf), P01, kind, k).groupBy("i0", "i1").agg(F.count("*").alias("n"), F.round(F.max("logl_n"), 6).alias("best"))
+
+
+@register("frontier_anti", f"WITH {STATE_SQL}{near_sql()}, inner_ AS (SELECT * FROM state WHERE logl > (SELECT max(logl) FROM state) - 60e0) SELECT DISTINCT s.i0 + o.a AS i0, s.i1 + o.b AS i1 FROM inner_ s, o WHERE s.i0 + o.a BETWEEN 0 AND 24 AND s.i1 + o.b BETWEEN 0 AND 10 AND NOT EXISTS (SELECT 1 FROM inner_ t WHERE t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b)")
+def frontier_anti(spark, sf):
+    s = R.in_roi(state(spark, sf), ROI, strict=True)
+    return G.frontier(s, s, P01)
+
+
+@register("border_majority", f"WITH {STATE_SQL}{near_sql()}, s AS (SELECT *, logl >= (SELECT max(logl) FROM state) - 60e0 AS roi FROM state), a AS (SELECT s.i0 AS i0, s.i1 AS i1, avg(CAST(t.roi AS INTEGER)) AS share FROM s, o JOIN s t ON t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b WHERE NOT s.roi GROUP BY 1, 2) SELECT i0, i1 FROM a WHERE share > 0.5")
+def border_majority(spark, sf):
+    top = R.with_delta(state(spark, sf)).withColumn("roi", F.col("delta") >= -ROI).drop("delta")
+    near = G.with_neighbours(top, P01).filter(~F.col("roi")).groupBy("i0", "i1").agg(F.avg(F.col("roi_n").cast("double")).alias("share"))
+    return near.filter("share > 0.5").select("i0", "i1")
+
+
+_BEST = f"{STATE_SQL}{near_sql()}, b AS (SELECT s.i0 AS i0, s.i1 AS i1, s.logl AS own, t.i0 AS n0, t.i1 AS n1, t.logl AS logl, t.x2 AS x2, t.x3 AS x3, row_number() OVER (PARTITION BY s.i0, s.i1 ORDER BY t.logl DESC, t.i0, t.i1) AS k FROM state s, o JOIN state t ON t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b)"
+
+
+@register("best_neighbour_params", f"WITH {_BEST} SELECT i0, i1, n0, n1, round(logl, 6) AS logl, round(x2, 6) AS x2, CAST(k AS INTEGER) AS rank FROM b WHERE k <= 3")
+def best_neighbour_params(spark, sf):
+    b = S.best_neighbours(state(spark, sf), P01, PHI, 3)
+    return b.select("i0", "i1", "n0", "n1", F.round("logl_n", 6).alias("logl"), F.round("x2_n", 6).alias("x2"), "rank")
+
+
+@register("best_neighbour_one", f"WITH {_BEST} SELECT i0, i1, n0, n1, round(logl, 6) AS logl, round(x3, 6) AS x3 FROM b WHERE k = 1")
+def best_neighbour_one(spark, sf):
+    b = S.best_neighbours(state(spark, sf), P01, PHI, 1)
+    return b.select("i0", "i1", "n0", "n1", F.round("logl_n", 6).alias("logl"), F.round("x3_n", 6).alias("x3"))
+
+
+@register(
+    "patch_candidates",
+    f"WITH {_BEST}, r AS (SELECT i0, i1, logl >= (SELECT max(logl) FROM state) - 60e0 AS roi FROM state), a AS (SELECT s.i0 AS i0, s.i1 AS i1, s.roi AS roi, avg(CAST(t.roi AS INTEGER)) AS share FROM r s, o JOIN r t ON t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b GROUP BY 1, 2, 3) "
+    "SELECT b.i0 AS i0, b.i1 AS i1, round(own, 6) AS own, round(logl, 6) AS better FROM b JOIN a ON a.i0 = b.i0 AND a.i1 = b.i1 WHERE k = 1 AND (roi OR share > 0.5) AND logl > own",
+)
+def patch_candidates(spark, sf):
+    return S.patch_candidates(state(spark, sf), P01, PHI, ROI).select("i0", "i1", r6("logl").alias("own"), F.round("logl_n", 6).alias("better"))
+
+
+_OLD = "old AS (SELECT i0, i1, max(logl) AS was FROM c WHERE phase < 3 GROUP BY 1, 2)"
+
+
+@register("improved_cells", f"WITH {STATE_SQL}, {_OLD} SELECT s.i0 AS i0, s.i1 AS i1, round(logl, 6) AS logl FROM state s LEFT JOIN old ON old.i0 = s.i0 AND old.i1 = s.i1 WHERE was IS NULL OR logl > was")
+def improved_cells(spark, sf):
+    d = G.with_cells(log(spark, sf), P01)
+    return S.improved(R.best_per_cell(d, P01.cells), R.best_per_cell(d.filter("phase < 3"), P01.cells), P01).select("i0", "i1", r6("logl").alias("logl"))
+
+
+# -- suspects ----------------------------------------------------------------------------------------------------
+
+_DIST = f"""{STATE_SQL}{near_sql()}, m AS (
+  SELECT s.i0 AS i0, s.i1 AS i1, s.logl AS logl, s.x2 AS x2, s.x3 AS x3, median(t.x2) AS m2, median(t.x3) AS m3, count(*) AS around
+  FROM state s, o JOIN state t ON t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b GROUP BY 1, 2, 3, 4, 5), d AS (
+  SELECT i0, i1, logl, sqrt(0e0 + ((x2 - m2) / 12e0) * ((x2 - m2) / 12e0) + ((x3 - m3) / 12e0) * ((x3 - m3) / 12e0)) AS distance FROM m WHERE around >= 2)"""
+_MAD = f"""{_DIST}, a AS (SELECT median(distance) AS med FROM d), b AS (SELECT median(abs(distance - (SELECT med FROM a))) AS mad FROM d), t AS (
+  SELECT med, mad, greatest(med + 2e0 * 1.4826e0 * CASE WHEN mad = 0 THEN 1e-12 ELSE mad END, 1e-3) AS threshold FROM a, b)"""
+
+
+@register("suspect_distance", f"WITH {_DIST} SELECT i0, i1, round(distance, 6) AS distance FROM d")
+def suspect_distance(spark, sf):
+    return S.parameter_distance(state(spark, sf), P01, PHI, EXTENT).select("i0", "i1", r6("distance").alias("distance"))
+
+
+@register("suspect_mad", f"WITH {_MAD} SELECT round(med, 6) AS median, round(mad, 6) AS mad, round(threshold, 6) AS threshold FROM t")
+def suspect_mad(spark, sf):
+    d = S.mad_threshold(S.parameter_distance(state(spark, sf), P01, PHI, EXTENT), 2.0)
+    return d.select(*[r6(x).alias(x) for x in ("median", "mad", "threshold")])
+
+
+@register("suspect_capped", f"WITH {_MAD}, q AS (SELECT i0, i1, distance, row_number() OVER (ORDER BY distance DESC, i0, i1) AS rank FROM d, t WHERE distance > threshold AND logl >= (SELECT max(logl) FROM state) - 200e0) SELECT i0, i1, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= (SELECT greatest(1, floor(count(*) * 0.25)) FROM state)")
+def suspect_capped(spark, sf):
+    return S.suspects(state(spark, sf), P01, PHI, EXTENT, 200.0, 2.0).select("i0", "i1", r6("distance").alias("distance"), "rank")
+
+
+@register(
+    "early_exit_eligible",
+    f"WITH {STATE_SQL}{near_sql()}, oo AS (SELECT * FROM o UNION ALL SELECT 0, 0), e AS (SELECT s.i0 AS i0, s.i1 AS i1, count(*) AS around, "
+    "greatest(greatest(max(t.x2) - avg(t.x2), avg(t.x2) - min(t.x2)), greatest(max(t.x3) - avg(t.x3), avg(t.x3) - min(t.x3))) / 12e0 AS spread "
+    "FROM state s, oo JOIN state t ON t.i0 = s.i0 + oo.a AND t.i1 = s.i1 + oo.b GROUP BY 1, 2) SELECT i0, i1, round(spread, 6) AS spread FROM e WHERE around >= 3 AND spread < 4e-1",
+)
+def early_exit_eligible(spark, sf):
+    return S.agreeing(state(spark, sf), P01, PHI, EXTENT, 0.4).select("i0", "i1", r6("spread").alias("spread"))
+
+
+# -- nearest neighbours and envelopes ----------------------------------------------------------------------------
+
+_POOL300 = f"p AS (SELECT x0 AS q0, x1 AS q1, x2 AS q2, x3 AS q3, logl AS fit FROM log ORDER BY {_ORDER} LIMIT 300)"
+
+
+@register(
+    "proximity_knn",
+    f"WITH {LOG_SQL}, {_POOL300}, g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, -6e0 + 12e0 * i / 24 AS g0, -6e0 + 12e0 * j / 10 AS g1 FROM range(25) a(i), range(11) b(j)), "
+    "d AS (SELECT *, ((g0 - q0) / 12e0) * ((g0 - q0) / 12e0) + ((g1 - q1) / 12e0) * ((g1 - q1) / 12e0) AS dist2 FROM g, p), r AS (SELECT *, row_number() OVER (PARTITION BY i0, i1 ORDER BY dist2, fit DESC, q0, q1, q2, q3) AS rank FROM d) "
+    "SELECT i0, i1, CAST(rank AS INTEGER) AS rank, round(dist2, 6) AS dist2 FROM r WHERE rank <= 3",
+)
+def proximity_knn(spark, sf):
+    pool = R.top_n(log(spark, sf), 300, "logl", *XS).select(*[F.col(x).alias(f"q{k}") for k, x in enumerate(XS)], (-F.col("logl")).alias("worse"))
+    out = P.nearest(G.grid(spark, P01), pool, ["i0", "i1"], [("g0", "q0", 12.0), ("g1", "q1", 12.0)], 3, ["worse", "q0", "q1", "q2", "q3"], 300)
+    return out.select("i0", "i1", "rank", r6("dist2").alias("dist2"))
+
+
+@register(
+    "embedding_knn",
+    "WITH q AS (SELECT vec_id AS q, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q, vec_id, list_sum(list_transform(list_zip(qe, embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS dot FROM q, embeddings WHERE vec_id <> q), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS rank FROM d) SELECT q, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
+)
+def embedding_knn(spark, sf):
+    """The five nearest by inner product of every hundredth vector: queries broadcast, best five kept in each task."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    d = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", dot.alias("dot"))
+    w = Window.partitionBy("q").orderBy(F.desc("dot"), "vec_id")
+    return d.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("q", "vec_id", "rank")
+
+
+P23 = Projection.of([2, 3], [8, 12], BOX)
+
+
+@register(
+    "envelope_test",
+    f"WITH {STATE_SQL}, cut AS (SELECT max(logl) - 60e0 AS cut FROM log), e AS (SELECT i0, i1 FROM state WHERE logl >= (SELECT cut FROM cut)), f AS (SELECT {cell_sql('x2', -6.0, 6.0, 8)} AS j0, {cell_sql('x3', -6.0, 6.0, 12)} AS j1, max(logl) AS logl FROM log GROUP BY 1, 2), "
+    f"w AS (SELECT phase, {cells_sql(P01)}, {cell_sql('x2', -6.0, 6.0, 8)} AS j0, {cell_sql('x3', -6.0, 6.0, 12)} AS j1 FROM log) "
+    "SELECT phase, count(*) AS n FROM w WHERE EXISTS (SELECT 1 FROM e WHERE e.i0 = w.i0 AND e.i1 = w.i1) AND EXISTS (SELECT 1 FROM f WHERE f.j0 = w.j0 AND f.j1 = w.j1 AND f.logl >= (SELECT cut FROM cut)) GROUP BY phase",
+)
+def envelope_test(spark, sf):
+    d = log(spark, sf)
+    top = d.agg(F.max("logl").alias("m")).first()["m"]
+    other = R.best_per_cell(G.with_cells(d, P23), P23.cells)
+    return G.envelope(d, [(P01, state(spark, sf)), (P23, other)], top - ROI).groupBy("phase").agg(F.count("*").alias("n"))
+
+
+# -- levels, interpolation, clusters -----------------------------------------------------------------------------
+
+_COARSE = Projection.of([0, 1], [6, 5], BOX)
+_CSQL = f"{LOG_SQL}, k AS (SELECT {cells_sql(_COARSE)}, max(logl) AS logl, avg(x2) AS x2 FROM log GROUP BY 1, 2)"
+
+
+def coarse(spark, sf):
+    return G.with_cells(log(spark, sf), _COARSE).groupBy("i0", "i1").agg(F.max("logl").alias("logl"), F.avg("x2").alias("x2"))
+
+
+@register("coarse_to_fine", f"WITH {_CSQL} SELECT i0 * 3 AS i0, i1 * 3 AS i1, round(logl, 6) AS logl FROM k")
+def coarse_to_fine(spark, sf):
+    return G.coarse_to_fine(coarse(spark, sf), _COARSE, 3).select("i0", "i1", r6("logl").alias("logl"))
+
+
+@register("fine_cells_expand", f"WITH {_CSQL}, e AS (SELECT i0 * 3 + a AS i0, i1 * 3 + b AS i1 FROM k, range(4) x(a), range(4) y(b) WHERE logl >= -60) SELECT DISTINCT CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1 FROM e WHERE i0 <= 18 AND i1 <= 15")
+def fine_cells_expand(spark, sf):
+    return G.fine_cells(coarse(spark, sf).filter("logl >= -60"), _COARSE, 3)
+
+
+_BILINEAR = f"""{_CSQL}, g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, least(i // 3, 5) AS f0, least(j // 3, 4) AS f1 FROM range(19) x(i), range(16) y(j)),
+  w AS (SELECT g.i0 AS i0, g.i1 AS i1, logl, x2, (CASE WHEN a = 1 THEN g.i0 / 3e0 - f0 ELSE 1 - (g.i0 / 3e0 - f0) END) * (CASE WHEN b = 1 THEN g.i1 / 3e0 - f1 ELSE 1 - (g.i1 / 3e0 - f1) END) AS w
+        FROM g, range(2) x(a), range(2) y(b) JOIN k ON k.i0 = f0 + a AND k.i1 = f1 + b),
+  z AS (SELECT i0, i1, sum(w * logl) AS logl, sum(w * x2) AS x2 FROM w GROUP BY 1, 2 HAVING count(*) = 4)"""
+
+
+def fine_grid(spark):
+    return G.grid(spark, Projection.of([0, 1], [18, 15], BOX)).select("i0", "i1")
+
+
+@register("bilinear_interp", f"WITH {_BILINEAR} SELECT i0, i1, round(logl, 6) AS logl, round(x2, 5) AS x2 FROM z")
+def bilinear_interp(spark, sf):
+    out = G.interpolated(fine_grid(spark), coarse(spark, sf), _COARSE, 3, ["logl", "x2"])
+    return out.filter("logl is not null").select("i0", "i1", r6("logl").alias("logl"), F.round("x2", 5).alias("x2"))
+
+
+@register("prescreen_cells", f"WITH {_BILINEAR} SELECT DISTINCT f0 AS i0, f1 AS i1 FROM (SELECT CAST(least(i0 // 3, 5) AS INTEGER) AS f0, CAST(least(i1 // 3, 4) AS INTEGER) AS f1, logl FROM z) t WHERE logl >= (SELECT max(logl) FROM k) - 60e0")
+def prescreen_cells(spark, sf):
+    k = coarse(spark, sf)
+    z = G.interpolated(fine_grid(spark), k, _COARSE, 3, ["logl"])
+    top = k.agg((F.max("logl") - ROI).alias("cut"))
+    z = z.join(F.broadcast(top)).filter("logl >= cut")
+    return z.select(F.expr("cast(least(i0 div 3, 5) as int)").alias("i0"), F.expr("cast(least(i1 div 3, 4) as int)").alias("i1")).distinct()
+
+
+_LAB = f"{STATE_SQL}, lab AS (SELECT *, CASE WHEN logl < -400 THEN -1 WHEN x2 < 0 THEN 0 ELSE 1 END AS label FROM state)"
+
+
+def labelled(spark, sf):
+    return state(spark, sf).withColumn("label", F.when(F.col("logl") < -400, -1).when(F.col("x2") < 0, 0).otherwise(1))
+
+
+@register("boundary_cells", f"WITH {_LAB}{near_sql('cross')} SELECT DISTINCT s.i0 AS i0, s.i1 AS i1 FROM lab s, o JOIN lab t ON t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b WHERE s.label <> t.label")
+def boundary_cells(spark, sf):
+    return S.boundary_cells(labelled(spark, sf), P01)
+
+
+@register("cluster_stats", f"WITH {_LAB} SELECT label, count(*) AS n, round(max(logl), 6) AS best, round(avg(x2), 6) AS x2_mean, round(stddev_pop(x2), 6) AS x2_std, round(avg(x3), 6) AS x3_mean, round(stddev_pop(x3), 6) AS x3_std FROM lab WHERE label >= 0 GROUP BY label")
+def cluster_stats(spark, sf):
+    d = S.cluster_stats(labelled(spark, sf), PHI)
+    return d.select("label", "n", *[r6(c).alias(c) for c in ("best", "x2_mean", "x2_std", "x3_mean", "x3_std")])
+
+
+@register(
+    "idw_candidates",
+    f"WITH {_LAB}, g AS (SELECT CAST(i AS INTEGER) AS q0, CAST(j AS INTEGER) AS q1 FROM range(25) x(i), range(11) y(j)), d AS (SELECT *, CAST((q0 - i0) * (q0 - i0) + (q1 - i1) * (q1 - i1) AS DOUBLE) AS dist2 FROM g, lab WHERE label >= 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY q0, q1 ORDER BY dist2, i0, i1) AS rank FROM d) SELECT q0, q1, label, round(sum(x2 / greatest(sqrt(dist2), 1e-10)) / sum(1 / greatest(sqrt(dist2), 1e-10)), 5) AS x2 FROM r WHERE rank <= 6 GROUP BY 1, 2, 3",
+)
+def idw_candidates(spark, sf):
+    cells = labelled(spark, sf).filter("label >= 0")  # at most the grid's 275 cells
+    near = P.nearest(G.grid(spark, P01).select(F.col("i0").alias("q0"), F.col("i1").alias("q1")), cells, ["q0", "q1"], [("q0", "i0", 1.0), ("q1", "i1", 1.0)], 6, ["i0", "i1"], 275)
+    return S.inverse_distance_candidates(near, ["q0", "q1"], ["x2"]).select("q0", "q1", "label", F.round("x2", 5).alias("x2"))
+
+
+# -- volume and stopping expressions -----------------------------------------------------------------------------
+
+
+@register("assign_levels", "SELECT CAST(k AS INTEGER) AS k, -1e0 - (k + 5e-1) / 200 * 4e0 AS level FROM range(200) t(k)")
+def assign_levels(spark, sf):
+    return spark.range(200).select(F.col("id").cast("int").alias("k"), (F.lit(-1.0) - (F.col("id") + 0.5) / 200 * F.lit(4.0)).alias("level"))
+
+
+@register("umbrella_logpi", f"WITH {LOG_SQL} SELECT phase, round(max(-5e-1 * ((logl + 50e0) / 10e0) * ((logl + 50e0) / 10e0)), 6) AS top, round(avg(-5e-1 * ((logl + 50e0) / 10e0) * ((logl + 50e0) / 10e0)), 4) AS mean FROM log GROUP BY phase")
+def umbrella_logpi(spark, sf):
+    u = log(spark, sf).select("phase", umbrella(F.col("logl"), F.lit(-50.0), F.lit(10.0)).alias("u"))
+    return u.groupBy("phase").agg(F.round(F.max("u"), 6).alias("top"), F.round(F.avg("u"), 4).alias("mean"))
+
+
+@register("volume_summary", f"WITH {LOG_SQL} SELECT count(*) AS n, round(avg(CASE WHEN logl >= (SELECT max(logl) FROM log) - 60e0 THEN 1e0 ELSE 0e0 END), 9) AS in_band, round(max(logl), 6) AS final_max FROM log")
+def volume_summary(spark, sf):
+    d = R.with_delta(log(spark, sf))
+    return d.agg(F.count("*").alias("n"), F.round(F.avg((F.col("delta") >= -ROI).cast("double")), 9).alias("in_band"), F.round(F.max("logl"), 6).alias("final_max"))
+
+
+@register("brk_stop", "SELECT w, n, CASE WHEN w >= 1 AND n - w - 1 > 0 THEN round(w * w / CAST(n - w - 1 AS DOUBLE), 9) END AS undiscovered FROM (SELECT CAST(a AS INTEGER) AS w, CAST(b AS INTEGER) AS n FROM range(6) x(a), range(20) y(b)) t")
+def brk_stop(spark, sf):
+    d = spark.range(120).select(F.expr("cast(id div 20 as int)").alias("w"), (F.col("id") % 20).cast("int").alias("n"))
+    return d.select("w", "n", F.round(undiscovered(F.col("w"), F.col("n")), 9).alias("undiscovered"))
+
+
+@register("lehmer_memory", "SELECT round(sum(l_discount * l_discount) / sum(l_discount), 9) AS f_mean, round(avg(l_tax), 9) AS cr_mean FROM lineitem")
+def lehmer_memory(spark, sf):
+    d = S.lehmer(spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_discount").alias("f"), F.col("l_tax").alias("cr")))
+    return d.select(F.round("f_mean", 9).alias("f_mean"), F.round("cr_mean", 9).alias("cr_mean"))
+
+
+@register("improvement_window", "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS gain FROM events")
+def improvement_window(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
+    return spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", F.round(F.avg("value").over(w), 6).alias("gain"))
+
+
+@register("running_max_drift", "SELECT event_id, max(value) OVER (ORDER BY event_id) AS best_so_far FROM events")
+def running_max_drift(spark, sf):
+    d = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    return R.running_best(d, "event_id", 1024, "value").select("event_id", "best_so_far")
+
+
+@register("call_deltas", "SELECT user_id, event_id, value - lag(value, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events")
+def call_deltas(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", (F.col("value") - F.lag("value", 1, 0.0).over(w)).alias("delta"))
+
+
+@register("snapshot_profile", "WITH t AS (SELECT (event_id // 1000 + 1) * 1000 AS t FROM events GROUP BY 1), b AS (SELECT user_id % 16 AS cell, event_id // 1000 AS k, max(value) AS top FROM events GROUP BY 1, 2) SELECT t, cell, max(top) AS best FROM t JOIN b ON (b.k + 1) * 1000 <= t GROUP BY 1, 2")
+def snapshot_profile(spark, sf):
+    """State at every thousandth evaluation: blocks first, then a running maximum over blocks of a cell."""
+    b = spark.read.parquet(f"{sf}/events.parquet").groupBy((F.col("user_id") % 16).alias("cell"), F.expr("event_id div 1000").alias("k")).agg(F.max("value").alias("top"))
+    blocks = b.select("k").distinct()
+    cells = b.select("cell").distinct()
+    full = blocks.join(F.broadcast(cells)).join(b, ["k", "cell"], "left")  # 16 cells for each block
+    w = Window.partitionBy("cell").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    out = full.select(((F.col("k") + 1) * 1000).alias("t"), "cell", F.max("top").over(w).alias("best"))
+    return out.filter("best is not null")
+
+
+@register("recent_samples", "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 100")
+def recent_samples(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value").orderBy(F.desc("event_id")).limit(100)
+
+
+# -- comparisons of runs -----------------------------------------------------------------------------------------
+
+_RUNS = f"{LOG_SQL}, c AS (SELECT *, {cells_sql(P01)} FROM log), runs AS (SELECT phase AS run, i0, i1, max(logl) AS logl FROM c GROUP BY 1, 2, 3), ref AS (SELECT i0, i1, max(logl) AS ref FROM runs GROUP BY 1, 2)"
+
+
+def runs(spark, sf):
+    return R.best_per_cell(G.with_cells(log(spark, sf), P01), ["phase", *P01.cells]).withColumnRenamed("phase", "run")
+
+
+@register("reference_grid", f"WITH {_RUNS} SELECT i0, i1, round(ref, 6) AS ref FROM ref")
+def reference_grid(spark, sf):
+    return runs(spark, sf).groupBy("i0", "i1").agg(F.round(F.max("logl"), 6).alias("ref"))
+
+
+@register("roi_deficit_coverage", f"WITH {_RUNS}, roi AS (SELECT * FROM ref WHERE ref > (SELECT max(ref) FROM ref) - 60e0) SELECT run, round(avg(ref - logl), 6) AS deficit, round(count(logl) / CAST((SELECT count(*) FROM roi) AS DOUBLE), 9) AS coverage FROM roi JOIN runs ON runs.i0 = roi.i0 AND runs.i1 = roi.i1 GROUP BY run")
+def roi_deficit_coverage(spark, sf):
+    d = runs(spark, sf)
+    roi = R.in_roi(d.groupBy("i0", "i1").agg(F.max("logl").alias("ref")), ROI, "ref", strict=True)
+    n = roi.agg(F.count("*").alias("all"))
+    out = d.join(roi, ["i0", "i1"]).groupBy("run").agg(F.round(F.avg(F.col("ref") - F.col("logl")), 6).alias("deficit"), F.count("*").alias("n")).join(F.broadcast(n))
+    return out.select("run", "deficit", F.round(F.col("n") / F.col("all"), 9).alias("coverage"))
+
+
+@register("grid_diff", f"WITH {_RUNS} SELECT round(max(abs(a.logl - b.logl)), 6) AS largest, round(avg(abs(a.logl - b.logl)), 6) AS mean, count(*) AS n FROM runs a JOIN runs b ON a.i0 = b.i0 AND a.i1 = b.i1 WHERE a.run = 0 AND b.run = 1")
+def grid_diff(spark, sf):
+    d = runs(spark, sf)
+    a, b = (d.filter(F.col("run") == k).select("i0", "i1", F.col("logl").alias(f"v{k}")) for k in (0, 1))
+    gap = F.abs(F.col("v0") - F.col("v1"))
+    return a.join(b, ["i0", "i1"]).agg(F.round(F.max(gap), 6).alias("largest"), F.round(F.avg(gap), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@register(
+    "mann_whitney_u",
+    "WITH e AS (SELECT user_id % 2 AS g, value FROM events), r AS (SELECT g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2e0 AS k FROM e), "
+    "s AS (SELECT sum(k) FILTER (WHERE g = 0) AS r1, count(*) FILTER (WHERE g = 0) AS n1, count(*) FILTER (WHERE g = 1) AS n2 FROM r) "
+    "SELECT n1, n2, round(r1 - n1 * (n1 + 1) / 2e0, 3) AS u1, round((r1 - n1 * (n1 + 1) / 2e0 - n1 * n2 / 2e0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12e0), 6) AS z FROM s",
+)
+def mann_whitney_u(spark, sf):
+    d = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 2).alias("g"), "value")
+    return S.mann_whitney(d, "g", "value").select("n1", "n2", F.round("u1", 3).alias("u1"), F.round("z", 6).alias("z"))
+
+
+# -- scans -------------------------------------------------------------------------------------------------------
+
+_SPHERE2 = Projection.of([0, 1], [60, 60], [(-5.0, 5.0)] * 2)
+
+
+@register("scan_direct_eval", "WITH g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, -5e0 + 10e0 * i / 60 AS a, -5e0 + 10e0 * j / 60 AS b FROM range(61) x(i), range(61) y(j)) SELECT i0, i1, round(" + Target("ackley", 2).sql(["a", "b"]) + ", 6) AS logl FROM g")
+def scan_direct_eval(spark, sf):
+    from ridgeline.plans.scan import Scan
+
+    return Scan(spark, Target("ackley", 2)).run(_SPHERE2).state.select("i0", "i1", r6("logl").alias("logl"))
+
+
+def _scan(spark, method, n=12, refine=1, warm=None):
+    from ridgeline.plans.scan import Scan
+
+    p = Projection.of([0, 1], [n, n], BOX, method=method, refine=refine)
+    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0, n_starts=20))
+    return scan, scan.run(p, warm)
+
+
+@register("scan_lbfgsb")
+def scan_lbfgsb(spark, sf):
+    return _scan(spark, "lbfgs", warm=log(spark, sf))[1].solutions
+
+
+@register("scan_multistart")
+def scan_multistart(spark, sf):
+    return _scan(spark, "lbfgs")[1].solutions
+
+
+@register("scan_de")
+def scan_de(spark, sf):
+    return _scan(spark, "de", warm=log(spark, sf))[1].solutions
+
+
+@register("scan_refined")
+def scan_refined(spark, sf):
+    return _scan(spark, "lbfgs", 12, 2, log(spark, sf))[1].refined.solutions
+
+
+@register("volume_samples")
+def volume_samples(spark, sf):
+    from ridgeline.plans.scan import sample_volume
+
+    scan, result = _scan(spark, "lbfgs", warm=log(spark, sf))
+    return sample_volume(scan, [result], VolumeConfig(roi_threshold=5.0, n_walkers=100, n_steps=5), log(spark, sf))[0]
+
+
+@register("optima_registry")
+def optima_registry(spark, sf):
+    result = _scan(spark, "lbfgs")[1]
+    rows = [(k, [float(x) for x in o["point"]], float(o["value"]), int(o["count"])) for k, o in enumerate(result.optima)]
+    return spark.createDataFrame(rows, "seq int, point array<double>, value double, hits int")
+
+
+@register("dbscan_modes", None)
+def dbscan_modes(spark, sf):
+    from ridgeline.operators.cluster import cluster_modes
+
+    return cluster_modes(state(spark, sf).filter("logl >= -400"), P01, PHI)
+
+
+@register("stream_live_profile", f"WITH {LOG_SQL} SELECT {cells_sql(P01)}, round(max(logl), 6) AS logl, count(*) AS n FROM log GROUP BY 1, 2")
+def stream_live_profile(spark, sf):
+    from ridgeline.sources.store import stored
+    from ridgeline.streaming.live import live_profile, run_available
+
+    d = stored(log(spark, sf).select(*XS, "logl", "phase").repartition(4), "live")
+    folder = d.inputFiles()[0].rsplit("/", 1)[0]
+    import uuid
+
+    return run_available(live_profile(spark, folder, d.schema, P01), f"live_{uuid.uuid4().hex[:8]}").withColumn("logl", r6("logl"))
