@@ -270,7 +270,10 @@ def log_format_text(spark, sf):
 # -- pools and seeds ---------------------------------------------------------------------------------------------
 
 
-@register("warm_start_seeds", f"WITH {STATE_SQL} SELECT i0, i1, round(logl, 6) AS logl, round(x2, 6) AS x2, round(x3, 6) AS x3 FROM state WHERE logl >= (SELECT max(logl) FROM state) - 60e0")
+_INBOX = " AND ".join(f"{x} BETWEEN -6 AND 6" for x in XS)
+
+
+@register("warm_start_seeds", f"WITH {STATE_SQL.replace('FROM log)', f'FROM log WHERE {_INBOX})')} SELECT i0, i1, round(logl, 6) AS logl, round(x2, 6) AS x2, round(x3, 6) AS x3 FROM state WHERE logl >= (SELECT max(logl) FROM state) - 60e0")
 def warm_start_seeds(spark, sf):
     return P.seeds(log(spark, sf), P01, ROI, PHI).select("i0", "i1", *[r6(x).alias(x) for x in ("logl", "x2", "x3")])
 

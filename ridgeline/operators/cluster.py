@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ridgeline.config import ConfigurationError, Projection
 from ridgeline.plans import kernels as K
@@ -41,4 +40,4 @@ def cluster_modes(state: DataFrame, p: Projection, phi: list[str], method: str =
         return pdf.assign(label=label.astype("int32"))
 
     kinds = ", ".join(f"{n} {t}" for n, t in state.dtypes)
-    return state.groupBy(F.lit(0)).applyInPandas(run, f"{kinds}, label int")
+    return state.groupBy().applyInPandas(run, f"{kinds}, label int")
