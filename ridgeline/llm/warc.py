@@ -46,7 +46,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def sharder(pages: DataFrame, shard_bytes: int = SHARD_BYTES):
-    """A function that adds `shard` to rows with a page_id: ranges of page_id of about equal bytes of pages.
+    """A function that adds `shard` to rows with a page_id, ranges of about equal bytes of pages, and how many there are.
 
     A bin too heavy for a shard is split by hash.
     """
@@ -72,7 +72,7 @@ def sharder(pages: DataFrame, shard_bytes: int = SHARD_BYTES):
         shard_of = (F.col("__first") + F.pmod(F.xxhash64("page_id"), F.col("__split"))).cast("int")
         return df.withColumn("__bin", bin_of).join(F.broadcast(cut), "__bin").withColumn("shard", shard_of).drop("__bin", "__first", "__split")
 
-    return add
+    return add, shard + 1
 
 
 def decided(pages: DataFrame) -> DataFrame:
@@ -164,12 +164,12 @@ def write_warc(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_b
     p = pages.select("page_id", "url", "html").withColumns({
         "digest": F.sha1(F.coalesce("html", F.lit(""))), "bytes": F.octet_length(F.coalesce("html", F.lit("")))
     })
-    add_shard = sharder(p.select("page_id", "bytes"), shard_bytes)
+    add_shard, shards = sharder(p.select("page_id", "bytes"), shard_bytes)
     sharded = add_shard(p.drop("bytes"))
     none = F.lit(None).cast("string")
     marks = add_shard(decided(p)).withColumns({"url": none, "html": none, "kind": F.lit(0)})
     rows = sharded.withColumns({"refers_to": F.lit(None).cast("long"), "kind": F.lit(1)}).unionByName(marks)
-    dealt = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(out)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
