@@ -95,9 +95,9 @@ def test_volume(spark):
     s = Target("sphere", 4)
     scan = Scan(spark, s, ScanConfig(roi_threshold=4.0, n_starts=8))
     r = scan.run(Projection.of([0, 1], [8, 8], s.bounds))
-    band, summary = sample_volume(scan, [r], VolumeConfig(roi_threshold=4.0, n_walkers=60, n_steps=20, eval_budget=400))
+    band, summary = sample_volume(scan, [r], VolumeConfig(roi_threshold=4.0, n_walkers=150, n_steps=20, eval_budget=700))
     rows = band.collect()
-    assert summary["n_evaluations"] <= 400 and summary["n_samples"] == len(rows) > 50
+    assert summary["n_evaluations"] <= 700 and summary["n_samples"] == len(rows) > 50
     for x in rows:
         assert abs(float(s(np.array(x[:4]))) - x.logl) < 1e-9 and all(-5 <= v <= 5 for v in x[:4])
         assert x.logl >= summary["final_max"] - 4.0
