@@ -159,7 +159,7 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> D
                 if began and c != open_id:
                     out.append(one(open_id, turns))
                     turns = []
-                    if len(out) >= 200:
+                    if len(out) >= 64:
                         yield pa.RecordBatch.from_pylist(out, schema=fields)
                         out = []
                 open_id, began = c, True
@@ -178,7 +178,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: from the rendering, offsets and mask alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # some rows at a time: tokens as Python objects take far more room than in the batch
+        for b in (whole.slice(lo, 64) for whole in batches for lo in range(0, whole.num_rows, 64)):
             out = []
             for r in b.to_pylist():
                 starts, ends = np.array(r["starts"], dtype=np.int64), np.array(r["ends"], dtype=np.int64)
