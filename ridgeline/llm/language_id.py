@@ -19,6 +19,7 @@ read, so other columns cannot clash; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,12 @@ SYMBOLS = 64
 BORDER = 0
 PER_LANGUAGE = 1500
 UND = "und"
-#: A document of the pipeline goes if its best cosine is below this: it resembles no learned language.
+#: A document of the pipeline goes if it reaches no language's level: see learn_levels. A language's level is this part
+#: of the low quantile of its own documents' cosines, where EVIDENCE of them show one, and REJECT_BELOW at least.
 REJECT_BELOW = 0.05
+SLACK, QUANTILE, EVIDENCE = 0.6, 0.02, 10
+#: Levels go by a document's size, in powers of two, the last one open; cosines are counted in steps of 1/STEPS.
+SIZES, STEPS = 16, 200
 
 
 class Encoder:
@@ -85,6 +90,11 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray | None:
         """The document's vector at length 1, or None without letters."""
+        found = self.sized(text)
+        return found and found[0]
+
+    def sized(self, text: str | None) -> tuple[np.ndarray | None, int] | None:
+        """encode's vector and the power of two of the trigrams it rests on, repeated ones counting less."""
         if not text:
             return None
         s = self.symbols_of(text)
@@ -95,7 +105,8 @@ class Encoder:
         codes, counts = np.unique(code, return_counts=True)
         v = counts.astype(np.float32) @ self.vectors_of(codes)
         norm = float(np.linalg.norm(v))
-        return v / norm if norm else None
+        size = min(int(math.log2(counts.sum() ** 2 / (counts.astype(float) ** 2).sum())), SIZES - 1)
+        return v / norm if norm else None, size
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -108,8 +119,8 @@ def encoder(dim: int) -> Encoder:
     return _ENCODERS[dim]
 
 
-def learn_prototypes(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototypes of length 1 by language from doc_id, text, lang; rows with a null in text or lang are no examples."""
+def _chosen(labelled: DataFrame, per_language: int) -> DataFrame:
+    """text, lang of the documents to learn from."""
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
         labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -122,6 +133,11 @@ def learn_prototypes(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim:
     chosen = labelled.select("doc_id", "text", "lang").join(
         F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang"))
     )
+    return chosen.select("text", "lang")
+
+
+def _sums(chosen: DataFrame, dim: int) -> dict[str, np.ndarray]:
+    """The sum of the documents' vectors by language."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, sums = encoder(dim), {}
@@ -137,12 +153,66 @@ def learn_prototypes(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim:
                 names=["lang", "at", "value"],
             )
 
-    sums = chosen.select("text", "lang").mapInArrow(bundle, "lang string, at int, value long")
+    sums = chosen.mapInArrow(bundle, "lang string, at int, value long")
     rows = sums.groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()  # languages x dim rows
     protos: dict[str, np.ndarray] = {}
     for r in rows:
-        protos.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["value"]
-    return {k: v / (np.linalg.norm(v) or 1.0) for k, v in sorted(protos.items())}
+        protos.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["value"] / 2**20
+    return protos
+
+
+def _unit(sums: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: v / (np.linalg.norm(v) or 1.0) for k, v in sorted(sums.items())}
+
+
+def learn_prototypes(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) -> dict[str, np.ndarray]:
+    """Prototypes of length 1 by language from doc_id, text, lang; rows with a null in text or lang are no examples."""
+    return _unit(_sums(_chosen(labelled, per_language), dim))
+
+
+def learn_levels(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Prototypes as of learn_prototypes, and by language the least cosine of a document of each size.
+
+    A document meets its language's prototype without its own share in it. Cosines grow with size, so a size with too
+    few documents takes the level of the next smaller one, or half that of the next larger one if that is more;
+    documents too short to tell from noise have low levels, and so have languages with few documents.
+    """
+    chosen = _chosen(labelled, per_language)
+    sums = _sums(chosen, DIM)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(DIM)
+        for b in batches:
+            rows = []
+            for text, key in zip(b.column(0), b.column(1)):
+                lang = key.as_py()
+                v, size = e.sized(text.as_py()) or (None, 0)
+                if v is not None:
+                    rest = sums[lang] - v
+                    norm = float(np.linalg.norm(rest))
+                    if norm > 1e-3:  # else it is the language's only document
+                        rows.append((lang, size, math.floor(float(rest @ v) / norm * STEPS)))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["lang", "size", "step"])
+
+    counts = chosen.mapInArrow(measure, "lang string, size int, step int").groupBy("lang", "size", "step").agg(F.count("*").alias("n"))
+    seen: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in counts.collect():  # languages x sizes x steps rows at most
+        seen.setdefault((r["lang"], r["size"]), []).append((r["step"], r["n"]))
+    levels = {}
+    for lang in sums:
+        own, level = {}, np.full(SIZES, REJECT_BELOW)
+        for size in range(SIZES):
+            steps = sorted(seen.get((lang, size), []))
+            if (total := sum(n for _, n in steps)) >= EVIDENCE:
+                below = np.cumsum([n for _, n in steps])
+                own[size] = max(REJECT_BELOW, SLACK * steps[int((below > QUANTILE * total).argmax())][0] / STEPS)
+            level[size] = own.get(size, level[max(size - 1, 0)])
+        for size in reversed(range(SIZES - 1)):
+            if size not in own:
+                level[size] = max(level[size], level[size + 1] / 2)
+        levels[lang] = level
+    return _unit(sums), levels
 
 
 def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
@@ -173,21 +243,25 @@ def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: i
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, margin double")
 
 
-def keep_known_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = REJECT_BELOW) -> DataFrame:
+def keep_known_languages(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = REJECT_BELOW, levels: dict[str, np.ndarray] | None = None
+) -> DataFrame:
     """The rows of docs that have letters and resemble a learned language, with all their columns, in one narrow pass.
 
+    A document resembles a language from that language's level for its size on, or from `least` on without levels.
     Documents with letters stay if nothing could be learned.
     """
     langs = list(prototypes)
     matrix = np.array([prototypes[k] for k in langs], dtype=np.float32).reshape(len(langs), DIM)
+    level = np.array([np.full(SIZES, least) if levels is None else levels[k] for k in langs]).reshape(len(langs), SIZES)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(DIM)
         for b in batches:
             mask = []
             for text in b.column(b.schema.get_field_index("text")):
-                v = e.encode(text.as_py())
-                mask.append(v is not None and (not langs or float((matrix @ v).max()) >= least))
+                v, size = e.sized(text.as_py()) or (None, 0)
+                mask.append(v is not None and (not langs or bool((matrix @ v >= level[:, size]).any())))
             yield b.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import corpus_pipeline as C
 import numpy as np
 from edges import check_edges, documents
 
@@ -48,3 +50,20 @@ def test_partitioning_does_not_matter(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = L.learn_prototypes(docs.repartition(1)), L.learn_prototypes(docs.repartition(7))
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+
+
+def test_unlearned_languages_and_noise_go(spark):
+    sf, rnd = "/root/testdata/sf0.01", random.Random(4)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", *("".join(map(chr, range(*r))) for r in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5E00)))]
+    strange = ["".join(rnd.choice(a) if rnd.random() > 0.15 else " " for _ in range(n)) for a in alphabets for n in (300, 2000, 10000) for _ in range(10)]
+    strange += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。" * 2,
+    ]
+    mixed = docs.unionByName(spark.createDataFrame([(-1 - k, t, None, None, None) for k, t in enumerate(strange)], docs.schema))
+    kept = {r.doc_id for r in C.known_languages(spark, mixed, sf).collect()}
+    assert [strange[-1 - d][:40] for d in kept if d < 0] == []
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
