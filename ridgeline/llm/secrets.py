@@ -1,13 +1,13 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are values after an assignment sign, runs of token characters, and keys with a well-known opening. The
-forest judges each by its length, the transitions between its characters, the part of it that dictionary words
+Candidates are values after an assignment sign, values inside those (of query and connection strings), runs of token
+characters, and keys with a well-known opening. The forest judges each, inner ones included, by its length, the transitions between its characters, the part of it that dictionary words
 cover, the path it comes from and the words beside it. It is trained here on labelled findings: by default on
 `FINDINGS` generated ones (keys, tokens and passwords against placeholders, checksums, identifiers and prose), or
 on a labelled table of the caller's. The trees are arrays; scoring is one narrow pass over whole texts.
 
-Defined results: null and empty texts have no candidates; overlapping candidates count once, the longest; repeated
-rows give repeated rows; a missing path is the empty path; other columns are not read; an empty table gives no rows.
+Defined results: null and empty texts have no candidates; candidates may overlap; of overlapping ones that the
+forest keeps one is a finding: well-known keys first, assigned values next, then the longest; repeated rows give repeated rows; a missing path is the empty path; other columns are not read; an empty table gives no rows.
 Values themselves do not reach the result, only their places and hashes.
 """
 
@@ -18,6 +18,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,9 @@ FINDINGS = 6000
 TREES, DEPTH, LEAF = 40, 9, 4
 LEAST_SCORE = 0.5
 ASSIGNED = re.compile(r"""[:=]>?[ \t]*["'`]?([^\s"'`,;<>(){}\[\]]{8,})""")
+#: Values within a longer one: they end where a part of a URL ends.
+INNER = re.compile(r"""(?<=[:=])(?!/)[^\s"'`,;<>(){}\[\]&?#@:=]{8,}={0,2}""")
+LOGIN = re.compile(r"://[^\s/@:]*:$")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Openings of well-known keys.
 KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
@@ -45,7 +49,7 @@ DICTIONARY = frozenset(
     "get set put post add del run make build read write open close load save send copy move view edit help about contact mail".split()
 )
 CONTEXT = 48
-NAMES = ("length", "digits", "uppers", "switches", "entropy", "repeats", "runs", "hex", "dictionary", "vowels", "secret_word", "harmless_word", "harmless_path", "assigned", "quoted", "known")
+NAMES = ("length", "digits", "uppers", "switches", "entropy", "repeats", "runs", "hex", "dictionary", "vowels", "secret_word", "harmless_word", "harmless_path", "assigned", "quoted", "known", "login")
 
 
 def _class(c: str) -> int:
@@ -93,22 +97,43 @@ def features(value: str, before: str, after: str, path: str, assigned: bool) ->
         float(assigned),
         float(before[-1:] in "\"'`" if before else False),
         float(bool(KNOWN.match(value))),
+        float(after[:1] == "@" and bool(LOGIN.search(before))),
     ]
 
 
 def candidates(text: str | None) -> list[tuple[int, int, bool]]:
-    """(start, end, assigned), in order, without overlaps: of overlapping ones the longest stays."""
+    """(start, end, assigned), in order, each place once; those inside others too.
+
+    Where a run of token characters is a name, a sign and an assigned value, the name stands for itself.
+    """
     if not text:
         return []
-    found = [(m.start(1), m.end(1), True) for m in ASSIGNED.finditer(text)]
-    found += [(m.start(), m.end(), False) for p in (TOKEN, KNOWN) for m in p.finditer(text)]
-    found.sort(key=lambda x: (x[0], -x[1], not x[2]))
-    out: list[tuple[int, int, bool]] = []
-    for c in found:
-        if not out or c[0] >= out[-1][1]:
-            out.append(c)
-        elif c[1] - c[0] > out[-1][1] - out[-1][0]:
-            out[-1] = c
+    values = {m.span(): True for m in INNER.finditer(text)} | {m.span(1): True for m in ASSIGNED.finditer(text)}
+    ends: dict[int, int] = {}
+    for s, e in values:
+        ends[s] = max(e, ends.get(s, 0))
+    starts = sorted(ends)
+    found = {m.span(): False for m in KNOWN.finditer(text)}
+    for m in TOKEN.finditer(text):
+        s, e = m.span()
+        at = bisect(starts, s)
+        if at < len(starts) and starts[at] < e <= ends[starts[at]]:
+            e = s + len(text[s : starts[at]].rstrip("="))
+            if not TOKEN.fullmatch(text, s, e):
+                continue
+        found[s, e] = False
+    return sorted((s, e, assigned) for (s, e), assigned in (found | values).items())
+
+
+def without_overlaps(kept: list[tuple[int, int, int]]) -> list[int]:
+    """Which of the (start, end, rank) stay, in order of their places: the highest rank first, then the longest."""
+    starts: list[int] = []
+    out: list[int] = []
+    for i in sorted(range(len(kept)), key=lambda i: (-kept[i][2], kept[i][0] - kept[i][1], kept[i][0])):
+        at = bisect(starts, kept[i][0])
+        if (at == 0 or kept[out[at - 1]][1] <= kept[i][0]) and (at == len(out) or kept[i][1] <= starts[at]):
+            starts.insert(at, kept[i][0])
+            out.insert(at, i)
     return out
 
 
@@ -116,6 +141,37 @@ def around(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
 
 
+def _in_url(r: random.Random, pick, word, known: list[str], label: int) -> tuple[str, str, str, str, bool, int]:
+    """A generated finding in a query string, a connection string or a path."""
+    alnum = string.ascii_letters + string.digits
+    host = f"{word()}.{word()}.{r.choice(('com', 'org', 'net'))}"
+    lead = r.choice(("see ", "url=", "href=", "DATABASE_URL=", word() + " ", ""))
+    path = r.choice(("src/app", "config/prod", "", "src1", "deploy/env", "src4"))
+    if r.random() < 0.4:
+        before, after = f"{lead}{r.choice(('postgres', 'mysql', 'amqp', 'redis', 'https'))}://{word()}:", f"@{host}/{word()}"
+        if label:
+            value = pick(alnum + "!%*+-^_~", r.randint(8, 24)) if r.random() < 0.7 else pick("0123456789abcdef", r.choice((16, 32, 40)))
+        else:
+            value = r.choice(("password", "changeme", "xxxxxxxx", "your_password", "password123", "secretpassword", "********", "example_password"))
+        return value, before, after, path, True, label
+    query = f"{lead}https://{host}/{word()}?{word()}={r.choice((word(), pick('0123456789', 2)))}&"
+    if label:
+        value = r.choice((lambda: pick("0123456789abcdef", r.choice((32, 40, 64))), lambda: pick(alnum, r.randint(20, 64)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36)))()
+        name = r.choice(("token", "secret", "api_key", "access_key", "auth_token", "key", "password", "apikey"))
+        return value, f"{query}{name}=", r.choice(("", f"&{word()}={word()}", " " + word())), path, True, 1
+    kind = r.randrange(4)
+    if kind == 0:  # the whole URL, with or without a key in it
+        value = f"//{host}/{word()}?{word()}={word()}&{r.choice(('token', 'key', 'access_key', word()))}={pick(alnum, r.randint(4, 40))}"
+        return value, f"{lead}https:", " " + word(), path, True, 0
+    if kind == 1:
+        value, name = r.choice((pick("0123456789abcdef", 40), "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)))), r.choice(("id", "uuid", "commit", "sha", "etag", "rev"))
+    elif kind == 2:
+        value, name = r.choice(("your_api_key_here", "changeme", "xxxxxxxxxxxxxxxx", "REPLACE_WITH_KEY", "insert-token-here")), r.choice(("token", "key", "api_key"))
+    else:
+        value, name = r.choice(("_".join(word() for _ in range(3)), "".join(r.choice(known) for _ in range(3)), f"{pick('0123456789', 4)}/{word()}/{word()}")).ljust(8, "e"), word()
+    return value, f"{query}{name}=", r.choice(("", f"&{word()}={word()}", " " + word())), path, True, 0
+
+
 def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, str, bool, int]]:
     """Generated (value, before, after, path, assigned, label): about half of each label."""
     r = random.Random(seed)
@@ -127,6 +183,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     out = []
     for i in range(n):
         quoted = r.choice(['"', "'", ""])
+        if i >= n - n // 6:  # parts of URLs
+            out.append(_in_url(r, pick, word, known, i % 2))
+            continue
         if i % 2:
             value = r.choice((
                 lambda: pick(hexa, r.choice((32, 40, 64))), lambda: pick(hexa.upper(), r.choice((32, 40))),
@@ -265,14 +324,16 @@ def scan_secrets(docs: DataFrame, forest: Forest, least: float = LEAST_SCORE, pa
             for t, path in zip(texts, paths):
                 text = t.as_py()
                 mine = candidates(text)
-                found.append([(s, e, hashlib.sha256(text[s:e].encode("utf-8", "surrogatepass")).hexdigest()) for s, e, _ in mine])
+                found.append((text, mine))
                 x += [features(text[s:e], *around(text, s, e), path or "", assigned) for s, e, assigned in mine]
             scores = forest.score(np.array(x)) if x else np.empty(0)
             at, out = 0, []
-            for d, mine in zip(b.column(0).to_pylist(), found):
+            for d, (text, mine) in zip(b.column(0).to_pylist(), found):
                 own = [round(float(v), 9) for v in scores[at : at + len(mine)]]
                 at += len(mine)
-                kept = [{"start": s, "stop": e, "score": v, "sha256": h} for (s, e, h), v in zip(mine, own) if v >= least]
+                passed = [(s, e, v, 2 if KNOWN.fullmatch(text, s, e) else int(assigned)) for (s, e, assigned), v in zip(mine, own) if v >= least]
+                passed = [passed[i] for i in without_overlaps([(s, e, rank) for s, e, _, rank in passed])]
+                kept = [{"start": s, "stop": e, "score": v, "sha256": hashlib.sha256(text[s:e].encode("utf-8", "surrogatepass")).hexdigest()} for s, e, v, _ in passed]
                 out.append({"doc_id": d, "n_candidates": len(mine), "n_secrets": len(kept), "max_score": max(own, default=None), "findings": kept})
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 

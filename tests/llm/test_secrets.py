@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import numpy as np
 from edges import check_edges, documents
@@ -51,6 +53,26 @@ def test_candidates_overlap():
     assert S.candidates(t) == [(9, 49, True)]
 
 
+def test_keys_inside_longer_values(spark):
+    r = random.Random(8)
+    pick = lambda a, k: "".join(r.choice(a) for _ in range(k))
+    alnum = string.ascii_letters + string.digits
+    forest, rows, keys = S.learn(), [], {}
+    for k in range(40):
+        aws, other, password = "AKIA" + pick(string.ascii_uppercase + string.digits, 16), pick(alnum, 40), pick(alnum, 16)
+        rows += [(4 * k, f"url=https://host/v1?page=2&access_key={aws}"), (4 * k + 1, f"curl https://api.host.com/v1?page=2&token={other}&sort=asc now")]
+        rows += [(4 * k + 2, f"DATABASE_URL=postgres://app:{password}@host"), (4 * k + 3, f"see https://host/v1?key={aws}&token={other}")]
+        keys |= {4 * k: {aws}, 4 * k + 1: {other}, 4 * k + 2: {password}, 4 * k + 3: {aws, other}}
+    texts = dict(rows)
+    got = {d.doc_id: {texts[d.doc_id][f.start : f.stop] for f in d.findings} for d in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()}
+    assert sum(len(keys[d] - got[d]) for d in keys) <= 4 and all(keys[d] <= got[d] for d in keys if d % 4 == 0), [(d, got[d]) for d in keys if keys[d] - got[d]]
+    clean = ["see https://www.host.com/news?page=introduction&ref=homepage_banner", "DATABASE_URL=postgres://app:password@localhost/db", "x:" * 3000, "=a" * 3000]
+    for t in clean:
+        x = [S.features(t[a:b], *S.around(t, a, b), "", c) for a, b, c in S.candidates(t)]
+        assert len(x) < 10 and (not x or (forest.score(np.array(x)) < 0.5).all()), t
+    assert S.without_overlaps([(0, 50, 1), (20, 40, 2), (30, 60, 0), (60, 70, 0), (61, 69, 0), (70, 99, 0), (80, 90, 1)]) == [1, 3, 6]
+
+
 def test_edges(spark):
     forest = S.learn(S.labelled_findings(400))
     rows = {r.doc_id: r for r in check_edges(spark, lambda d: S.scan_secrets(d, forest))}
