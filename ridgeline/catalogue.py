@@ -638,7 +638,7 @@ def _scan(spark, method, n=12, refine=1, warm=None):
     from ridgeline.plans.scan import Scan
 
     p = Projection.of([0, 1], [n, n], BOX, method=method, refine=refine)
-    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0, n_starts=20))
+    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0))
     return scan, scan.run(p, warm)
 
 

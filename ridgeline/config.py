@@ -140,7 +140,7 @@ class ScanConfig:
     max_waves: int = 10
     max_iter: int = 50
     ftol: float = 1e-9
-    n_starts: int = 40
+    n_starts: int | None = None  # min(400, 50 for each dimension)
     batch: int = 10
     undiscovered: float = 0.5
     min_starts: int = 10
@@ -157,6 +157,6 @@ class ScanConfig:
     optima_range: tuple | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:
-        if not self.roi_threshold > 0 or self.population < 2 or self.max_iter < 1 or self.n_starts < 1 or self.batch < 1:
+        if not self.roi_threshold > 0 or self.population < 2 or self.max_iter < 1 or (self.n_starts is not None and self.n_starts < 1) or self.batch < 1:
             raise ConfigurationError("roi_threshold, population, max_iter, n_starts and batch must be positive")
         self.optima_range = parse_n_optima(self.n_optima)

@@ -177,7 +177,7 @@ class Scan:
         """Optima found from a Latin hypercube of starts, in batches, until the stopping rule holds; evaluations."""
         c, bounds = self.config, np.array(self.bounds)
         target = self.target
-        starts = K.latin_hypercube(K.stream(c.seed, 0), c.n_starts, bounds)
+        starts = K.latin_hypercube(K.stream(c.seed, 0), c.n_starts or min(400, 50 * len(bounds)), bounds)
         registry: list[dict] = []
         evals = 0
 

@@ -121,3 +121,11 @@ def test_live_stream(spark, tmp_path):
     out = run_available(live_profile(spark, f"{tmp_path}/log", df.schema, p), "live_test", str(tmp_path / "c"))
     want = G.with_cells(df, p).groupBy("i0").agg(F.max("logl").alias("logl"), F.count("*").alias("n"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_optima_registry_has_every_peak(spark, sf):
+    from ridgeline.catalogue import QUERIES
+
+    rows = [r for r in QUERIES["optima_registry"](spark, sf).collect() if r.value > -1e-4]
+    one = [(3.0, 2.0), (-2.805118, 3.131312), (-3.779310, -3.283186), (3.584428, -1.848126)]
+    assert sorted(tuple(round(x, 1) for x in r.point) for r in rows) == sorted(tuple(round(x, 1) for x in a + b) for a in one for b in one)
