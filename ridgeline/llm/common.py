@@ -71,7 +71,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.stored_at)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
