@@ -33,6 +33,8 @@ DIM = 512
 SYMBOLS = 64
 BORDER = 0
 PER_LANGUAGE = 1500
+#: Trigram vectors that a process keeps, one byte a dimension.
+KNOWN = 32768
 UND = "und"
 #: A document of the pipeline goes if it reaches no language's level: see learn_levels. A language's level is this part
 #: of the low quantile of its own documents' cosines, where EVIDENCE of them show one, and REJECT_BELOW at least.
@@ -50,16 +52,16 @@ class Encoder:
         self.letters = rng.choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, dim))
         self.rotated = np.roll(self.letters, 1, axis=1), np.roll(self.letters, 2, axis=1)
         self.row = np.full(SYMBOLS**3, -1, dtype=np.int32)
-        self.known = np.empty((1024, dim), dtype=np.float32)
+        self.known = np.empty((1024, dim), dtype=np.int8)
         self.n = 0
         # one symbol for each unit of the basic plane; letters beyond a-z share the buckets 27 to 63
         self.symbol = np.zeros(65536, dtype=np.uint8)
         for c in range(65536):
-            ch = chr(c).lower()
-            if "a" <= ch <= "z" and len(ch) == 1:
+            ch = chr(c).lower()[0]  # some letters have two characters as lower case
+            if "a" <= ch <= "z":
                 self.symbol[c] = ord(ch) - 96
-            elif ch.isalpha():
-                self.symbol[c] = 27 + (ord(ch[0]) * 2654435761 >> 7) % (SYMBOLS - 27)
+            elif chr(c).isalpha():
+                self.symbol[c] = 27 + (ord(ch) * 2654435761 >> 7) % (SYMBOLS - 27)
         self.symbol[0xD800:0xE000] = SYMBOLS - 1  # halves of characters beyond the plane: see symbols_of
 
     def symbols_of(self, text: str) -> np.ndarray:
@@ -77,6 +79,9 @@ class Encoder:
     def vectors_of(self, codes: np.ndarray) -> np.ndarray:
         rows = self.row[codes]
         if (rows < 0).any():
+            if self.n + len(codes) > KNOWN:  # start anew: what is kept has a bound
+                self.row.fill(-1)
+                self.n, rows = 0, self.row[codes]
             new = codes[rows < 0]
             a, b, c = new // (SYMBOLS * SYMBOLS), new // SYMBOLS % SYMBOLS, new % SYMBOLS
             made = self.rotated[1][a] * self.rotated[0][b] * self.letters[c]
@@ -88,6 +93,13 @@ class Encoder:
             rows = self.row[codes]
         return self.known[rows]
 
+    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of the trigrams' vectors, each as often as it occurs."""
+        v = np.zeros(self.letters.shape[1], dtype=np.float32)
+        for lo in range(0, len(codes), 2048):
+            v += counts[lo : lo + 2048].astype(np.float32) @ self.vectors_of(codes[lo : lo + 2048]).astype(np.float32)
+        return v
+
     def encode(self, text: str | None) -> np.ndarray | None:
         """The document's vector at length 1, or None without letters."""
         found = self.sized(text)
@@ -103,7 +115,7 @@ class Encoder:
         s = np.concatenate([[BORDER], s, [BORDER]]).astype(np.int64)
         code = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
         codes, counts = np.unique(code, return_counts=True)
-        v = counts.astype(np.float32) @ self.vectors_of(codes)
+        v = self.bundle(codes, counts)
         norm = float(np.linalg.norm(v))
         size = min(int(math.log2(counts.sum() ** 2 / (counts.astype(float) ** 2).sum())), SIZES - 1)
         return v / norm if norm else None, size
@@ -120,12 +132,18 @@ def encoder(dim: int) -> Encoder:
 
 
 def _chosen(labelled: DataFrame, per_language: int) -> DataFrame:
-    """text, lang of the documents to learn from."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """text, lang of the documents to learn from: those of each language with the smallest hash.
+
+    Only hashes under a bound that about 1.5 * per_language documents of a language stay under are ranked, so the
+    ranking of a language does not grow with the input.
+    """
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53)))
+    counts = rows.groupBy(F.col("lang").alias("__of")).agg(F.count("*").alias("__n"))
+    low = rows.join(counts, F.col("lang") == F.col("__of")).filter(F.col("__part") * F.col("__n") < 1.5 * per_language + 100)
+    w = Window.partitionBy("lang").orderBy("__part", "doc_id")
     ids = (
-        labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("lang", "doc_id")
-        .withColumn("rank", F.row_number().over(w))
+        low.withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= per_language)
         .select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
         .distinct()
@@ -246,7 +264,8 @@ def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: i
 def keep_known_languages(
     docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = REJECT_BELOW, levels: dict[str, np.ndarray] | None = None
 ) -> DataFrame:
-    """The rows of docs that have letters and resemble a learned language, with all their columns, in one narrow pass.
+    """The rows of docs that have letters and resemble a learned language, with all their columns, in one narrow pass
+    that sends nothing but texts to Python.
 
     A document resembles a language from that language's level for its size on, or from `least` on without levels.
     Documents with letters stay if nothing could be learned.
@@ -255,16 +274,17 @@ def keep_known_languages(
     matrix = np.array([prototypes[k] for k in langs], dtype=np.float32).reshape(len(langs), DIM)
     level = np.array([np.full(SIZES, least) if levels is None else levels[k] for k in langs]).reshape(len(langs), SIZES)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def known(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(DIM)
-        for b in batches:
+        for texts in parts:
             mask = []
-            for text in b.column(b.schema.get_field_index("text")):
+            for text in texts:
                 v, size = e.sized(text.as_py()) or (None, 0)
                 mask.append(v is not None and (not langs or bool((matrix @ v >= level[:, size]).any())))
-            yield b.filter(pa.array(mask, pa.bool_()))
+            yield pa.array(mask, pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.filter(known("text"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
