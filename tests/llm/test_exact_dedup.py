@@ -38,6 +38,24 @@ def test_ties_and_fan_in(spark):
     assert set(E.drop_copies(documents(spark)).columns) == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def test_rounds_halve_the_runs(spark):
+    rows = [(i, f"t{i % 5}", None, None, None) for i in range(160)]
+    d = E.digests(spark.createDataFrame(rows, DOCS).repartition(8))
+    level = d.selectExpr("cast(doc_id % 8 as int) AS run", *E.KEY, "struct(points, ~doc_id AS inverse, text_hash) AS best", "1L AS group_size")
+    for digit, most in enumerate((4, 2, 1)):
+        level = E.merge_round(level, 8, 2, digit)
+        runs = level.groupBy(*E.KEY).agg({"run": "count", "group_size": "sum"}).collect()
+        assert len(runs) == 5 and all(r["count(run)"] == most and r["sum(group_size)"] == 32 for r in runs)
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_rows_of_one_id_stay_by_their_texts(spark):
+    rows = [(1, "aaa bbb", None, None, None), (2, "zzz yyy", None, None, None), (2, "aaa bbb", None, None, None), (2, "zzzyyy ", None, None, None)]
+    kept = E.drop_copies(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text.replace(" ", "")) for r in kept) == [(1, "aaabbb"), (2, "zzzyyy")]
+
+
 def test_no_python_in_plan(spark, sf):
     plan = E.op8_exact_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
