@@ -18,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import UPPER, WORD, lower_ascii, table
+from ridgeline.llm.common import UPPER, WORD, lower_ascii, table, written
 
 WINDOW = 10
-BROADCAST_BYTES = 256 << 20
+#: Bytes of the windows' rows as they are broadcast.
+BROADCAST_BYTES = 128 << 20
 #: Hash of the closing entry; a window that hashes to it still meets its own words.
 CLOSING = 0
 
@@ -49,9 +50,10 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (array of hit word ranges, end exclusive)."""
-    wins = benchmark_windows(bench, window)
-    text_bytes = F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 64
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (array of hit word ranges, end exclusive), text_hash."""
+    wins = written(benchmark_windows(bench, window), "windows")
+    padded = lambda c: F.aggregate(c, F.lit(24), lambda n, x: n + 16 + F.octet_length(x))
+    text_bytes = padded("win") + padded("items") + 64
     facts = wins.agg(F.sort_array(F.collect_set("size")).alias("sizes"), F.sum(text_bytes).alias("bytes")).first()
     sizes = facts["sizes"] or [window]  # at most `window` values
     hashed = None
@@ -135,19 +137,27 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broad
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("__hit") > 0).alias("contaminated"),
         "spans",
+        F.col("__text").alias("text_hash"),
     )
 
 
+def _hits(docs: DataFrame, bench: DataFrame, window: int, *more: str) -> tuple[DataFrame, Column]:
+    """__bad, __hash and `more` of the contaminated rows, once each, and the condition that joins docs to them."""
+    hit = contamination(docs, bench, window).filter("contaminated")
+    hit = hit.select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash"), *more).dropDuplicates(["__bad", "__hash"])
+    return hit, docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a hit, with all their columns."""
-    bad = contamination(docs, bench, window).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs without a hit, by doc_id and text, with all their columns."""
+    hit, same = _hits(docs, bench, window)
+    return docs.join(hit, same, "left_anti")
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text, n_hit: each hit word goes with the separators before it; what follows the last word stays."""
-    found = contamination(docs, bench, window).filter("contaminated").select(F.col("doc_id").alias("__bad"), "spans", "n_hit").dropDuplicates(["__bad"])
-    d = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("__bad")), "left")
+    found, same = _hits(docs, bench, window, "spans", "n_hit")
+    d = docs.select("doc_id", "text").join(found, same, "left")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     units = F.regexp_extract_all("text", F.lit(f"{gap}*{word}+"), F.lit(0))
@@ -162,7 +172,7 @@ def cut_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFr
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.drop("spans")
+    return out.drop("spans", "text_hash")
 
 
 OP9_SQL = rf"""

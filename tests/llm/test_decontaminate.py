@@ -49,7 +49,7 @@ def test_brute_force_with_short_items(spark):
     docs = documents(spark)
     want = brute([(r.doc_id, r.text) for r in docs.collect()], ITEMS)
     for limit in (D.BROADCAST_BYTES, 0):  # broadcast, and the shuffled join beyond the bound
-        got = D.contamination(docs, bench(spark, ITEMS), broadcast_bytes=limit).drop("spans")
+        got = D.contamination(docs, bench(spark, ITEMS), broadcast_bytes=limit).drop("spans", "text_hash")
         assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
@@ -68,6 +68,14 @@ def test_removal(spark):
     assert cut == {1: "Yes, (end).", 2: "clean"}
 
 
+def test_removal_goes_by_row(spark):
+    rows = [(1, "Yes: quick brown fox jumps over the lazy dog again and again", "en", "s", 1), (1, "clean", None, None, None)]
+    kept = D.drop_contaminated(documents(spark, rows), bench(spark, ITEMS[1:2])).collect()
+    assert [r.text for r in kept] == ["clean"]
+    cut = D.cut_spans(documents(spark, rows), bench(spark, ITEMS[1:2])).collect()
+    assert sorted((r.text, r.n_hit) for r in cut) == [("Yes", 11), ("clean", 0)]
+
+
 def test_no_python_in_plan(spark, sf):
     plan = D.op9_decontamination(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
