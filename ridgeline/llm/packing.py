@@ -3,10 +3,13 @@
 1. Every document becomes token ids and an end id; longer ones are cut into pieces of `capacity`, the first piece
    taking the remainder. One narrow pass, ids are not kept: a piece is doc_id, piece, start, length, crc32 of its ids.
 2. The histogram of piece lengths (at most `capacity` rows, whatever the input) goes to the driver. Multiplicative
-   weights solve the covering program "few sequences, every length covered": each round prices lengths by weight,
-   a knapsack dynamic program finds the best filled sequence (a configuration), and lengths that it covers lose
-   weight. The fractional multiplicities are rounded down, what is left over is packed best-fit decreasing on the
-   histogram.
+   weights solve the covering program "few sequences, every length covered". Each round prices lengths by weight; one
+   knapsack dynamic program then gives, for every length, the best filled sequence that holds it (a configuration).
+   Those within TOLERANCE of the best one are taken, each by a step of STEP of what its scarcest length allows, and
+   lengths that it covers lose weight. Steps are rounded down to whole sequences as they are taken. Where the program
+   without bounds on copies asks for more of a length than is left, one with bounds prices the round. When SHARE of the
+   tokens are placed, what is left over, pieces of all sizes, is packed best-fit decreasing on the histogram. Prices
+   also give a lower bound on the number of sequences, see Solved.
 3. The plan is a table of slots: for each length, ranges of ranks with the sequence and offset they map to. Pieces
    are ranked inside their length by counts of (length, salt) plus a rank inside each salt, so a length that a third
    of all pieces have is dealt over all salts. Joining pieces and slots on length and rank range places them.
@@ -18,10 +21,11 @@ not read.
 
 from __future__ import annotations
 
-import base64
 import json
+import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,12 @@ CAPACITY = 2048
 END_ID = 0
 #: Ranks inside a length are dealt over one salt per SALT_ROWS pieces, LEAST_SALTS at least.
 SALT_ROWS, LEAST_SALTS = 100_000, 64
-ROUNDS = 150
-#: Part of the fractional solution that is rounded; the rest keeps pieces of all sizes for the last sequences.
-ROUNDED = 0.9
+#: Rounds at most, a part of the scarcest length that a step takes, and the loss of weight of a length covered whole.
+ROUNDS, STEP, DECAY = 1000, 0.5, 0.5
+#: First prices are this power of a length: of full configurations those of long pieces come first, short ones fill later.
+BULK = 1.1
+#: Configurations of a round are worth at least 1 - TOLERANCE of the best; SHARE of the tokens are placed by them.
+TOLERANCE, SHARE = 0.01, 0.95
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,7 +58,8 @@ class Tokens:
 
     Pre-tokens never reach over a single blank between two other characters, so a text splits at its lines and
     blanks into chunks whose ids are looked up; only new chunks are encoded. Texts with other white space, or with a
-    special token's name, are encoded whole.
+    special token's name, are encoded whole. A file with another pre-tokenizer or normaliser has all texts encoded whole,
+    by the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -63,6 +71,12 @@ class Tokens:
         spec = json.load(open(path, encoding="utf-8"))
         self.whole = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.cache: dict[str, bytes] = {}
+        split = spec.get("pre_tokenizer") or {}
+        known = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.plain = bool(known and spec.get("normalizer") is None and spec["model"].get("type", "BPE") == "BPE" and not spec["model"].get("dropout"))
+        if not self.plain:
+            return
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         alphabet = {chr(b): b for b in plain}
@@ -71,18 +85,17 @@ class Tokens:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|\x00").search
-        self.cache: dict[str, bytes] = {}
 
     def __getitem__(self, chunk: str) -> bytes:
         got = self.cache.get(chunk)
         if got is None:
-            if len(self.cache) > 600_000:
+            if len(self.cache) > 200_000:
                 self.cache.clear()
             got = self.cache[chunk] = np.array(self.fast.encode_ordinary(chunk), dtype="<u4").tobytes()
         return got
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if not self.plain or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.odd(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
@@ -131,71 +144,113 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The unbounded knapsack's best content {index of size: copies}, by dynamic programming over the capacity."""
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, dtype=np.int32)
-    order = np.argsort(sizes, kind="stable")
-    s, v = sizes[order], values[order]
-    for c in range(1, capacity + 1):
-        best[c], k = best[c - 1], np.searchsorted(s, c, side="right")
-        if k:
-            total = best[c - s[:k]] + v[:k]
+def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack for every room up to capacity: best value, and an item to take first (-1: leave one free)."""
+    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right")  # sizes ascend
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        if k := fitting[room]:
+            total = best[room - sizes[:k]] + values[:k]
             j = int(total.argmax())
-            if total[j] > best[c] + 1e-15:
-                best[c], take[c] = total[j], j
+            if total[j] > best[room] + 1e-15:
+                best[room], take[room] = total[j], j
+    return best, take
+
+
+def content(take: np.ndarray, sizes: np.ndarray, room: int) -> dict[int, int]:
+    """{item: copies} of knapsack's best content of a room."""
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
+    while room > 0:
+        if (j := int(take[room])) < 0:
+            room -= 1
             continue
-        i = int(order[take[c]])
-        out[i] = out.get(i, 0) + 1
-        c -= int(sizes[i])
+        out[j] = out.get(j, 0) + 1
+        room -= int(sizes[j])
     return out
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations {size: copies} with whole multiplicities that hold exactly `counts` pieces of each size."""
+def bounded_knapsack(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
+    """{item: copies} of the best content with at most counts[item] copies, copies taken in powers of two."""
+    best, steps = np.zeros(capacity + 1), []
+    for j in range(len(sizes)):
+        most, k = min(int(counts[j]), capacity // int(sizes[j])), 1
+        while most > 0:
+            k = min(k, most)
+            most -= k
+            w = k * int(sizes[j])
+            better = np.zeros(capacity + 1, dtype=bool)
+            total = best[: capacity + 1 - w] + k * values[j]
+            better[w:] = total > best[w:] + 1e-15
+            best[w:] = np.where(better[w:], total, best[w:])
+            steps.append((j, k, w, better))
+            k *= 2
+    out: dict[int, int] = {}
+    room = int(best.argmax())
+    for j, k, w, better in reversed(steps):
+        if better[room]:
+            out[j] = out.get(j, 0) + k
+            room -= w
+    return out
+
+
+class Solved(NamedTuple):
+    """Configurations {size: copies} with whole multiplicities, the share of the tokens in pieces below `capacity` that
+    the program placed, and a lower bound on the number of sequences from its prices."""
+
+    plan: list[tuple[dict[int, int], int]]
+    share: float
+    bound: int
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, share: float = SHARE) -> Solved:
+    """A plan that holds exactly `counts` pieces of each of the ascending sizes."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[dict[int, int], int]] = []
     full = sizes == capacity
-    for i in np.flatnonzero(full):  # nothing fits beside them
-        plan.append(({capacity: 1}, int(left[i])))
-        left[i] = 0
-    active = np.flatnonzero(~full & (left > 0))
-    if len(active):
-        s, need = sizes[active].astype(np.int64), left[active].astype(float)
-        # weights start at the pieces' own sizes: the price of a configuration then is how full it is
-        log_w = np.log(s / capacity)
-        use: dict[tuple, float] = {}
-        width = 0.0
-        eps = 0.15
-        for r in range(rounds):
-            w = np.exp(log_w - log_w.max())
-            config = knapsack(w, s, capacity)
-            key = tuple(sorted(config.items()))
-            # a step covers as much of the scarcest of its sizes as one round may
-            step = min(need[i] / c for i, c in key)
-            use[key] = use.get(key, 0.0) + step
-            width += step
-            for i, c in key:
-                log_w[i] -= eps * c * step / need[i]
-        covered = np.zeros(len(s))
-        for key, x in use.items():
-            for i, c in key:
-                covered[i] += c * x
-        # scale so that no size is covered more than once over, then round down against what is left
-        for key, x in sorted(use.items(), key=lambda kv: (-kv[1], kv[0])):
-            x /= max(1.0, max(covered[i] / need[i] for i, _ in key))
-            m = min([int(ROUNDED * x + 1e-9), *(int(left[active[i]] // c) for i, c in key)])
-            if m > 0:
-                plan.append(({int(s[i]): c for i, c in key}, m))
-                for i, c in key:
-                    left[active[i]] -= m * c
-        plan += best_fit({int(a): int(n) for a, n in zip(s, left[active]) if n}, capacity)
-    return plan
+    alone = int(left[full].sum())
+    if alone:  # nothing fits beside them
+        plan.append(({capacity: 1}, alone))
+    left[full] = 0
+    need = left.astype(float)
+    total = int((sizes * left).sum())
+    log_w = BULK * np.log(sizes / capacity)
+    taken: dict[tuple, int] = {}
+    placed, lower = 0, total / capacity  # what configurations hold is a feasible price, too
+
+    def step(config: dict[int, int], items: np.ndarray) -> int:
+        """Takes a configuration; the tokens that it places."""
+        if (m := min(int(left[items[j]]) // c for j, c in config.items())) <= 0:
+            return 0
+        m = max(1, int(STEP * m))
+        key = tuple(sorted((int(sizes[items[j]]), c) for j, c in config.items()))
+        taken[key] = taken.get(key, 0) + m
+        for j, c in config.items():
+            left[items[j]] -= m * c
+            log_w[items[j]] -= DECAY * m * c / need[items[j]]
+        return m * sum(k * c for k, c in key)
+
+    for _ in range(rounds):
+        if placed >= share * total:
+            break
+        items = np.flatnonzero(left > 0)
+        s, w = sizes[items].astype(np.int64), np.exp(log_w[items])
+        best, take = knapsack(w, s, capacity)
+        # weights divided by the best configuration's are feasible prices: no configuration is worth more than one
+        lower = max(lower, float(need[items] @ w) / best[capacity])
+        worth = w + best[capacity - s]
+        before = placed
+        for j in sorted(np.flatnonzero(worth >= worth.max() * (1 - TOLERANCE)).tolist(), key=lambda j: -s[j]):
+            if placed >= share * total:
+                break
+            config = content(take, s, capacity - int(s[j]))
+            config[j] = config.get(j, 0) + 1
+            placed += step(config, items)
+        if placed == before:
+            placed += step(bounded_knapsack(w, s, left[items], capacity), items)
+    plan += [(dict(key), m) for key, m in sorted(taken.items())]
+    plan += best_fit({int(a): int(n) for a, n in zip(sizes, left) if n}, capacity)
+    return Solved(plan, placed / total if total else 1.0, alone + math.ceil(lower - 1e-6))
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -249,7 +304,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     rows = pieces.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # at most `capacity` rows
     sizes = np.array([r["length"] for r in rows], dtype=np.int64)
     counts = np.array([r["n"] for r in rows], dtype=np.int64)
-    places = slots(solve(sizes, counts, capacity, rounds))
+    places = slots(solve(sizes, counts, capacity, rounds).plan)
     names = "__length long, __lo long, __end long, __copies long, __first long, __offset long"
     # at most one row for each configuration and size: bounded by rounds and capacity, not by the input
     where = F.broadcast(spark.createDataFrame(places, names))

@@ -71,10 +71,10 @@ def test_edges(spark):
 
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(1)
-    for low, high in ((1, 2049), (600, 1100), (700, 720), (1, 40)):
-        lengths = rng.integers(low, high, 5000)
+    for low, high, rows in ((1, 2049, 5000), (1, 2049, 200_000), (600, 1100, 5000), (700, 720, 5000), (1, 40, 5000), (1, 2048, 150)):
+        lengths = rng.integers(low, high, rows)
         sizes, counts = np.unique(lengths, return_counts=True)
-        plan = P.solve(sizes, counts, rounds=60)
+        plan, share, bound = P.solve(sizes, counts)
         got = Counter()
         for config, m in plan:
             assert sum(k * v for k, v in config.items()) <= 2048
@@ -83,11 +83,30 @@ def test_plan_is_near_the_bound():
         assert got == Counter(dict(zip(sizes.tolist(), counts.tolist())))
         used = sum(m for _, m in plan)
         plain = sum(m for _, m in P.best_fit(dict(zip(sizes.tolist(), counts.tolist())), 2048))
-        assert -(-int(lengths.sum()) // 2048) <= used <= plain * 1.005 + 1, (low, high, used, plain)
+        assert share >= P.SHARE, (low, high, share)  # the program places the pieces, not what follows it
+        assert bound <= used <= plain * 1.005 + 2, (low, high, used, plain)
+        if low == 1 and rows > 1000:  # with many short pieces sequences can be full
+            assert used <= bound * 1.01 + 1, (low, high, used, bound)
 
 
 def test_knapsack():
     sizes, values = np.array([5, 7, 11]), np.array([5.0, 7.5, 11.2])
-    best = max(((a, b, c) for a in range(5) for b in range(4) for c in range(3) if 5 * a + 7 * b + 11 * c <= 24), key=lambda x: float(np.dot(x, values)))
-    got = P.knapsack(values, sizes, 24)
-    assert abs(sum(values[i] * n for i, n in got.items()) - float(np.dot(best, values))) < 1e-9
+    fits = [(a, b, c) for a in range(5) for b in range(4) for c in range(3) if 5 * a + 7 * b + 11 * c <= 24]
+    worth = lambda x: float(np.dot(x, values))
+    best, take = P.knapsack(values, sizes, 24)
+    got = P.content(take, sizes, 24)
+    assert abs(best[24] - max(map(worth, fits))) < 1e-9 and abs(sum(values[j] * n for j, n in got.items()) - best[24]) < 1e-9
+    few = [x for x in fits if all(a <= b for a, b in zip(x, (1, 2, 1)))]
+    got = P.bounded_knapsack(values, sizes, np.array([1, 2, 1]), 24)
+    assert abs(sum(values[j] * n for j, n in got.items()) - max(map(worth, few))) < 1e-9
+
+
+def test_other_pre_tokenizers_encode_whole(tmp_path):
+    import json
+
+    spec = json.load(open(P.tokenizer_path(), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    t = P.Tokens(str(path))
+    assert not t.plain and t.encode("one two") == raw(t.whole.encode("one two", add_special_tokens=False).ids)
