@@ -1,10 +1,11 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Shards are ranges of page_id cut from a histogram of payload bytes, so the same pages give the same shards whatever
-their partitions. Inside a shard records are sorted by page_id, headers and digests are made anew, each record is a
+Shards are ranges of page_id of about SHARD_BYTES cut from a histogram of payload bytes, so the same pages give the
+same shards whatever their partitions and the session's settings. Inside a shard records are sorted by page_id, headers and digests are made anew, each record is a
 gzip member without a time stamp, and a file is rolled when its compressed size passes `roll_bytes`. Tasks write
 under temporary names and report files as rows; after the job the driver renames exactly the reported files and
-writes the manifest last, so failed or repeated attempts leave nothing that a reader sees.
+writes the manifest last. The reader takes the manifest's files only: a folder without a manifest is no archive,
+files beside it are not read, and a file that is missing, or whose bytes, SHA-256 or records differ, is an error.
 
 Of records with equal payloads of at least REVISIT_BYTES the largest page_id is the response. Those decisions are
 made on digests, and reach the writer as extra rows of the same shuffle: page bodies move once.
@@ -20,6 +21,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,11 +32,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import new_path, partitions, table
+from ridgeline.llm.common import new_path, table
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 8 << 20
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 16 << 20
 BINS = 1024
 DATE = "2000-01-01T00:00:00Z"
 FILES = "name string, temporary string, records long, bytes long, sha256 string"
@@ -42,7 +44,7 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    return pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/(?!/)", uri) else uri)
 
 
 def sharder(pages: DataFrame, shard_bytes: int = SHARD_BYTES):
@@ -51,10 +53,10 @@ def sharder(pages: DataFrame, shard_bytes: int = SHARD_BYTES):
     A bin too heavy for a shard is split by hash.
     """
     spark = pages.sparkSession
-    facts = pages.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    low, high, total = facts[0] or 0, facts[1] or 0, facts[2] or 0
+    facts = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = facts[0] or 0, facts[1] or 0
     width = (high - low) // BINS + 1
-    target = max(1, min(shard_bytes, total // max(partitions(spark), 1)))
+    target = max(1, shard_bytes)
     bin_of = F.coalesce(F.expr(f"(page_id - {low}L) div {width}L"), F.lit(-1)).cast("int")
     weights = pages.groupBy(bin_of.alias("bin")).agg(F.sum("bytes").alias("w")).orderBy("bin").collect()  # BINS + 2 rows at most
     rows, shard, held = [], 0, 0
@@ -174,6 +176,7 @@ def write_warc(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_b
     folder = hadoop.Path(out)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
+    out = str(fs.makeQualified(folder))  # tasks write where the driver renames
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, mark = _Roller(out, roll_bytes), None
@@ -245,27 +248,52 @@ def parse_record(record: bytes) -> dict | None:
     }
 
 
+def read_manifest(spark: SparkSession, folder: str) -> list[dict]:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder, "_MANIFEST.json")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise ValueError(f"no manifest in {folder}: the archive was not committed")
+    stream = fs.open(path)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))["files"]
+    finally:
+        stream.close()
+
+
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per page record of the committed archives in folder."""
+    """One row per page record of the archives that the folder's manifest names; raises if they are not as it says."""
     fields = pa.schema([
         ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
         ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("html", pa.string()),
     ])
+    manifest = read_manifest(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                rows = []
-                for record in parse_members(content.as_py()):
+            for at, content in enumerate(b.column(0)):
+                name, records, size, sha = (b.column(k)[at].as_py() for k in range(1, 5))
+                content, rows, count = content.as_py(), [], 0
+                if len(content) != size or hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{name} is not what the manifest says")
+                for record in parse_members(content):
                     if (r := parse_record(record)) is not None:
                         rows.append(r)
+                        count += 1
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_pylist(rows, schema=fields)
                         rows = []
+                if count != records:
+                    raise ValueError(f"{name} holds {count} records, the manifest says {records}")
                 yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(read, RECORDS)
+    if not manifest:
+        return spark.createDataFrame([], RECORDS)
+    # a missing file fails as the paths are listed
+    files = spark.read.format("binaryFile").load([f"{folder.rstrip('/')}/{f['name']}" for f in manifest])
+    said = spark.createDataFrame([(f["name"], f["records"], f["bytes"], f["sha256"]) for f in manifest], "__name string, records long, bytes long, sha256 string")
+    files = files.select("content", F.element_at(F.split("path", "/"), -1).alias("__file")).join(F.broadcast(said), F.col("__file") == F.col("__name"))
+    return files.select("content", "__name", "records", "bytes", "sha256").mapInArrow(read, RECORDS)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

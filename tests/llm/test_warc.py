@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import os
 
+import pytest
 from oracle import check_oracle
 
 from ridgeline.llm import warc as W
@@ -51,6 +52,38 @@ def test_deterministic_files_rolling_and_manifest(spark, tmp_path):
         assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+def test_same_files_whatever_the_settings(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", str(i) * 900) for i in range(100)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        a = archive(spark, rows, f"{tmp_path}/a", shard_bytes=20_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert a == archive(spark, rows, f"{tmp_path}/b", shard_bytes=20_000) and len(a) > 4
+
+
+def test_reads_what_the_manifest_commits(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", str(i) * 900) for i in range(60)]
+    out = f"{tmp_path}/a"
+    files = archive(spark, rows, out, shard_bytes=20_000)
+    stray = f"{out}/zzz-0000.warc.gz"  # a failed attempt's file
+    open(stray, "wb").write(gzip.compress(b"WARC/1.1\r\n"))
+    assert W.read_warc(spark, out).count() == 60
+    path = f"{out}/{files[1]['name']}"
+    whole = open(path, "rb").read()
+    os.path.exists(f"{out}/.{files[1]['name']}.crc") and os.remove(f"{out}/.{files[1]['name']}.crc")
+    for damaged in (whole[:-40], whole + whole, None):
+        os.remove(path) if damaged is None else open(path, "wb").write(damaged)
+        with pytest.raises(Exception):
+            W.read_warc(spark, out).count()
+    open(path, "wb").write(whole)
+    assert W.read_warc(spark, out).count() == 60
+    os.remove(f"{out}/_MANIFEST.json")
+    with pytest.raises(ValueError):
+        W.read_warc(spark, out)
+
+
 def test_empty_and_clashing(spark, tmp_path):
     assert archive(spark, [], f"{tmp_path}/e") == []
     assert W.read_warc(spark, f"{tmp_path}/e").count() == 0
