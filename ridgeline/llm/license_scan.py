@@ -54,7 +54,7 @@ TAG = "spdx license identifier"
 WEIGHTS = {"tag": 0.9, "base": 0.7, "more": 0.5}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
-_TAG_RAW = re.compile(r"spdx[^a-z0-9]+license[^a-z0-9]+identifier[ \t]*:[ \t]*([^\r\n]*)", re.I | re.A)
+_TAG_RAW = re.compile(r"(?<![a-z0-9\u0080-\U0010ffff])spdx[^a-z0-9]+license[^a-z0-9]+identifier[ \t]*:[ \t]*([^\r\n]*)", re.I | re.A)
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -159,6 +159,7 @@ def scan_text(text: str | None, a: ahocorasick.Automaton) -> dict:
             if kind == "base":
                 base.add(label)
     if tags:
+        upto = passed = 0  # words before the place that was counted last: a tag stands at a word's start
         for m in _TAG_RAW.finditer(text):
             postfix = parse_expression(m[1])
             if not postfix:
@@ -168,7 +169,9 @@ def scan_text(text: str | None, a: ahocorasick.Automaton) -> dict:
             permissive.append(free)
             weights.append(WEIGHTS["tag"])
             expressions.append(" ".join(x for _, x in postfix))
-            spans += [(x, "tag", len(words_of(text[: m.start()]))) for x in found]
+            passed += len(words_of(text[upto : m.start()]))
+            upto = m.start()
+            spans += [(x, "tag", passed) for x in found]
     starts = [w for _, kind, w in spans if kind == "base"]
     miss = 1.0
     for w in weights:

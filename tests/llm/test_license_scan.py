@@ -49,3 +49,11 @@ def test_expression_parser():
     assert names("") == [] and names(")") == []
     assert L.evaluate(L.parse_expression("MIT OR GPL-3.0+")) == (["gpl", "mit"], True)
     assert L.evaluate(L.parse_expression("MIT AND GPL-3.0-only")) == (["gpl", "mit"], False)
+
+
+def test_places_of_many_tags():
+    line = "SPDX-License-Identifier: MIT OR Apache-2.0\n"
+    a = L.automaton(L.BASE_PHRASES, L.MORE_PHRASES)
+    text = "word xspdx-license-identifier: MIT\n" + line * 3000
+    spans = [s["word"] for s in L.scan_text(text, a)["spans"] if s["kind"] == "tag"]
+    assert spans == [w for k in range(3000) for w in [5 + 8 * k] * 2]
