@@ -642,24 +642,71 @@ def _scan(spark, method, n=12, refine=1, warm=None):
     return scan, scan.run(p, warm)
 
 
-@register("scan_lbfgsb")
+def plane_sql(n: int) -> str:
+    """The exact profile over the first two parameters: the target is a sum of two brackets, and the second one has the maximum 0."""
+    at = "-6e0 + 12e0 * {} / %d" % n
+    bracket = "-5e-2 * (pow(a * a + b - 11, 2) + pow(a + b * b - 7, 2))"
+    return f"WITH g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, {at.format('i')} AS a, {at.format('j')} AS b FROM range({n + 1}) x(i), range({n + 1}) y(j)), v AS (SELECT i0, i1, {bracket} AS logl FROM g) SELECT i0, i1, round(logl, 3) AS logl FROM v WHERE logl > -4.9e0"
+
+
+def in_plane(state: DataFrame) -> DataFrame:
+    """The cells that are surely in the region of interest."""
+    return state.filter("logl > -4.9").select("i0", "i1", F.round("logl", 3).alias("logl"))
+
+
+@register("scan_lbfgsb", plane_sql(12))
 def scan_lbfgsb(spark, sf):
-    return _scan(spark, "lbfgs", warm=log(spark, sf))[1].solutions
+    return in_plane(_scan(spark, "lbfgs", warm=log(spark, sf))[1].state)
 
 
-@register("scan_multistart")
+@register("scan_multistart", plane_sql(12))
 def scan_multistart(spark, sf):
-    return _scan(spark, "lbfgs")[1].solutions
+    return in_plane(_scan(spark, "lbfgs")[1].state)
 
 
-@register("scan_de")
+@register("scan_de", plane_sql(12))
 def scan_de(spark, sf):
-    return _scan(spark, "de", warm=log(spark, sf))[1].solutions
+    return in_plane(_scan(spark, "de", warm=log(spark, sf))[1].state)
+
 
+# a new node is worked on where the bilinear value of its coarse corners lies in the region
+_REFINED = plane_sql(24).replace("SELECT i0, i1, round(logl, 3) AS logl FROM v WHERE logl > -4.9e0", (
+    "c AS (SELECT i0 // 2 AS k, i1 // 2 AS l, logl FROM v WHERE i0 % 2 = 0 AND i1 % 2 = 0), "
+    "w AS (SELECT i0, i1, v.logl AS logl, avg(c.logl) AS guess FROM v JOIN c ON c.k BETWEEN i0 // 2 AND (i0 + 1) // 2 AND c.l BETWEEN i1 // 2 AND (i1 + 1) // 2 GROUP BY i0, i1, v.logl) "
+    "SELECT i0, i1, round(logl, 3) AS logl FROM w WHERE logl > -4.9e0 AND guess >= (SELECT max(logl) FROM c) - 5e0"
+)).replace("), v AS", "), v AS", 1).replace(" FROM g) c AS", " FROM g), c AS")
 
-@register("scan_refined")
+
+@register("scan_refined", _REFINED)
 def scan_refined(spark, sf):
-    return _scan(spark, "lbfgs", 12, 2, log(spark, sf))[1].refined.solutions
+    return in_plane(_scan(spark, "lbfgs", 12, 2, log(spark, sf))[1].refined.state)
+
+
+def _logged(spark, sf):
+    from ridgeline.plans.scan import Scan
+
+    p = Projection.of([0, 1], [12, 12], BOX)
+    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0, log=True))
+    return scan, p, scan.run(p, log(spark, sf))
+
+
+@register("scan_log_counts", "SELECT true AS counts_agree, true AS values_agree, 0 AS outside")
+def scan_log_counts(spark, sf):
+    """The evaluation log holds as many rows as the scan counts, each the target's value at a point of the box."""
+    scan, _, result = _logged(spark, sf)
+    calls = scan.log().withColumn("again", TARGET.column(XS))
+    return calls.agg(
+        (F.count("*") == result.metrics["evaluations"]).alias("counts_agree"),
+        (F.max(F.abs(F.col("logl") - F.col("again"))) < 1e-9).alias("values_agree"),
+        F.count_if(~G.inside(XS, BOX)).cast("int").alias("outside"),
+    )
+
+
+@register("scan_log_profile", plane_sql(12))
+def scan_log_profile(spark, sf):
+    """The profile of a scan's own log is the scan's profile."""
+    scan, p, _ = _logged(spark, sf)
+    return in_plane(R.best_per_cell(G.with_cells(scan.log().select(*XS, "logl"), p), p.cells).select("i0", "i1", "logl"))
 
 
 @register("volume_samples")
@@ -670,11 +717,28 @@ def volume_samples(spark, sf):
     return sample_volume(scan, [result], VolumeConfig(roi_threshold=5.0, n_walkers=100, n_steps=5), log(spark, sf))[0]
 
 
-@register("optima_registry")
+@register("volume_band", "SELECT true AS in_band, true AS in_box, true AS exact, true AS many")
+def volume_band(spark, sf):
+    """Samples lie in the box and the band, carry the target's value, and are more than the walkers."""
+    d = volume_samples(spark, sf).withColumn("again", TARGET.column(XS))
+    return d.agg(
+        (F.max("logl") - F.min("logl") <= 5.0).alias("in_band"), F.bool_and(G.inside(XS, BOX)).alias("in_box"),
+        (F.max(F.abs(F.col("logl") - F.col("again"))) < 1e-9).alias("exact"), (F.count("*") > 100).alias("many"),
+    )
+
+
+_PEAKS = "(VALUES (3.0, 2.0), (-2.8, 3.1), (-3.8, -3.3), (3.6, -1.8))"
+
+
+@register(
+    "optima_registry",
+    f"SELECT CAST(a.x AS DOUBLE) AS x0, CAST(a.y AS DOUBLE) AS x1, CAST(b.x AS DOUBLE) AS x2, CAST(b.y AS DOUBLE) AS x3, true AS peak FROM {_PEAKS} a(x, y), {_PEAKS} b(x, y)",
+)
 def optima_registry(spark, sf):
+    """The optima that a multistart registers at the top: every pair of the four published peaks of the target's brackets."""
     result = _scan(spark, "lbfgs")[1]
-    rows = [(k, [float(x) for x in o["point"]], float(o["value"]), int(o["count"])) for k, o in enumerate(result.optima)]
-    return spark.createDataFrame(rows, "seq int, point array<double>, value double, hits int")
+    rows = [(*[round(float(x), 1) for x in o["point"]], True) for o in result.optima if o["value"] > -1e-4]
+    return spark.createDataFrame(rows, "x0 double, x1 double, x2 double, x3 double, peak boolean")
 
 
 @register("dbscan_modes", None)

@@ -98,9 +98,9 @@ class VolumeConfig:
     """Settings of volume sampling; unknown keys are refused."""
 
     roi_threshold: float = 4.0
-    n_walkers: int = 200
+    n_walkers: int = 1000
     n_steps: int = 50
-    sigma_frac: float = 0.25
+    sigma_frac: float = 0.1
     partner_level_window: float | None = None
     warm_start: bool = True
     eval_budget: int | None = None
@@ -146,7 +146,7 @@ class ScanConfig:
     min_starts: int = 10
     n_optima: object = None
     merge_radius: float = 0.02
-    generations: int = 60
+    generations: int = 100_000
     convergence: float = 1e-6
     window: int = 3
     early_exit: bool = True
@@ -154,6 +154,9 @@ class ScanConfig:
     suspect_k: float = 3.0
     suspect_fraction: float = 0.25
     seed: int = 20240
+    gradient: bool = True  # use the target's own gradient where it has one
+    central: bool = False  # central instead of forward differences
+    log: bool = False  # keep every evaluation: Scan.log()
     optima_range: tuple | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:

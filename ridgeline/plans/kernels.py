@@ -23,17 +23,23 @@ class Run:
     gradients: int = 0
 
 
-def difference_gradient(f: Objective, x: np.ndarray, fx: float, bounds: np.ndarray, central: bool = False) -> tuple[np.ndarray, int]:
-    """All probes in one call of f; at an upper bound the probe steps inward."""
+def difference_gradient(
+    f: Objective, x: np.ndarray, fx: float, bounds: np.ndarray, central: bool = False, which: np.ndarray | None = None
+) -> tuple[np.ndarray, int]:
+    """All probes in one call of f, those of the components `which` only if given; at an upper bound a probe steps inward."""
+    at = np.arange(len(x)) if which is None else np.flatnonzero(which)
     step = np.maximum(np.abs(x) * 1e-7, 1e-8)
     up = np.where(x + step <= bounds[:, 1], step, -step)
-    probes = x + np.diag(up)
+    probes = x + np.diag(up)[at]
+    out = np.zeros(len(x))
     if central:
         down = np.where(x - up >= bounds[:, 0], -up, 0.0)
-        both = f(np.concatenate([probes, x + np.diag(down)]))
-        hi, lo = both[: len(x)], np.where(down == 0, fx, both[len(x) :])
-        return (hi - lo) / (up - down), 2 * len(x)
-    return (f(probes) - fx) / up, len(x)
+        both = f(np.concatenate([probes, x + np.diag(down)[at]]))
+        hi, lo = both[: len(at)], np.where(down[at] == 0, fx, both[len(at) :])
+        out[at] = (hi - lo) / (up - down)[at]
+        return out, 2 * len(at)
+    out[at] = (f(probes) - fx) / up[at]
+    return out, len(at)
 
 
 def lbfgs(
@@ -42,8 +48,9 @@ def lbfgs(
 ) -> Run:
     """Maximises f in a box by limited-memory quasi-Newton steps on the free variables; the best iterate is kept.
 
-    Steps are projected on the box, and a backtracking search tries its step lengths in one call of f. Converged means
-    that an accepted step gained less than ftol (absolute).
+    Steps are projected on the box. A backtracking search tries its step lengths in calls of growing size, the whole
+    step alone first; evals counts every point given to f. Converged means that an accepted step gained less than ftol
+    (absolute).
     """
     bounds = np.asarray(bounds, dtype=float)
     x = np.clip(np.asarray(x0, dtype=float), bounds[:, 0], bounds[:, 1])
@@ -58,9 +65,10 @@ def lbfgs(
             gradients += 1
             if np.isfinite(g).all():
                 return g
-            d, n = difference_gradient(f, x, fx, bounds, central)
+            # components that the function leaves out come from differences
+            d, n = difference_gradient(f, x, fx, bounds, central, ~np.isfinite(g))
             evals += n
-            return np.where(np.isfinite(g), g, d)
+            return np.where(np.isfinite(g), g, np.where(np.isfinite(d), d, 0.0))
         g, n = difference_gradient(f, x, fx, bounds, central)
         evals += n
         return np.where(np.isfinite(g), g, 0.0)
@@ -89,12 +97,12 @@ def lbfgs(
         if q @ g <= 0:
             q, pairs = np.where(stuck, 0.0, g), []
         gained = False
-        for lo in range(0, len(lengths), 6):
-            tries = np.clip(x + lengths[lo : lo + 6, None] * q, bounds[:, 0], bounds[:, 1])
+        for lo, hi in ((0, 1), (1, 3), (3, 7), (7, 15), (15, len(lengths))):
+            tries = np.clip(x + lengths[lo:hi, None] * q, bounds[:, 0], bounds[:, 1])
             values = f(tries)
             good = np.flatnonzero(values >= fx + 1e-4 * ((tries - x) @ g))
             good = good[values[good] > fx]
-            evals += int(good[0]) + 1 if len(good) else len(tries)  # a sequential search would have stopped there
+            evals += len(tries)
             if len(good):
                 new, fnew, gained = tries[good[0]], float(values[good[0]]), True
                 break

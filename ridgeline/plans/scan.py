@@ -8,6 +8,7 @@ the region of interest are ever made.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -67,6 +68,9 @@ def normalised_gradient(raw, n: int) -> np.ndarray:
     return out
 
 
+CALLS = "array<struct<x: array<double>, logl: double>>"
+
+
 @dataclass
 class Result:
     projection: Projection
@@ -88,6 +92,28 @@ class Scan:
         self.bounds = [(float(a), float(b)) for a, b in (bounds or target.bounds)]
         self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.pool: DataFrame | None = None
+        self._calls: list[DataFrame] = []
+
+    # -- the evaluation log ------------------------------------------------------------------------------------
+
+    def _record(self, calls: DataFrame, phase: int | None = None) -> None:
+        """Keeps evaluations x0.., logl and, unless given, phase: a view of a stored table."""
+        if self.config.log:
+            xs = [f"x{k}" for k in range(len(self.bounds))]
+            self._calls.append(calls.select(*xs, "logl", F.col("phase") if phase is None else F.lit(phase).cast("int").alias("phase")))
+
+    def _explode(self, raw: DataFrame) -> DataFrame:
+        each = raw.select("phase", F.explode("calls").alias("c"))
+        return each.select(*[F.col("c.x")[k].alias(f"x{k}") for k in range(len(self.bounds))], F.col("c.logl").alias("logl"), "phase")
+
+    def log(self) -> DataFrame:
+        """x0.., logl, phase: one row for each evaluation of the target so far (config.log), in stored tables."""
+        if not self._calls:
+            return self.spark.createDataFrame([], ", ".join(f"x{k} double" for k in range(len(self.bounds))) + ", logl double, phase int")
+        out = self._calls[0]
+        for calls in self._calls[1:]:
+            out = out.unionByName(calls)
+        return out
 
     # -- one kernel row per cell -------------------------------------------------------------------------------
 
@@ -113,6 +139,7 @@ class Scan:
         bounds = np.array([p.bounds[d] for d in p.profiled]).reshape(-1, 2)
         phase = JOB_PHASE[job]
         order = np.argsort([*p.dims, *p.profiled])
+        user = getattr(target, "gradient", None) if c.gradient else None
 
         def run(frames):
             for pdf in frames:
@@ -120,10 +147,18 @@ class Scan:
                 for r in pdf.itertuples(index=False):
                     cell = [int(getattr(r, n)) for n in names]
                     fixed = np.array([p.coordinate(k, i) for k, i in enumerate(cell)])
+                    calls = []
 
-                    def f(phi, fixed=fixed):
-                        full = np.concatenate([np.broadcast_to(fixed, (len(phi), len(fixed))), phi], axis=1)
-                        return target(full[:, order])
+                    def f(phi, fixed=fixed, calls=calls):
+                        full = np.concatenate([np.broadcast_to(fixed, (len(phi), len(fixed))), phi], axis=1)[:, order]
+                        out = target(full)
+                        if c.log:
+                            calls += [{"x": x.tolist(), "logl": float(v)} for x, v in zip(full, out)]
+                        return out
+
+                    def slope(phi, fixed=fixed):
+                        raw = user(np.concatenate([fixed, phi])[order])
+                        return normalised_gradient(raw, len(order))[list(p.profiled)]
 
                     rng = K.stream(c.seed, phase, *p.dims, *cell)
                     given = [np.clip(np.asarray(s, dtype=float), bounds[:, 0], bounds[:, 1]) for s in (r.starts if r.starts is not None else []) if s is not None]
@@ -146,13 +181,18 @@ class Scan:
                         x, fx, n, _ = K.evolve(f, x, fx, bounds, rng, c.generations, 1 if agree else c.window, c.convergence, given[0] if given else None)
                         evals += n
                         best = int(fx.argmax())
-                    run_ = K.lbfgs(f, x[best], bounds, c.max_iter, c.ftol)
-                    evals += run_.evals - 1
-                    rows.append((*cell, run_.value, *map(float, run_.x), evals, bool(run_.converged), phase))
-                cols = [*names, "logl", *[f"p{k}" for k in range(len(bounds))], "evals", "done", "phase"]
+                    run_ = K.lbfgs(f, x[best], bounds, c.max_iter, c.ftol, gradient=slope if user is not None else None, central=c.central)
+                    evals += run_.evals
+                    rows.append((*cell, run_.value, *map(float, run_.x), evals, bool(run_.converged), phase, calls)[: len(cols)])
                 yield pd.DataFrame(rows, columns=cols)
 
-        return work.repartition(self.partitions, *names).mapInPandas(run, self._state_schema(p))
+        cols = [*names, "logl", *[f"p{k}" for k in range(len(bounds))], "evals", "done", "phase", *(["calls"] if c.log else [])]
+        out = work.repartition(self.partitions, *names).mapInPandas(run, self._state_schema(p) + (f", calls {CALLS}" if c.log else ""))
+        if not c.log:
+            return out
+        out = stored(out, "calls")
+        self._record(self._explode(out))
+        return out.drop("calls")
 
     # -- stages ------------------------------------------------------------------------------------------------
 
@@ -180,19 +220,34 @@ class Scan:
         starts = K.latin_hypercube(K.stream(c.seed, 0), c.n_starts or min(400, 50 * len(bounds)), bounds)
         registry: list[dict] = []
         evals = 0
+        user = getattr(target, "gradient", None) if c.gradient else None
+        slope = (lambda x: normalised_gradient(user(x), len(x))) if user is not None else None
+        phase = JOB_PHASE["INITIAL_OPTIMIZATION"]
 
         def run(frames):
             for pdf in frames:
                 out = []
                 for i, x in zip(pdf["id"], pdf["x"]):
-                    r = K.lbfgs(target, np.array(x), bounds, 4 * c.max_iter, c.ftol)
-                    out.append((i, r.x.tolist(), r.value, r.evals, r.converged))
-                yield pd.DataFrame(out, columns=["id", "x", "value", "evals", "converged"])
+                    calls = []
+
+                    def f(points, calls=calls):
+                        values = target(points)
+                        if c.log:
+                            calls += [{"x": x.tolist(), "logl": float(v)} for x, v in zip(points, values)]
+                        return values
+
+                    r = K.lbfgs(f, np.array(x), bounds, 4 * c.max_iter, c.ftol, gradient=slope, central=c.central)
+                    out.append((i, r.x.tolist(), r.value, r.evals, r.converged, phase, calls))
+                yield pd.DataFrame(out, columns=["id", "x", "value", "evals", "converged", "phase", "calls"])
 
         for lo in range(0, len(starts), c.batch):
             part = [(lo + i, s.tolist()) for i, s in enumerate(starts[lo : lo + c.batch])]
             df = self.spark.createDataFrame(part, "id int, x array<double>").repartition(min(self.partitions, len(part)))
-            rows = sorted(df.mapInPandas(run, "id int, x array<double>, value double, evals long, converged boolean").collect(), key=lambda r: r["id"])
+            df = df.mapInPandas(run, f"id int, x array<double>, value double, evals long, converged boolean, phase int, calls {CALLS}")
+            if c.log:
+                df = stored(df, "calls")
+                self._record(self._explode(df))
+            rows = sorted(df.drop("calls").collect(), key=lambda r: r["id"])
             for r in rows:  # at most `batch` rows, in the order of their starts
                 evals += r["evals"]
             for k, r in enumerate(rows):
@@ -211,19 +266,40 @@ class Scan:
         cols = [*p.cells, (-F.col("b.v")).alias("logl"), *[F.col(f"b.{x}").alias(x) for x in phi], "evals", F.col("b.done").alias("done"), F.col("b.phase").alias("phase")]
         return stored(both.select(*cols), name)
 
-    def _starts(self, target_cells: DataFrame, state: DataFrame, p: Projection, most: int = 2) -> DataFrame:
+    def _starts(self, target_cells: DataFrame, state: DataFrame, p: Projection, most: int = 2, kind: str = "moore", k: int = 1) -> DataFrame:
         """cells with `starts`: parameters of the best known neighbours, the best first."""
         phi = F.array(*[F.col(f"p{k}_n") for k in range(len(p.profiled))])
         keys = [f"n{j}" for j in range(len(p.dims))]
-        near = G.neighbours(target_cells.select(*p.cells), p).join(G.renamed(state, p), keys)
+        near = G.neighbours(target_cells.select(*p.cells), p, kind, k).join(G.renamed(state, p), keys)
         best = near.groupBy(*p.cells).agg(F.sort_array(F.collect_list(F.struct((-F.col("logl_n")).alias("v"), phi.alias("phi")))).alias("l"))
         return best.select(*p.cells, F.transform(F.slice("l", 1, most), lambda x: x["phi"]).alias("starts"))
 
+    def initial_points(self, points: DataFrame) -> int:
+        """Evaluates points x0.. inside the box and adds them to what scans start from; how many there were."""
+        xs = [f"x{k}" for k in range(len(self.bounds))]
+        inside = points.select(*xs).filter(G.inside(xs, self.bounds))
+        if hasattr(self.target, "sql"):
+            tried = inside.withColumn("logl", self.target.column(xs))
+        else:
+            target = self.target
+
+            def run(frames):
+                for pdf in frames:
+                    yield pdf.assign(logl=target(pdf[xs].to_numpy(float)))
+
+            tried = inside.mapInPandas(run, ", ".join(f"{x} double" for x in xs) + ", logl double")
+        tried = stored(tried, "initial")
+        self._record(tried, JOB_PHASE["INITIAL_POINT_EVAL"])
+        self.pool = tried if self.pool is None else self.pool.unionByName(tried)
+        return tried.count()
+
     def run(self, p: Projection, warm: DataFrame | None = None) -> Result:
         """One projection. warm: logged points x0.. and logl; with seeds from it, or from the pool, no multistart."""
         c = self.config
         if not p.profiled:
             state = stored(self.direct(p), "direct")
+            at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)}
+            self._record(G.with_coordinates(state, p).select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl", "phase"))
             return Result(p, state, self._metrics(state, 0, 0))
         d = len(p.bounds)
         xs = [f"x{k}" for k in range(d)]
@@ -281,6 +357,8 @@ class Scan:
             tried = stored(tried, "tried")
             won = tried.filter(F.col("logl") > F.col("own") + self.config.convergence)
             n = tried.count()
+            at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)} | {d: F.col(f"p{k}") for k, d in enumerate(p.profiled)}
+            self._record(tried.select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl"), JOB_PHASE["PATCHING_TEST"])
             state = self._charge(state, tried.select(*p.cells), p) if n else state
             if won.isEmpty():
                 return state
@@ -295,7 +373,8 @@ class Scan:
         return stored(out, "charged")
 
     def recheck(self, state: DataFrame, p: Projection) -> DataFrame:
-        """Cells whose parameters stand out start again from their neighbours' and ring's parameters."""
+        """Cells whose parameters stand out start again: from the best neighbours that do not, the best of the ring of
+        distance 2 to 3, and their own parameters; so a cell amid others that stand out starts again as well."""
         c = self.config
         phi = [f"p{k}" for k in range(len(p.profiled))]
         extents = [p.bounds[d][1] - p.bounds[d][0] for d in p.profiled]
@@ -304,7 +383,11 @@ class Scan:
             if odd.isEmpty():
                 return state
             sane = state.join(odd, p.cells, "left_anti")
-            near = self._starts(odd, sane, p, 3)
+            seeds = None
+            for part in (self._starts(odd, sane, p, 3), self._starts(odd, sane, p, 2, "ring", 3), state.join(odd, p.cells, "left_semi").select(*p.cells, F.array(F.array(*phi)).alias("starts"))):
+                part = part.select(*p.cells, F.lit(0 if seeds is None else 1).alias("o"), "starts")
+                seeds = part if seeds is None else seeds.unionByName(part)
+            near = seeds.groupBy(*p.cells).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "starts"))), lambda x: x["starts"]))).alias("starts"))
             again = self.optimise(near, p, "SUSPECT_RECHECK_LBFGSB", "lbfgs")
             merged = self._merge(state, again, p, "rechecked")
             if S.improved(merged.select(*p.cells, (F.col("logl") - 1e-3).alias("logl")), state, p).isEmpty():
@@ -358,7 +441,6 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
     roi, w = config.roi_threshold, config.n_walkers
     xs = [f"x{k}" for k in range(d)]
     sigma = config.sigma_frac * roi
-    draws = min(10_000 * w, 4096 * 64)
     rotation = K.stream(seed, 77).random(d)
     lows, spans = np.array(scan.bounds)[:, 0], np.diff(np.array(scan.bounds), axis=1)[:, 0]
 
@@ -367,9 +449,15 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
             x = lows + K.halton(pdf["id"].to_numpy(), d, rotation) * spans
             yield pd.DataFrame({"id": pdf["id"], **{n: x[:, k] for k, n in enumerate(xs)}})
 
-    cand = spark.range(draws).mapInPandas(points, "id long, " + ", ".join(f"{x} double" for x in xs))
-    inside = G.envelope(cand, [(r.projection, r.state) for r in results], top - roi).orderBy("id").limit(w)
-    rows = sorted(inside.collect(), key=lambda r: r["id"])  # at most n_walkers rows
+    # draws in growing batches, until w seeds lie inside or 10,000 a walker are drawn
+    rows, lo, hi = [], 0, min(10_000 * w, 1 << 18)
+    while len(rows) < w and lo < 10_000 * w:
+        cand = spark.range(lo, hi).mapInPandas(points, "id long, " + ", ".join(f"{x} double" for x in xs))
+        inside = G.envelope(cand, [(r.projection, r.state) for r in results], top - roi).orderBy("id").limit(w - len(rows))
+        rows += sorted(inside.collect(), key=lambda r: r["id"])  # at most n_walkers rows
+        lo, hi = hi, min(10_000 * w, 4 * hi)
+    if 2 <= len(rows) < w:
+        warnings.warn(f"{len(rows)} of {w} walkers: no more of {lo} draws lie inside the envelope", stacklevel=2)
     if len(rows) < 2:
         raise ValueError("fewer than two seeds lie inside the envelope")
     w = len(rows)
@@ -413,6 +501,7 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
         return tried.withColumns({"in_box": ok, "accept": accept})
 
     current = stored(evaluated(walkers), "walkers")
+    scan._record(current, JOB_PHASE["VOLUME"])
     made = [current.select(*xs, "logl")]
     evals, sweeps, accepted, budget = w, 0, 0, config.eval_budget
     for sweep in range(config.n_steps if budget is None else max(budget // w, 1)):
@@ -421,6 +510,7 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
             if budget is not None and evals + size > budget:
                 break
             step = stored(half_step(current, 2 * sweep + half, half), "step")
+            scan._record(step, JOB_PHASE["VOLUME"])
             made.append(step.filter("in_box").select(*xs, "logl"))
             moved = step.select("w", *[F.when(F.col("accept"), F.col(x)).otherwise(F.col(f"{x}_was")).alias(x) for x in xs], "level", F.when(F.col("accept"), F.col("logl")).otherwise(F.col("old")).alias("logl"))
             accepted += step.agg(F.count_if("accept").alias("n")).first()["n"]
