@@ -140,7 +140,8 @@ def _chosen(labelled: DataFrame, per_language: int) -> DataFrame:
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id")
     rows = rows.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53)))
     counts = rows.groupBy(F.col("lang").alias("__of")).agg(F.count("*").alias("__n"))
-    low = rows.join(counts, F.col("lang") == F.col("__of")).filter(F.col("__part") * F.col("__n") < 1.5 * per_language + 100)
+    # one row per language, as the prototypes that the driver holds: else the rows would meet their counts by language
+    low = rows.join(F.broadcast(counts), F.col("lang") == F.col("__of")).filter(F.col("__part") * F.col("__n") < 1.5 * per_language + 100)
     w = Window.partitionBy("lang").orderBy("__part", "doc_id")
     ids = (
         low.withColumn("rank", F.row_number().over(w))
