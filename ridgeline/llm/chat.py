@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import partitions, table, written
-from ridgeline.llm.packing import tokenizer_path
+from ridgeline.llm.packing import tokenizer_path, tokens
 
 #: Opening and closing strings of a turn by role; other roles are named in their opening.
 TEMPLATE = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("<s>[INST] ", " [/INST]"), "assistant": ("", "</s>")}
@@ -96,6 +96,28 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def encode(path: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, starts and ends of a text's tokens in characters.
+
+    Tokens of a byte-level vocabulary follow each other without a gap, so their places are the running sum of their
+    bytes; a token that begins or ends inside a character covers all of it. Other texts take the tokenizer's offsets.
+    """
+    t = tokens(path)
+    raw = t.encode_plain(text)
+    if raw is None:
+        e = encoder(path).encode(text, add_special_tokens=False)
+        offsets = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
+        return np.array(e.ids, dtype=np.int32), offsets[:, 0], offsets[:, 1]
+    ids = np.frombuffer(raw, dtype="<u4").astype(np.int32)
+    stops = np.cumsum(t.sizes[ids], dtype=np.int64)
+    if text.isascii():
+        ends = stops.astype(np.int32)
+        return ids, np.concatenate([np.zeros(1, np.int32), ends])[: len(ids)], ends
+    leads = (np.frombuffer(text.encode("utf-8"), dtype=np.uint8) & 0xC0) != 0x80
+    character = np.cumsum(leads, dtype=np.int32) - 1
+    return ids, character[np.concatenate([[0], stops[:-1]])], character[stops - 1] + 1
+
+
 def token_ranges(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """For each span the range of tokens that share a character with it; empty spans have none."""
     out = []
@@ -110,13 +132,16 @@ def text_under_mask(formatted: str, starts: np.ndarray, ends: np.ndarray, spans:
     """Per span what its tokens cover inside it, every character once."""
     out = []
     for (lo, hi), (first, last) in zip(spans, ranges):
-        parts, at = [], lo
-        for k in range(first, last):
-            s, e = max(at, int(starts[k])), min(hi, int(ends[k]))
-            if e > s:
-                parts.append(formatted[s:e])
-                at = e
-        out.append("".join(parts))
+        if first >= last:
+            out.append("")
+            continue
+        upto = np.maximum(lo, np.minimum(ends[first:last], hi))
+        since = np.maximum(starts[first:last], np.concatenate([[lo], np.maximum.accumulate(upto)[:-1]]))
+        new = upto > since
+        since, upto = since[new], upto[new]
+        gaps = np.flatnonzero(since[1:] != upto[:-1]) + 1
+        at = [0, *gaps.tolist(), len(since)]
+        out.append("".join(formatted[int(since[i]) : int(upto[j - 1])] for i, j in zip(at, at[1:]) if i < j))
     return out
 
 
@@ -138,19 +163,22 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> D
         ("ends", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_())), ("spans", pa.list_(span)),
     ])
 
-    def one(conv_id: int | None, turns: list[tuple[str, str]]) -> dict:
+    def one(conv_id: int | None, turns: list[tuple[str, str]]) -> tuple:
         formatted, spans = render(turns)
-        e = encoder(path).encode(formatted, add_special_tokens=False)
-        offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-        starts, ends = offsets[:, 0], offsets[:, 1]
+        ids, starts, ends = encode(path, formatted)
         ranges = token_ranges(starts, ends, spans)
         mask = np.zeros(len(starts), dtype=bool)
         for first, last in ranges:
             mask[first:last] = True
-        return {
-            "conv_id": conv_id, "formatted": formatted, "ids": e.ids, "starts": starts.tolist(), "ends": ends.tolist(), "mask": mask.tolist(),
-            "spans": [{"lo": a, "hi": b, "first": c, "last": d} for (a, b), (c, d) in zip(spans, ranges)],
-        }
+        return conv_id, formatted, ids, starts, ends, mask, [{"lo": a, "hi": b, "first": c, "last": d} for (a, b), (c, d) in zip(spans, ranges)]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*out)] or [[] for _ in fields]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in columns[2]], dtype=np.int64)]).astype(np.int32)
+        for i in range(2, 6):
+            values = np.concatenate(columns[i]) if out else np.empty(0)
+            columns[i] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, fields.field(i).type.value_type))
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_id, turns, began, out = None, [], False, []
@@ -160,13 +188,13 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> D
                     out.append(one(open_id, turns))
                     turns = []
                     if len(out) >= 64:
-                        yield pa.RecordBatch.from_pylist(out, schema=fields)
+                        yield batch(out)
                         out = []
                 open_id, began = c, True
                 turns.append((role or "", text or ""))
         if began:
             out.append(one(open_id, turns))
-        yield pa.RecordBatch.from_pylist(out, schema=fields)
+        yield batch(out)
 
     return dealt.mapInArrow(run, FORMATTED)
 
@@ -181,18 +209,20 @@ def read_back(formatted: DataFrame) -> DataFrame:
         # some rows at a time: tokens as Python objects take far more room than in the batch
         for b in (whole.slice(lo, 64) for whole in batches for lo in range(0, whole.num_rows, 64)):
             out = []
-            for r in b.to_pylist():
-                starts, ends = np.array(r["starts"], dtype=np.int64), np.array(r["ends"], dtype=np.int64)
-                spans = [(s["lo"], s["hi"]) for s in r["spans"]]
-                ranges = [(s["first"], s["last"]) for s in r["spans"]]
-                assert all(all(r["mask"][a:z]) for a, z in ranges)
-                loss = "".join(map(unescape, text_under_mask(r["formatted"], starts, ends, spans, ranges)))
-                turns = parse(r["formatted"])
+            small = [b.column(n).to_pylist() for n in ("conv_id", "formatted", "spans")]
+            for conv_id, formatted, places, starts, ends, mask in zip(*small, *(b.column(n) for n in ("starts", "ends", "mask"))):
+                starts, ends = starts.values.to_numpy(), ends.values.to_numpy()
+                mask = mask.values.to_numpy(zero_copy_only=False)
+                spans = [(s["lo"], s["hi"]) for s in places]
+                ranges = [(s["first"], s["last"]) for s in places]
+                assert all(mask[a:z].all() for a, z in ranges)
+                loss = "".join(map(unescape, text_under_mask(formatted, starts, ends, spans, ranges)))
+                turns = parse(formatted)
                 digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode("utf-8", "surrogatepass"))
                 out.append({
-                    "conv_id": r["conv_id"], "n_turns": len(turns), "turns_sha256": digest.hexdigest(), "loss_chars": len(loss),
-                    "loss_sha256": hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), "formatted_chars": len(r["formatted"]),
-                    "n_tokens": len(r["ids"]), "n_loss_tokens": sum(r["mask"]),
+                    "conv_id": conv_id, "n_turns": len(turns), "turns_sha256": digest.hexdigest(), "loss_chars": len(loss),
+                    "loss_sha256": hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), "formatted_chars": len(formatted),
+                    "n_tokens": len(mask), "n_loss_tokens": int(mask.sum()),
                 })
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 

@@ -83,6 +83,9 @@ class Tokens:
         alphabet |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, dtype=np.int32)
+        for t, i in ranks.items():
+            self.sizes[i] = len(t)
         self.fast = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|\x00").search
 
@@ -95,8 +98,13 @@ class Tokens:
         return got
 
     def encode(self, text: str) -> bytes:
+        got = self.encode_plain(text)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if got is None else got
+
+    def encode_plain(self, text: str) -> bytes | None:
+        """The ids where they cover the text's bytes in order, none left out; else null."""
         if not self.plain or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return None
         if self.odd(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
         # every chunk but a line's first keeps the blank before it

@@ -33,6 +33,38 @@ def test_mask_covers_each_assistant_text_once(turns):
     assert [C.unescape(x) for x in got] == [t for r, t in turns if r == "assistant"]
 
 
+def one_by_one(formatted, starts, ends, spans, ranges):
+    out = []
+    for (lo, hi), (first, last) in zip(spans, ranges):
+        hit = sorted({c for k in range(first, last) for c in range(max(lo, int(starts[k])), min(hi, int(ends[k])))})
+        out.append("".join(formatted[c] for c in hit))
+    return out
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(odd, st.text(st.characters(exclude_categories=["Cs"]), max_size=20)), max_size=6), st.randoms(use_true_random=False))
+def test_offsets_equal_the_tokenizers(texts, r):
+    text = r.choice([" ", "\n", ""]).join(texts)
+    ids, starts, ends = C.encode(C.tokenizer_path(), text)
+    e = C.encoder(C.tokenizer_path()).encode(text, add_special_tokens=False)
+    assert ids.tolist() == e.ids and list(zip(starts.tolist(), ends.tolist())) == e.offsets
+    # spans and ranges at will: the mask may leave tokens out in between
+    spans, ranges = [], []
+    for _ in range(4):
+        lo, hi = sorted(r.randint(0, len(text)) for _ in range(2))
+        first, last = sorted(r.randint(0, len(ids)) for _ in range(2))
+        spans.append((lo, hi))
+        ranges.append((first, last))
+    assert C.text_under_mask(text, starts, ends, spans, ranges) == one_by_one(text, starts, ends, spans, ranges)
+
+
+def test_special_tokens_take_the_tokenizers_offsets():
+    text = "a <|endoftext|> b \U0001f600"
+    ids, starts, ends = C.encode(C.tokenizer_path(), text)
+    e = C.encoder(C.tokenizer_path()).encode(text, add_special_tokens=False)
+    assert ids.tolist() == e.ids and list(zip(starts.tolist(), ends.tolist())) == e.offsets
+
+
 def test_oracle(spark, sf):
     check_oracle(spark, C.op5_chat, C.OP5_SQL, sf)
 
