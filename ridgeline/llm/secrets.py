@@ -179,6 +179,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     word = lambda: pick(string.ascii_lowercase, r.randint(2, 9))
     known = sorted(DICTIONARY)
     prose = lambda k: " ".join(word() if r.random() < 0.7 else r.choice(known) for _ in range(k))
+    # a made-up word with digits, another one, and signs: what people choose
+    password = lambda: f"{r.choice((word(), word().capitalize()))}{pick(string.digits, r.randint(1, 4))}{r.choice(('', word()))}{pick('!#$%&*?@_', r.randint(1, 4))}".ljust(8, "7")
     alnum, b64, hexa = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"
     out = []
     for i in range(n):
@@ -191,9 +193,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
                 lambda: pick(hexa, r.choice((32, 40, 64))), lambda: pick(hexa.upper(), r.choice((32, 40))),
                 lambda: pick(alnum, r.randint(20, 64)), lambda: pick(b64, r.randint(24, 60)) + "=" * r.randint(0, 2),
                 lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36),
-                lambda: pick(alnum + "!#%&*+-?@^_~", r.randint(10, 24)),
+                lambda: pick(alnum + "!#%&*+-?@^_~", r.randint(10, 24)), password,
             ))()
-            if r.random() < 0.85:
+            if len(value) < 20 or r.random() < 0.85:  # shorter ones are candidates only after a sign
                 name = r.choice(("token", "secret", "api_key", "password", "auth_token", "access_key", "private_key", "API_KEY", "passwd"))
                 before, assigned = f"{prose(3)} {name} {r.choice((':', '=', ' = ', ': '))}{quoted}", True
             else:

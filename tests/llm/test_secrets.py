@@ -37,6 +37,19 @@ def test_false_positives_go():
         assert x and (forest.score(np.array(x)) < 0.5).all(), t
 
 
+def test_chosen_passwords():
+    forest, r = S.learn(), random.Random(21)
+    texts = ['password = "hunter2xyz!!"'] + [f'passwd: "{"".join(r.choice(string.ascii_lowercase) for _ in range(7))}{r.randint(10, 9999)}{r.choice("!#$")}"' for _ in range(100)]
+    got = 0
+    for t in texts:
+        x = [S.features(t[a:b], *S.around(t, a, b), "", c) for a, b, c in S.candidates(t)]
+        score = forest.score(np.array(x))
+        got += bool((score >= S.LEAST_SCORE).any())
+        assert t != texts[0] or got == 1, score
+    print("passwords found", got)
+    assert got >= 95
+
+
 def test_brute_force_forest():
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))
