@@ -53,8 +53,8 @@ class Projection:
             raise InvalidProjectionError("grid_points must be positive integers")
         if any(not (math.isfinite(lo) and math.isfinite(hi) and lo < hi) for lo, hi in bounds):
             raise ConfigurationError("each bound needs finite lower < upper")
-        if more.get("method", "lbfgs") not in ("lbfgs", "de"):
-            raise InvalidProjectionError("method must be lbfgs or de")
+        if more.get("method", "lbfgs") not in ("lbfgs", "de", "de_table"):
+            raise InvalidProjectionError("method must be lbfgs, de or de_table")
         if int(more.get("refine", 1)) < 1:
             raise InvalidProjectionError("refine must be a positive integer")
         both = sorted(zip(numbers, grid_points))
@@ -153,6 +153,13 @@ class ScanConfig:
     suspect: bool = True
     suspect_k: float = 3.0
     suspect_fraction: float = 0.25
+    suspect_gain: float = 1e-3  # what a seed must gain before a rechecked cell is polished
+    curvature: bool = True  # a run begins with the curvature that the best neighbour's run left
+    proximity: bool = True  # cells also start from the nearest point of the pool
+    patch_refined: bool = False
+    pull: float = 0.5  # chance of a trial to go towards a better neighbour (de_table)
+    archive: float = 0.1  # share of the cells that the archive of best members holds (de_table)
+    agree: float = 0.05  # spread of neighbours' parameters up to which a fresh cell needs one generation only
     seed: int = 20240
     gradient: bool = True  # use the target's own gradient where it has one
     central: bool = False  # central instead of forward differences

@@ -13,6 +13,8 @@ from ridgeline.operators.profile import best_per_cell, in_roi, top_n
 POOL_PER_DIM, POOL_LEAST, POOL_MOST = 2500, 10_000, 100_000
 #: A pool side of a nearest-neighbour join is broadcast up to this many rows.
 BROADCAST_ROWS = 200_000
+#: Pairs of queries and pool rows that a broadcast join may look at.
+PAIRS = 50_000_000
 
 
 def capacity(n_dims: int) -> int:
@@ -40,14 +42,20 @@ def squared_distance(pairs: list[tuple[str, str, float]]) -> Column:
     return out
 
 
-def nearest(queries: DataFrame, pool: DataFrame, key: list[str], pairs: list[tuple[str, str, float]], k: int, ties: list[str], pool_rows: int) -> DataFrame:
+def nearest(
+    queries: DataFrame, pool: DataFrame, key: list[str], pairs: list[tuple[str, str, float]], k: int, ties: list[str],
+    pool_rows: int, query_rows: int | None = None,
+) -> DataFrame:
     """The k nearest pool rows of each query, with `dist2` and `rank`. Columns of the two sides must differ.
 
-    The pool has pool_rows rows, a bound its maker proves (pools are capped); above BROADCAST_ROWS it is refused.
-    Every task keeps k candidates a query before the exchange.
+    The pool has pool_rows rows, a bound its maker proves. A small pool is broadcast, and every task keeps k candidates
+    a query before the exchange; with more than BROADCAST_ROWS rows, or PAIRS pairs where the number of queries is
+    given, both sides meet bucket by bucket instead.
     """
-    if pool_rows > BROADCAST_ROWS:
-        raise ValueError(f"a pool of {pool_rows} rows is beyond {BROADCAST_ROWS}; restrict it to cells near the queries first")
+    if pool_rows > BROADCAST_ROWS or pool_rows * (query_rows or 0) > PAIRS:
+        from ridgeline.operators.nearest import nearest_points
+
+        return nearest_points(queries, pool, key, pairs, k, ties)
     both = queries.join(F.broadcast(pool)).withColumn("dist2", squared_distance(pairs))
     w = Window.partitionBy(*key).orderBy("dist2", *ties)
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Projection
-from ridgeline.operators.grid import with_neighbours
+from ridgeline.operators.grid import neighbours, renamed, with_neighbours
 
 MAD_SCALE = 1.4826
 LEAST_MAD, LEAST_THRESHOLD = 1e-12, 1e-3
 AGREE = 0.05
 
 
-def best_neighbours(state: DataFrame, p: Projection, phi: list[str], k: int = 1, value: str = "logl") -> DataFrame:
-    """Each cell with the k best neighbours' values and parameters; ties go to the smallest neighbour cell."""
+def best_neighbours(state: DataFrame, p: Projection, phi: list[str], k: int = 1, value: str = "logl", of: DataFrame | None = None) -> DataFrame:
+    """Each cell (of `of`, or of state) with the k best neighbours' values and parameters; ties go to the smallest neighbour cell."""
     near = [f"n{j}" for j in range(len(p.dims))]
-    both = with_neighbours(state, p)
+    both = with_neighbours(state, p) if of is None else neighbours(of.select(*p.cells), p).join(renamed(state, p), near)
     if k == 1:  # an aggregation that combines before its exchange
         x = both.groupBy(*p.cells).agg(F.min(F.struct((-F.col(f"{value}_n")).alias("v"), *near, *[f"{c}_n" for c in phi])).alias("b"))
         return x.select(*p.cells, *[F.col(f"b.{n}").alias(n) for n in near], (-F.col("b.v")).alias(f"{value}_n"), *[F.col(f"b.{c}_n").alias(f"{c}_n") for c in phi])
@@ -38,6 +38,31 @@ def patch_candidates(state: DataFrame, p: Projection, phi: list[str], threshold:
     return out.filter((F.col("roi") | (F.col("share") > 0.5)) & (F.col(f"{value}_n") > F.col(value))).select(*p.cells, value, f"{value}_n", *[f"{c}_n" for c in phi])
 
 
+def better_neighbours(state: DataFrame, p: Projection, phi: list[str], of: DataFrame, value: str = "logl") -> DataFrame:
+    """Those cells of `of` in state whose best neighbour is better, with the neighbour's parameters to test."""
+    better = best_neighbours(state, p, phi, 1, value, of)
+    out = state.join(better, p.cells)
+    return out.filter(F.col(f"{value}_n") > F.col(value)).select(*p.cells, value, f"{value}_n", *[f"{c}_n" for c in phi])
+
+
+def around(cells: DataFrame, state: DataFrame, p: Projection) -> DataFrame:
+    """Distinct cells of state next to one of cells."""
+    near = neighbours(cells.select(*p.cells), p).select(*[F.col(f"n{j}").alias(f"i{j}") for j in range(len(p.dims))])
+    return near.distinct().join(state.select(*p.cells), p.cells, "left_semi")
+
+
+def apart(seeds: Column, extents: list[float], radius: float = 1e-3) -> Column:
+    """An array of parameter arrays without those closer than radius, over the extents, to one kept before: greedy, in order."""
+    scale = F.array(*[F.lit(float(e)) for e in extents])
+
+    def distance2(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: x - y), scale, lambda d, e: d / e * (d / e)), F.lit(0.0), lambda t, x: t + x)
+
+    return F.aggregate(
+        seeds, F.slice(seeds, 1, 0), lambda kept, s: F.when(F.exists(kept, lambda k: distance2(k, s) < radius * radius), kept).otherwise(F.concat(kept, F.array(s)))
+    )
+
+
 def improved(state: DataFrame, before: DataFrame, p: Projection, value: str = "logl") -> DataFrame:
     """Cells that are new or better than before."""
     old = before.select(*p.cells, F.col(value).alias("__old"))
@@ -72,12 +97,12 @@ def suspects(state: DataFrame, p: Projection, phi: list[str], extents: list[floa
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("__most")).select(*p.cells, "distance", "rank")
 
 
-def agreeing(state: DataFrame, p: Projection, phi: list[str], extents: list[float], limit: float = AGREE) -> DataFrame:
-    """Cells with at least two known neighbours whose parameters, with theirs, deviate from the mean by less than limit."""
-    both = with_neighbours(state, p, centre=True)
+def agreeing(state: DataFrame, p: Projection, phi: list[str], extents: list[float], limit: float = AGREE, own: bool = True) -> DataFrame:
+    """Cells with at least two known neighbours whose parameters (with theirs, if own) deviate from the mean by less than limit."""
+    both = with_neighbours(state, p, centre=own)
     stats = both.groupBy(*p.cells).agg(F.count("*").alias("around"), *[x for c in phi for x in (F.avg(f"{c}_n").alias(f"{c}_a"), F.min(f"{c}_n").alias(f"{c}_l"), F.max(f"{c}_n").alias(f"{c}_h"))])
     worst = F.greatest(*[F.greatest(F.col(f"{c}_h") - F.col(f"{c}_a"), F.col(f"{c}_a") - F.col(f"{c}_l")) / F.lit(float(e)) for c, e in zip(phi, extents)], F.lit(0.0))
-    return stats.filter(F.col("around") >= 3).withColumn("spread", worst).filter(F.col("spread") < limit).select(*p.cells, "spread")
+    return stats.filter(F.col("around") >= (3 if own else 2)).withColumn("spread", worst).filter(F.col("spread") < limit).select(*p.cells, "spread")
 
 
 def boundary_cells(labelled: DataFrame, p: Projection, label: str = "label") -> DataFrame:

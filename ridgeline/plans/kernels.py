@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -21,6 +21,8 @@ class Run:
     evals: int
     converged: bool
     gradients: int = 0
+    failures: int = 0  # of the gradient function
+    pairs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # steps and gradient changes, for a neighbour
 
 
 def difference_gradient(
@@ -45,24 +47,30 @@ def difference_gradient(
 def lbfgs(
     f: Objective, x0: np.ndarray, bounds: np.ndarray, max_iter: int = 50, ftol: float = 1e-9, memory: int = 10,
     gradient: Callable[[np.ndarray], np.ndarray] | None = None, central: bool = False,
+    pairs: list[tuple[np.ndarray, np.ndarray]] | None = None, value: float | None = None,
 ) -> Run:
     """Maximises f in a box by limited-memory quasi-Newton steps on the free variables; the best iterate is kept.
 
     Steps are projected on the box. A backtracking search tries its step lengths in calls of growing size, the whole
     step alone first; evals counts every point given to f. Converged means that an accepted step gained less than ftol
-    (absolute).
+    (absolute). pairs: curvature to begin with, as a run at a neighbour left it. value: f at x0, where it is known. A
+    gradient function that raises, or returns nothing of use, is counted, and differences take its place.
     """
     bounds = np.asarray(bounds, dtype=float)
     x = np.clip(np.asarray(x0, dtype=float), bounds[:, 0], bounds[:, 1])
-    fx, evals, gradients = float(f(x[None])[0]), 1, 0
+    fx, evals, gradients, failures = (float(f(x[None])[0]), 1, 0, 0) if value is None else (value, 0, 0, 0)
     if not len(x) or not np.isfinite(fx):
         return Run(x, fx, evals, not len(x))
 
     def slope(x: np.ndarray, fx: float) -> np.ndarray:
-        nonlocal evals, gradients
+        nonlocal evals, gradients, failures
         if gradient is not None:
-            g = np.asarray(gradient(x), dtype=float)
-            gradients += 1
+            try:
+                g = np.asarray(gradient(x), dtype=float)
+                gradients += int(np.isfinite(g).sum())
+            except Exception:  # noqa: BLE001 - a user's function may fail anywhere
+                failures += 1
+                g = np.full(len(x), np.nan)
             if np.isfinite(g).all():
                 return g
             # components that the function leaves out come from differences
@@ -74,13 +82,17 @@ def lbfgs(
         return np.where(np.isfinite(g), g, 0.0)
 
     g = slope(x, fx)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs = [(s, y) for s, y in pairs or [] if len(s) == len(x) and s @ y > 0][-memory:]
+
+    def ended(converged: bool) -> Run:
+        return Run(x, fx, evals, converged, gradients, failures, pairs)
+
     lengths = 0.5 ** np.arange(34)
     for _ in range(max_iter):
         stuck = ((x <= bounds[:, 0]) & (g < 0)) | ((x >= bounds[:, 1]) & (g > 0))
         q = np.where(stuck, 0.0, g)
         if not q.any():
-            return Run(x, fx, evals, True, gradients)
+            return ended(True)
         back = []
         for s, y in reversed(pairs):
             a = (s @ q) / (s @ y)
@@ -107,15 +119,15 @@ def lbfgs(
                 new, fnew, gained = tries[good[0]], float(values[good[0]]), True
                 break
         if not gained:
-            return Run(x, fx, evals, True, gradients)
+            return ended(True)
         gnew = slope(new, fnew)
         s, y = new - x, g - gnew
         if s @ y > 1e-10 * np.linalg.norm(s) * np.linalg.norm(y):
             pairs = [*pairs[-(memory - 1) :], (s, y)]
         gain, x, fx, g = fnew - fx, new, fnew, gnew
         if gain < ftol:
-            return Run(x, fx, evals, True, gradients)
-    return Run(x, fx, evals, False, gradients)
+            return ended(True)
+    return ended(False)
 
 
 def latin_hypercube(rng: np.random.Generator, n: int, bounds: np.ndarray) -> np.ndarray:

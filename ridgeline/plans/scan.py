@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.config import Projection, ScanConfig, VolumeConfig
@@ -22,10 +22,11 @@ from ridgeline.functions.phases import JOB_PHASE
 from ridgeline.functions.sampling import log_acceptance, stretch, umbrella, uniform
 from ridgeline.operators import grid as G
 from ridgeline.operators import state as S
+from ridgeline.operators.pool import capacity, nearest, pool_of
 from ridgeline.operators.pool import seeds as pool_seeds
 from ridgeline.operators.profile import best_per_cell
 from ridgeline.plans import kernels as K
-from ridgeline.sources.store import stored
+from ridgeline.sources.store import discarded, stored
 
 
 class PyTarget:
@@ -69,6 +70,10 @@ def normalised_gradient(raw, n: int) -> np.ndarray:
 
 
 CALLS = "array<struct<x: array<double>, logl: double>>"
+PAIRS = "array<struct<s: array<double>, y: array<double>>>"
+#: What an optimisation counts besides its evaluations: values that were not finite, gradient components that the
+#: target's own function gave, failures of that function.
+COUNTS = ["failed", "saved", "gradient_failures"]
 
 
 @dataclass
@@ -92,7 +97,11 @@ class Scan:
         self.bounds = [(float(a), float(b)) for a, b in (bounds or target.bounds)]
         self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.pool: DataFrame | None = None
+        self.pool_rows = 0
+        self.waves: list[tuple[str, int, int]] = []  # of patching and rechecking: kind, wave, rows tested
         self._calls: list[DataFrame] = []
+        self._tests = 0  # evaluations that belong to no run of an optimiser
+        self._observed: list[Observation] = []
 
     # -- the evaluation log ------------------------------------------------------------------------------------
 
@@ -119,7 +128,7 @@ class Scan:
 
     def _state_schema(self, p: Projection) -> str:
         phi = ", ".join(f"p{k} double" for k in range(len(p.profiled)))
-        return ", ".join(f"{c} int" for c in p.cells) + f", logl double, {phi}, evals long, done boolean, phase int"
+        return ", ".join(f"{c} int" for c in p.cells) + f", logl double, {phi}, evals long, done boolean, phase int, curv {PAIRS}"
 
     def value(self, p: Projection) -> Column:
         """The target at a cell's node and its parameters p0, p1, ..., as an expression."""
@@ -133,13 +142,15 @@ class Scan:
         return sanitised(F.expr(self.target.sql([at[d] for d in range(len(p.bounds))])))
 
     def optimise(self, work: DataFrame, p: Projection, job: str, method: str | None = None, population: int = 0) -> DataFrame:
-        """work: cells and `starts` (array of start parameters, nulls dropped); one state row per cell."""
+        """work, not empty: cells, `starts` (array of start parameters, nulls dropped) and, if it has one, `curv` (curvature to
+        begin with); one state row per cell."""
         target, c, names = self.target, self.config, p.cells
         method = method or p.method
         bounds = np.array([p.bounds[d] for d in p.profiled]).reshape(-1, 2)
         phase = JOB_PHASE[job]
         order = np.argsort([*p.dims, *p.profiled])
         user = getattr(target, "gradient", None) if c.gradient else None
+        known = c.curvature and "curv" in work.columns
 
         def run(frames):
             for pdf in frames:
@@ -147,11 +158,12 @@ class Scan:
                 for r in pdf.itertuples(index=False):
                     cell = [int(getattr(r, n)) for n in names]
                     fixed = np.array([p.coordinate(k, i) for k, i in enumerate(cell)])
-                    calls = []
+                    calls, failed = [], [0]
 
-                    def f(phi, fixed=fixed, calls=calls):
+                    def f(phi, fixed=fixed, calls=calls, failed=failed):
                         full = np.concatenate([np.broadcast_to(fixed, (len(phi), len(fixed))), phi], axis=1)[:, order]
                         out = target(full)
+                        failed[0] += int((~np.isfinite(out)).sum())
                         if c.log:
                             calls += [{"x": x.tolist(), "logl": float(v)} for x, v in zip(full, out)]
                         return out
@@ -181,18 +193,27 @@ class Scan:
                         x, fx, n, _ = K.evolve(f, x, fx, bounds, rng, c.generations, 1 if agree else c.window, c.convergence, given[0] if given else None)
                         evals += n
                         best = int(fx.argmax())
-                    run_ = K.lbfgs(f, x[best], bounds, c.max_iter, c.ftol, gradient=slope if user is not None else None, central=c.central)
+                    begin = [(np.array(q["s"]), np.array(q["y"])) for q in r.curv] if known and r.curv is not None else None
+                    run_ = K.lbfgs(
+                        f, x[best], bounds, c.max_iter, c.ftol, gradient=slope if user is not None else None, central=c.central, pairs=begin,
+                        value=float(fx[best]),
+                    )
                     evals += run_.evals
-                    rows.append((*cell, run_.value, *map(float, run_.x), evals, bool(run_.converged), phase, calls)[: len(cols)])
+                    curv = [{"s": s.tolist(), "y": y.tolist()} for s, y in run_.pairs] if c.curvature else []
+                    counts = (failed[0], run_.gradients, run_.failures)
+                    rows.append((*cell, run_.value, *map(float, run_.x), evals, bool(run_.converged), phase, curv, *counts, calls)[: len(cols)])
                 yield pd.DataFrame(rows, columns=cols)
 
-        cols = [*names, "logl", *[f"p{k}" for k in range(len(bounds))], "evals", "done", "phase", *(["calls"] if c.log else [])]
-        out = work.repartition(self.partitions, *names).mapInPandas(run, self._state_schema(p) + (f", calls {CALLS}" if c.log else ""))
-        if not c.log:
-            return out
-        out = stored(out, "calls")
-        self._record(self._explode(out))
-        return out.drop("calls")
+        cols = [*names, "logl", *[f"p{k}" for k in range(len(bounds))], "evals", "done", "phase", "curv", *COUNTS, *(["calls"] if c.log else [])]
+        schema = ", ".join([self._state_schema(p), *[f"{n} long" for n in COUNTS], *([f"calls {CALLS}"] if c.log else [])])
+        out = work.repartition(self.partitions, *names).mapInPandas(run, schema)
+        seen = Observation()
+        out = out.observe(seen, F.count("*").alias("runs"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in COUNTS])
+        self._observed.append(seen)
+        if c.log:
+            out = stored(out, "calls")
+            self._record(self._explode(out))
+        return out.drop(*COUNTS, "calls")
 
     # -- stages ------------------------------------------------------------------------------------------------
 
@@ -261,18 +282,38 @@ class Scan:
         """The better of old and new by cell; counts of evaluations add up."""
         phi = [f"p{k}" for k in range(len(p.profiled))]
         both = state.unionByName(new).groupBy(*p.cells).agg(
-            F.min(F.struct((-F.col("logl")).alias("v"), *phi, "done", "phase")).alias("b"), F.sum("evals").alias("evals")
+            F.min(F.struct((-F.col("logl")).alias("v"), *phi, "done", "phase", "curv")).alias("b"), F.sum("evals").alias("evals")
         )
-        cols = [*p.cells, (-F.col("b.v")).alias("logl"), *[F.col(f"b.{x}").alias(x) for x in phi], "evals", F.col("b.done").alias("done"), F.col("b.phase").alias("phase")]
+        cols = [*p.cells, (-F.col("b.v")).alias("logl"), *[F.col(f"b.{x}").alias(x) for x in phi], "evals", *[F.col(f"b.{x}").alias(x) for x in ("done", "phase", "curv")]]
         return stored(both.select(*cols), name)
 
     def _starts(self, target_cells: DataFrame, state: DataFrame, p: Projection, most: int = 2, kind: str = "moore", k: int = 1) -> DataFrame:
-        """cells with `starts`: parameters of the best known neighbours, the best first."""
+        """cells with `starts`, parameters of the best known neighbours, the best first, and the best one's `curv`."""
         phi = F.array(*[F.col(f"p{k}_n") for k in range(len(p.profiled))])
         keys = [f"n{j}" for j in range(len(p.dims))]
         near = G.neighbours(target_cells.select(*p.cells), p, kind, k).join(G.renamed(state, p), keys)
-        best = near.groupBy(*p.cells).agg(F.sort_array(F.collect_list(F.struct((-F.col("logl_n")).alias("v"), phi.alias("phi")))).alias("l"))
-        return best.select(*p.cells, F.transform(F.slice("l", 1, most), lambda x: x["phi"]).alias("starts"))
+        best = near.groupBy(*p.cells).agg(F.sort_array(F.collect_list(F.struct((-F.col("logl_n")).alias("v"), phi.alias("phi"), F.col("curv_n").alias("curv")))).alias("l"))
+        return best.select(*p.cells, F.transform(F.slice("l", 1, most), lambda x: x["phi"]).alias("starts"), F.col("l")[0]["curv"].alias("curv"))
+
+    def _near_pool(self, cells: DataFrame, p: Projection, k: int) -> DataFrame:
+        """cells, near: profiled parameters of the k pool points nearest to each cell in the projected dimensions."""
+        own = [f"__g{j}" for j in range(len(p.dims))]
+        at = G.with_coordinates(cells.select(*p.cells), p, "__g")
+        pool = self.pool.select(*[F.col(f"x{d}").alias(f"__x{d}") for d in range(len(self.bounds))], (-F.col("logl")).alias("__worse"))
+        pairs = [(g, f"__x{d}", p.box(j)[1] - p.box(j)[0]) for j, (g, d) in enumerate(zip(own, p.dims))]
+        ties = ["__worse", *[f"__x{d}" for d in range(len(self.bounds))]]
+        found = nearest(at, pool, p.cells, pairs, k, ties, self.pool_rows, at.count())
+        phi = F.array(*[F.col(f"__x{d}") for d in p.profiled])
+        ordered = found.groupBy(*p.cells).agg(F.sort_array(F.collect_list(F.struct("rank", phi.alias("phi")))).alias("l"))
+        return ordered.select(*p.cells, F.transform("l", lambda x: x["phi"]).alias("near"))
+
+    def _with_pool_start(self, work: DataFrame, p: Projection) -> DataFrame:
+        """work with the nearest pool point's parameters as one more start, where there is a pool."""
+        if self.pool is None or not self.config.proximity:
+            return work
+        near = self._near_pool(work, p, 1)
+        starts = F.when(F.col("near").isNull(), F.col("starts")).otherwise(F.concat(F.coalesce("starts", F.array().cast("array<array<double>>")), "near"))
+        return work.join(near, p.cells, "left").withColumn("starts", starts).drop("near")
 
     def initial_points(self, points: DataFrame) -> int:
         """Evaluates points x0.. inside the box and adds them to what scans start from; how many there were."""
@@ -290,12 +331,22 @@ class Scan:
             tried = inside.mapInPandas(run, ", ".join(f"{x} double" for x in xs) + ", logl double")
         tried = stored(tried, "initial")
         self._record(tried, JOB_PHASE["INITIAL_POINT_EVAL"])
-        self.pool = tried if self.pool is None else self.pool.unionByName(tried)
+        self._into_pool(tried.select(*xs, "logl"))
         return tried.count()
 
+    def _into_pool(self, points: DataFrame) -> None:
+        """The best of the pool and of points x0.., logl, as many as a pool holds; ties to the smallest coordinates."""
+        xs = [f"x{k}" for k in range(len(self.bounds))]
+        both = points.select(*xs, "logl") if self.pool is None else self.pool.unionByName(points.select(*xs, "logl"))
+        was, self.pool = self.pool, stored(pool_of(both, len(self.bounds), "logl", *xs), "pool")
+        self.pool_rows = capacity(len(self.bounds))
+        if was is not None:
+            discarded(was)
+
     def run(self, p: Projection, warm: DataFrame | None = None) -> Result:
         """One projection. warm: logged points x0.. and logl; with seeds from it, or from the pool, no multistart."""
         c = self.config
+        self._tests, self._observed = 0, []
         if not p.profiled:
             state = stored(self.direct(p), "direct")
             at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)}
@@ -325,17 +376,23 @@ class Scan:
         first = seeded.select(*p.cells, phi.alias("phi"), "logl")
         around = G.neighbours(first, p, centre=True).select(*[F.col(f"n{j}").alias(f"i{j}") for j in range(len(p.dims))], "phi", "logl")
         work = around.groupBy(*p.cells).agg(F.sort_array(F.collect_list(F.struct((-F.col("logl")).alias("v"), "phi"))).alias("l"))
-        work = work.select(*p.cells, F.transform(F.slice("l", 1, 3), lambda x: x["phi"]).alias("starts"))
-        state = stored(self.optimise(work, p, "ACTIVATE_GRID_POINT"), "state")
-        rounds = 1
-        while True:
+        work = stored(work.select(*p.cells, F.transform(F.slice("l", 1, 3), lambda x: x["phi"]).alias("starts")), "first")
+        if p.method == "de_table":
+            from ridgeline.plans.evolution import evolve_table
+
+            state, rounds = evolve_table(self, work, p)
+        else:
+            state, rounds = stored(self.optimise(self._with_pool_start(work, p), p, "ACTIVATE_GRID_POINT"), "state"), 1
+        while p.method != "de_table":
             top = state.agg(F.max("logl").alias("m")).first()["m"]
             active = state.filter(F.col("logl") > top - c.roi_threshold)
             front = stored(G.frontier(active, state, p), "front")
             if front.isEmpty():
                 break
-            new = self.optimise(self._starts(front, state, p), p, "LBFGSB_LOOP" if p.method == "lbfgs" else "DE_GRID_POINT")
-            state = stored(state.unionByName(new), "state")
+            new = self.optimise(self._with_pool_start(self._starts(front, state, p), p), p, "LBFGSB_LOOP" if p.method == "lbfgs" else "DE_GRID_POINT")
+            new, was = stored(state.unionByName(new), "state"), state
+            state = new
+            discarded(front, was)
             rounds += 1
         if p.patch:
             state = self.patch(state, p)
@@ -347,52 +404,82 @@ class Scan:
             result.refined = self.refine(result, p.refine)
         return result
 
+    def _tested(self, tests: DataFrame, p: Projection, phase: str, wave: int) -> DataFrame:
+        """tests (cells, p0.., other columns) with the target's value, stored, counted and logged."""
+        tests = G.with_coordinates(tests, p)
+        tried = tests.withColumn("logl", self.value(p)) if hasattr(self.target, "sql") else self._evaluated(tests, p)
+        tried = stored(tried, "tried")
+        n = tried.count()
+        self._tests += n
+        self.waves.append((phase, wave, n))
+        at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)} | {d: F.col(f"p{k}") for k, d in enumerate(p.profiled)}
+        self._record(tried.select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl"), JOB_PHASE[phase])
+        return tried
+
     def patch(self, state: DataFrame, p: Projection) -> DataFrame:
-        """Waves: the best neighbour's parameters are tried at each cell, and polished where they win."""
+        """Waves: the best neighbour's parameters are tried at each cell, and polished where they win. The first wave
+        looks at the region and its border, a later one at the neighbours of the cells that the one before improved."""
         phi = [f"p{k}" for k in range(len(p.profiled))]
-        for _ in range(self.config.max_waves):
-            tests = S.patch_candidates(state, p, phi, self.config.roi_threshold)
-            tests = G.with_coordinates(tests.select(*p.cells, F.col("logl").alias("own"), *[F.col(f"{x}_n").alias(x) for x in phi]), p)
-            tried = tests.withColumn("logl", self.value(p)) if hasattr(self.target, "sql") else self._evaluated(tests, p)
-            tried = stored(tried, "tried")
+        among = None
+        for wave in range(self.config.max_waves):
+            tests = S.patch_candidates(state, p, phi, self.config.roi_threshold) if among is None else S.better_neighbours(state, p, phi, among)
+            tests = tests.select(*p.cells, F.col("logl").alias("own"), *[F.col(f"{x}_n").alias(x) for x in phi])
+            tried = self._tested(tests, p, "PATCHING_TEST", wave)
             won = tried.filter(F.col("logl") > F.col("own") + self.config.convergence)
-            n = tried.count()
-            at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)} | {d: F.col(f"p{k}") for k, d in enumerate(p.profiled)}
-            self._record(tried.select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl"), JOB_PHASE["PATCHING_TEST"])
-            state = self._charge(state, tried.select(*p.cells), p) if n else state
             if won.isEmpty():
                 return state
-            polished = self.optimise(won.select(*p.cells, F.array(F.array(*phi)).alias("starts")), p, "PATCHING_LBFGSB", "lbfgs")
-            state = self._merge(state, polished, p, "patched")
+            state, among = self._polished(state, won.select(*p.cells, F.array(F.array(*phi)).alias("starts")), p, "PATCHING_LBFGSB")
+            if among is None:
+                return state
         return state
 
-    def _charge(self, state: DataFrame, cells: DataFrame, p: Projection) -> DataFrame:
-        """Adds one evaluation to each of these cells."""
-        one = cells.withColumn("__one", F.lit(1))
-        out = state.join(one, p.cells, "left").withColumn("evals", F.col("evals") + F.coalesce("__one", F.lit(0))).drop("__one")
-        return stored(out, "charged")
+    def _polished(self, state: DataFrame, work: DataFrame, p: Projection, job: str) -> tuple[DataFrame, DataFrame | None]:
+        """state after runs from work, and the cells of state next to those that improved, None if none did."""
+        merged = self._merge(state, self.optimise(work, p, job, "lbfgs"), p, "polished")
+        better = S.improved(merged.select(*p.cells, (F.col("logl") - self.config.convergence).alias("logl")), state, p)
+        among = stored(S.around(better, merged, p), "among")
+        return merged, None if among.isEmpty() else among
+
+    def recheck_seeds(self, odd: DataFrame, state: DataFrame, p: Projection) -> DataFrame:
+        """cells, seeds: for each cell of odd its own parameters, those of the three best neighbours that are not odd and
+        of the three best such cells at a distance of 2 to 3, and of the three nearest pool points; each but those
+        close to an earlier one."""
+        phi = [f"p{k}" for k in range(len(p.profiled))]
+        extents = [p.bounds[d][1] - p.bounds[d][0] for d in p.profiled]
+        sane = state.join(odd, p.cells, "left_anti")
+        parts = [
+            state.join(odd, p.cells, "left_semi").select(*p.cells, F.array(F.array(*phi)).alias("starts")),
+            self._starts(odd, sane, p, 3).drop("curv"), self._starts(odd, sane, p, 3, "ring", 3).drop("curv"),
+        ]
+        if self.pool is not None and self.config.proximity:
+            parts.append(self._near_pool(odd, p, 3).withColumnRenamed("near", "starts"))
+        seeds = None
+        for k, part in enumerate(parts):
+            part = part.select(*p.cells, F.lit(k).alias("o"), "starts")
+            seeds = part if seeds is None else seeds.unionByName(part)
+        listed = seeds.groupBy(*p.cells).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "starts"))), lambda x: x["starts"])).alias("seeds"))
+        return listed.withColumn("seeds", S.apart(F.col("seeds"), extents))
 
     def recheck(self, state: DataFrame, p: Projection) -> DataFrame:
-        """Cells whose parameters stand out start again: from the best neighbours that do not, the best of the ring of
-        distance 2 to 3, and their own parameters; so a cell amid others that stand out starts again as well."""
+        """Cells whose parameters stand out try other cells' parameters, and are polished from the best seed that gains
+        more than 1e-3. Later waves look at the neighbours of the cells that improved."""
         c = self.config
         phi = [f"p{k}" for k in range(len(p.profiled))]
         extents = [p.bounds[d][1] - p.bounds[d][0] for d in p.profiled]
-        for _ in range(c.max_waves):
-            odd = stored(S.suspects(state, p, phi, extents, c.roi_threshold, c.suspect_k, c.suspect_fraction).select(*p.cells), "suspects")
-            if odd.isEmpty():
+        odd = stored(S.suspects(state, p, phi, extents, c.roi_threshold, c.suspect_k, c.suspect_fraction).select(*p.cells), "suspects")
+        for wave in range(c.max_waves):
+            seeds = self.recheck_seeds(odd, state, p).filter(F.size("seeds") > 1)
+            own = state.select(*p.cells, F.col("logl").alias("own"))
+            each = seeds.select(*p.cells, F.explode("seeds").alias("__s")).join(own, p.cells)
+            tried = self._tested(each.select(*p.cells, "own", *[F.col("__s")[k].alias(x) for k, x in enumerate(phi)]), p, "SUSPECT_RECHECK", wave)
+            best = tried.filter(F.col("logl") > F.col("own") + c.suspect_gain).groupBy(*p.cells)
+            won = best.agg(F.min(F.struct((-F.col("logl")).alias("v"), F.array(*phi).alias("phi"))).alias("b"))
+            won = stored(won.select(*p.cells, F.array("b.phi").alias("starts")), "won")
+            if won.isEmpty():
+                return state
+            state, odd = self._polished(state, won, p, "SUSPECT_RECHECK_LBFGSB")
+            if odd is None:
                 return state
-            sane = state.join(odd, p.cells, "left_anti")
-            seeds = None
-            for part in (self._starts(odd, sane, p, 3), self._starts(odd, sane, p, 2, "ring", 3), state.join(odd, p.cells, "left_semi").select(*p.cells, F.array(F.array(*phi)).alias("starts"))):
-                part = part.select(*p.cells, F.lit(0 if seeds is None else 1).alias("o"), "starts")
-                seeds = part if seeds is None else seeds.unionByName(part)
-            near = seeds.groupBy(*p.cells).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "starts"))), lambda x: x["starts"]))).alias("starts"))
-            again = self.optimise(near, p, "SUSPECT_RECHECK_LBFGSB", "lbfgs")
-            merged = self._merge(state, again, p, "rechecked")
-            if S.improved(merged.select(*p.cells, (F.col("logl") - 1e-3).alias("logl")), state, p).isEmpty():
-                return merged
-            state = merged
         return state
 
     def refine(self, coarse: Result, factor: int) -> Result:
@@ -406,22 +493,27 @@ class Scan:
         corners = corners.select(*[F.col(f"n{j}").alias(f"i{j}") for j in range(len(p.dims))]).distinct()
         cells = G.fine_cells(corners, p, factor).join(kept.select(*p.cells), p.cells, "left_anti")
         guess = G.interpolated(cells, coarse.state, p, factor, ["logl", *phi]).filter(F.col("logl") >= top - c.roi_threshold)
-        work = guess.select(*p.cells, F.array(F.array(*phi)).alias("starts"))
-        state = stored(kept.unionByName(self.optimise(work, fine, "REFINEMENT_LBFGSB", "lbfgs")), "refined")
-        if c.max_waves:
+        work = stored(guess.select(*p.cells, F.array(F.array(*phi)).alias("starts")), "guesses")
+        state = stored(kept if work.isEmpty() else kept.unionByName(self.optimise(work, fine, "REFINEMENT_LBFGSB", "lbfgs")), "refined")
+        if c.patch_refined:
             state = self.patch(state, fine)
-        return Result(fine, state, self._metrics(state, 0, 1))
+        return Result(fine, state, self._metrics(state, coarse.metrics["start_evaluations"], 1))
 
     def _remember(self, r: Result) -> None:
         p = r.projection
         s = r.solutions
         at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)} | {d: F.col(f"p{k}") for k, d in enumerate(p.profiled)}
-        points = s.select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl")
-        self.pool = points if self.pool is None else self.pool.unionByName(points)
+        self._into_pool(s.select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl"))
 
     def _metrics(self, state: DataFrame, extra: int, rounds: int) -> dict:
+        """Counts of a result. What optimisers counted besides evaluations was observed in the jobs that ran them."""
         r = state.agg(F.count("*").alias("cells"), F.sum("evals").alias("evals"), F.max("logl").alias("best"), F.count_if("done").alias("done")).first()
-        return {"cells": r["cells"], "evaluations": (r["evals"] or 0) + extra, "best": r["best"], "converged": r["done"], "rounds": rounds}
+        seen = [o.get for o in self._observed]
+        counts = {n: sum(o[n] for o in seen) for n in ("runs", *COUNTS)}
+        return {
+            "cells": r["cells"], "evaluations": (r["evals"] or 0) + extra + self._tests, "start_evaluations": extra, "tests": self._tests,
+            "best": r["best"], "converged": r["done"], "rounds": rounds, **counts,
+        }
 
     def run_all(self, projections: list[Projection], warm: DataFrame | None = None) -> list[Result]:
         """Projections in turn; each after the first starts from what is known, and a warm start file serves all of them."""

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str = "round") -> DataFrame:
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where spark.checkpoint.dir names none, a session in one process gets
+    a temporary one; on a cluster that is an error, since executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ridgeline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/rounds-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "round") -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/rounds-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.config import Projection
 from ridgeline.operators.grid import with_cells
+from ridgeline.sources.store import shared_root
 
 
 def live_profile(spark: SparkSession, folder: str, schema: T.StructType, p: Projection, max_files: int = 1) -> DataFrame:
@@ -21,7 +20,7 @@ def live_profile(spark: SparkSession, folder: str, schema: T.StructType, p: Proj
 def run_available(profile: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """Processes what is there in micro-batches and returns the final state of the stream."""
     spark = profile.sparkSession
-    root = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-")
+    root = checkpoint or shared_root(spark)
     q = (
         profile.writeStream.format("memory").queryName(name).outputMode("complete")
         .option("checkpointLocation", f"{root.rstrip('/')}/stream-{name}-{spark.sparkContext.applicationId}").trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ from ridgeline.config import Projection, ScanConfig, VolumeConfig
 from ridgeline.functions.targets import Target
 from ridgeline.operators import grid as G
 from ridgeline.plans.scan import PyTarget, Scan, normalised_gradient, sample_volume
+from ridgeline.sources.store import stored
 
 HIMMELBLAU = Target("himmelblau", 4)
 
@@ -189,3 +190,85 @@ def test_optima_registry_has_every_peak(spark, sf):
     rows = QUERIES["optima_registry"](spark, sf).collect()
     one = [(3.0, 2.0), (-2.8, 3.1), (-3.8, -3.3), (3.6, -1.8)]
     assert sorted(tuple(r)[:4] for r in rows) == sorted(a + b for a in one for b in one)
+
+
+def test_curvature_of_neighbours_saves_evaluations(spark):
+    t = Target("rosenbrock", 4)
+    box = [(-1.0, 2.0), *t.bounds[1:]]
+    p = Projection.of([0], [30], box)
+    scan = Scan(spark, t, ScanConfig(roi_threshold=10.0, n_starts=12, suspect=False), bounds=box)
+    r = scan.run(p)
+    check_invariants(r, t, 10.0)
+    work = stored(scan._starts(r.state.filter("i0 % 2 = 1"), r.state.filter("i0 % 2 = 0"), p, 1), "work")
+    assert work.filter("size(curv) > 0").count() > 10
+    with_, without = (scan.optimise(w, p, "LBFGSB_LOOP").agg(F.sum("evals"), F.min("logl")).first() for w in (work, work.drop("curv")))
+    assert with_[0] < 0.9 * without[0] and abs(with_[1] - without[1]) < 1e-3
+
+
+def test_pairs_are_adopted_by_the_kernel():
+    from ridgeline.plans import kernels as K
+
+    a = np.diag([1.0, 50.0, 400.0])
+    f = lambda x: -0.5 * np.einsum("ni,ij,nj->n", x, a, x)
+    box = np.array([(-9.0, 9.0)] * 3)
+    cold = K.lbfgs(f, np.array([1.0, 2.0, -1.0]), box)
+    again = K.lbfgs(f, np.array([2.0, -1.0, 1.0]), box)
+    taught = K.lbfgs(f, np.array([2.0, -1.0, 1.0]), box, pairs=cold.pairs)
+    assert cold.pairs and taught.evals < again.evals and abs(taught.value) < 1e-6
+    assert K.lbfgs(f, np.array([2.0, -1.0, 1.0]), box, pairs=[(np.ones(2), np.ones(2)), (np.ones(3), -np.ones(3))]).evals == again.evals
+
+
+def test_a_gradient_that_fails_is_counted_and_replaced(spark):
+    for bad in (lambda x: 1 / 0, lambda x: None, lambda x: [1.0], lambda x: {0: "a"}):
+        t = PyTarget(lambda x: -float((x**2).sum()), [(-5, 5)] * 3, gradient=bad)
+        r = Scan(spark, t, ScanConfig(roi_threshold=4.0, n_starts=4, suspect=False)).run(Projection.of([0], [4], t.bounds))
+        assert r.metrics["best"] > -1e-6 and r.metrics["gradient_failures"] > 0 and r.metrics["saved"] == 0
+    t = PyTarget(lambda x: -float((x**2).sum()), [(-5, 5)] * 3, gradient=lambda x: -2 * x)
+    r = Scan(spark, t, ScanConfig(roi_threshold=4.0, n_starts=4)).run(Projection.of([0], [4], t.bounds))
+    assert r.metrics["saved"] > 0 and r.metrics["gradient_failures"] == 0 and r.metrics["failed"] == 0
+
+
+STATE = "i0 int, logl double, p0 double, p1 double, evals long, done boolean, phase int, curv array<struct<s: array<double>, y: array<double>>>"
+
+
+def test_later_waves_look_around_what_improved(spark):
+    from ridgeline.operators import state as S
+
+    p = Projection.of([0], [10], [(-5, 5)] * 3)
+    flat = spark.createDataFrame([(i, -1.0, 1.0, 1.0, 1, True, 1, None) for i in range(11)], STATE)
+    assert {r.i0 for r in S.around(flat.filter("i0 = 5"), flat, p).collect()} == {4, 6}
+    assert {r.i0 for r in S.around(flat.filter("i0 = 5"), flat.filter("i0 < 6"), p).collect()} == {4}
+    # parameters spread from cell 0 over a strip of cells that were left at a worse optimum
+    t = PyTarget(lambda x: -float((x[1] - 2) ** 2 * (x[1] + 2) ** 2 / 16 + 0.1 * (x[1] < 0) + x[2] ** 2 + 0.001 * x[0] ** 2), [(-5, 5)] * 3)
+    start = [(i, float(t(np.array([i - 5.0, 2.0 if i == 0 else -2.0, 0.0]))), 2.0 if i == 0 else -2.0, 0.0, 1, True, 1, None) for i in range(11)]
+    scan = Scan(spark, t, ScanConfig(roi_threshold=4.0, max_waves=30))
+    out = {r.i0: r.p0 for r in scan.patch(spark.createDataFrame(start, STATE), p).collect()}
+    assert all(v > 0 for v in out.values())
+    tested = [n for kind, _, n in scan.waves if kind == "PATCHING_TEST"]
+    assert len(tested) > 5 and max(tested[1:]) <= 3 < tested[0] + 3  # the first wave sees all, later ones the front
+
+
+def test_seeds_of_a_recheck(spark):
+    p = Projection.of([0], [10], [(-5, 5)] * 3)
+    scan = Scan(spark, Target("sphere", 3), ScanConfig())
+    flat = [(i, -15.0 if i == 5 else -1.0, 3.0 if i == 5 else 1.0, -2.0 if i == 5 else 1.0, 1, True, 1, None) for i in range(11)]
+    state = spark.createDataFrame(flat, STATE)
+    seeds = scan.recheck_seeds(state.filter("i0 = 5").select("i0"), state, p).first().seeds
+    assert seeds == [[3.0, -2.0], [1.0, 1.0]]  # its own first, the others' once
+    scan._into_pool(spark.createDataFrame([(0.0, 4.0, 4.0, -1.0), (5.0, -4.0, 4.0, -1.0)], "x0 double, x1 double, x2 double, logl double"))
+    seeds = scan.recheck_seeds(state.filter("i0 = 5").select("i0"), state, p).first().seeds
+    assert seeds == [[3.0, -2.0], [1.0, 1.0], [4.0, 4.0], [-4.0, 4.0]]  # then the pool's, the nearest first
+
+
+def test_a_recheck_polishes_the_best_seed(spark):
+    p = Projection.of([0], [30], [(-5, 5)] * 3)
+    values = {3.5: -15.0, 2.0: -14.5, 1.0: -2.0}
+    t = PyTarget(lambda x: next((v for k, v in values.items() if abs(x[1] - k) < 1e-3 and abs(x[2] - k) < 1e-3), -20.0), [(-5, 5)] * 3)
+    phi = {15: 3.5, 17: 2.0}
+    state = spark.createDataFrame([(i, -15.0 if i == 15 else -1.0, phi.get(i, 1.0), phi.get(i, 1.0), 1, True, 1, None) for i in range(31)], STATE)
+    scan = Scan(spark, t, ScanConfig(roi_threshold=100.0))
+    out = {r.i0: r for r in scan.recheck(state, p).collect()}
+    assert out[15].logl == -2.0 and out[15].p0 == 1.0
+    assert all(out[i].logl == -1.0 for i in range(31) if i != 15)
+    tested = [n for kind, _, n in scan.waves if kind == "SUSPECT_RECHECK"]
+    assert tested[0] >= 2 and len(tested) >= 2
