@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from ridgeline.config import Projection, ScanConfig, VolumeConfig
 from ridgeline.functions import phases
 from ridgeline.functions.nuisance import Nuisance
-from ridgeline.functions.sampling import umbrella, undiscovered
-from ridgeline.functions.targets import PEAK, Target
+from ridgeline.functions.sampling import sobol, sobol_directions, umbrella, undiscovered
+from ridgeline.functions.targets import Target
+from ridgeline.functions.targets import get as get_target
+from ridgeline.functions.targets import names as target_names
 from ridgeline.operators import grid as G
 from ridgeline.operators import pool as P
 from ridgeline.operators import profile as R
 from ridgeline.operators import state as S
+from ridgeline.operators.nearest import nearest_points
+from ridgeline.operators.rank import ranked
 from ridgeline.sources import samples as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,22 +117,45 @@ def target_nuisance_uniform(spark, sf):
     return f.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("f") > -1e300).alias("inside"), F.round(F.max("f"), 6).alias("high"))
 
 
-@register("target_catalogue", "SELECT name, peak FROM (VALUES " + ", ".join(f"('{k}', {v!r}e0)" for k, v in PEAK.items()) + ") t(name, peak)")
+def _named(name: str) -> str:
+    """The SQL text of a target of the registry over as many columns as it has dimensions, x0 to x3 over and over."""
+    f = get_target(name)
+    return f.sql([XS[k % 4] for k in range(f.dims)])
+
+
+_PLACES = f"{LOG_SQL}, places AS (SELECT x0, x1, x2, x3 FROM log WHERE phase = 0)"
+
+
+@register("target_catalogue", f"WITH {_PLACES} " + " UNION ALL ".join(f"SELECT '{n}' AS name, round(max({_named(n)}), 4) AS high, count(*) AS n FROM places" for n in target_names()))
 def target_catalogue(spark, sf):
-    return spark.createDataFrame(list(PEAK.items()), "name string, peak double")
+    """The highest value of every target of the registry on the points of one phase: one aggregation for all of them."""
+    d = log(spark, sf).filter("phase = 0")
+    tops = d.agg(*[F.max(F.expr(_named(n))).alias(n) for n in target_names()], F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("high")) for n in target_names()]))
+    return tops.select(each.alias("e"), "n").select("e.name", F.round("e.high", 4).alias("high"), "n")
 
 
 # -- grids and cells ---------------------------------------------------------------------------------------------
 
 
-@register("grid_axes", "SELECT 0 AS axis, 0 AS dim, CAST(i AS INTEGER) AS i, -6e0 + 12e0 * i / 24 AS coord FROM range(25) t(i) UNION ALL SELECT 1, 1, CAST(i AS INTEGER), -6e0 + 12e0 * i / 10 FROM range(11) t(i)")
+def data_box(spark: SparkSession, sf: str) -> list[tuple[float, float]]:
+    """The box that the logged points span; the last parameter has that of the first one, which it shares its range with."""
+    r = log(spark, sf).agg(*[f(x).alias(f"{x}{n}") for x in XS[:3] for f, n in ((F.min, "l"), (F.max, "h"))]).first()
+    box = [(r[f"{x}l"], r[f"{x}h"]) for x in XS[:3]]
+    return [*box, box[0]]
+
+
+_SPAN = f"WITH {LOG_SQL}, b AS (SELECT min(x0) AS l0, max(x0) AS h0, min(x1) AS l1, max(x1) AS h1 FROM log)"
+
+
+@register("grid_axes", f"{_SPAN} SELECT 0 AS axis, 0 AS dim, CAST(i AS INTEGER) AS i, l0 + (h0 - l0) * i / 24 AS coord FROM b, range(25) t(i) UNION ALL SELECT 1, 1, CAST(i AS INTEGER), l1 + (h1 - l1) * i / 10 FROM b, range(11) t(i)")
 def grid_axes(spark, sf):
-    return G.axes(spark, P01)
+    return G.axes(spark, Projection.of([0, 1], [24, 10], data_box(spark, sf)))
 
 
-@register("grid_cross_2d", "SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, -6e0 + 12e0 * i / 24 AS g0, -6e0 + 12e0 * j / 10 AS g1 FROM range(25) a(i), range(11) b(j)")
+@register("grid_cross_2d", f"{_SPAN} SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, l0 + (h0 - l0) * i / 24 AS g0, l1 + (h1 - l1) * j / 10 AS g1 FROM b, range(25) x(i), range(11) y(j)")
 def grid_cross_2d(spark, sf):
-    return G.grid(spark, P01)
+    return G.grid(spark, Projection.of([0, 1], [24, 10], data_box(spark, sf)))
 
 
 @register("cell_assign", f"WITH {LOG_SQL} SELECT {cells_sql(P012)}, count(*) AS n FROM log GROUP BY 1, 2, 3")
@@ -136,9 +163,11 @@ def cell_assign(spark, sf):
     return G.with_cells(log(spark, sf), P012).groupBy(*P012.cells).agg(F.count("*").alias("n"))
 
 
-@register("cell_ties", f"SELECT i AS k, {cell_sql('(i / 2e0)', 0.0, 10.0, 10)} AS cell FROM range(-3, 26) t(i)")
+@register("cell_ties", f"SELECT l_quantity AS k, {cell_sql('((l_quantity - 4) / 2e0)', 0.0, 20.0, 20)} AS cell, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def cell_ties(spark, sf):
-    return spark.range(-3, 26).select(F.col("id").alias("k"), G.cell_index(F.col("id") / 2.0, 0.0, 10.0, 10).alias("cell"))
+    """Quantities on nodes, half-way between two nodes, and beyond both ends of an axis."""
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_quantity").alias("k"), G.cell_index((F.col("l_quantity") - 4) / 2.0, 0.0, 20.0, 20).alias("cell"))
+    return t.groupBy("k", "cell").agg(F.count("*").alias("n"))
 
 
 # -- profiles ----------------------------------------------------------------------------------------------------
@@ -222,14 +251,19 @@ def phase_filter(spark, sf):
     return log(spark, sf).filter("phase = 2").groupBy("phase").agg(F.count("*").alias("n"), F.round(F.max("logl"), 6).alias("logl"))
 
 
+_JOBS = [*phases.JOB_PHASE, "OTHER"]
+
+
 @register(
     "phase_legend",
-    "SELECT j AS job, coalesce(p, -1) AS phase, coalesce(l, 'unknown') AS legend FROM (VALUES "
-    + ", ".join(f"('{j}', {p}, '{phases.PHASES[p]}')" for j, p in phases.JOB_PHASE.items()) + ", ('OTHER', NULL, NULL)) t(j, p, l)",
+    "WITH j AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{j}')" for k, j in enumerate(_JOBS)) + f") t(k, job)), e AS (SELECT job FROM lineitem JOIN j ON (l_orderkey + l_linenumber) % {len(_JOBS)} = k) "
+    "SELECT job, coalesce(p, -1) AS phase, coalesce(l, 'unknown') AS legend, count(*) AS n FROM e LEFT JOIN (VALUES "
+    + ", ".join(f"('{j}', {p}, '{phases.PHASES[p]}')" for j, p in phases.JOB_PHASE.items()) + ") t(name, p, l) ON name = job GROUP BY ALL",
 )
 def phase_legend(spark, sf):
-    jobs = spark.createDataFrame([(j,) for j in [*phases.JOB_PHASE, "OTHER"]], "job string")
-    return jobs.withColumn("phase", phases.phase_column(F.col("job"))).withColumn("legend", phases.legend_column(F.col("phase")))
+    job = F.element_at(F.array(*[F.lit(j) for j in _JOBS]), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(_JOBS) + 1).cast("int"))
+    jobs = spark.read.parquet(f"{sf}/lineitem.parquet").select(job.alias("job"))
+    return jobs.withColumn("phase", phases.phase_column(F.col("job"))).withColumn("legend", phases.legend_column(F.col("phase"))).groupBy("job", "phase", "legend").agg(F.count("*").alias("n"))
 
 
 @register("bounds_filter", f"WITH {LOG_SQL} SELECT phase, count(*) AS n FROM log WHERE x0 BETWEEN -3 AND 4 AND x1 BETWEEN -6 AND 0 AND x2 BETWEEN -1 AND 6 AND x3 BETWEEN -5 AND 5 GROUP BY phase")
@@ -408,6 +442,20 @@ def proximity_knn(spark, sf):
     return out.select("i0", "i1", "rank", r6("dist2").alias("dist2"))
 
 
+@register(
+    "bucketed_knn",
+    f"WITH {LOG_SQL}, g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, -6e0 + 12e0 * i / 24 AS g0, -6e0 + 12e0 * j / 10 AS g1 FROM range(25) a(i), range(11) b(j)), "
+    "e AS (SELECT DISTINCT x0, x3, logl, x1, x2 FROM log), "
+    "d AS (SELECT i0, i1, logl, x0, x1, x2, x3, ((g0 - x0) / 12e0) * ((g0 - x0) / 12e0) + ((g1 - x3) / 12e0) * ((g1 - x3) / 12e0) AS dist2 FROM g, e), r AS (SELECT *, row_number() OVER (PARTITION BY i0, i1 ORDER BY dist2, logl DESC, x0, x1, x2, x3) AS rank FROM d) "
+    "SELECT i0, i1, CAST(rank AS INTEGER) AS rank, round(dist2, 9) AS dist2, round(logl, 6) AS logl FROM r WHERE rank <= 3",
+)
+def bucketed_knn(spark, sf):
+    """The three nearest different logged points of every cell in two dimensions, over the whole log."""
+    pool = log(spark, sf).select(*[F.col(x).alias(f"q{k}") for k, x in enumerate(XS)], (-F.col("logl")).alias("worse")).distinct()
+    out = nearest_points(G.grid(spark, P01), pool, ["i0", "i1"], [("g0", "q0", 12.0), ("g1", "q3", 12.0)], 3, ["worse", "q0", "q1", "q2", "q3"])
+    return out.select("i0", "i1", "rank", F.round("dist2", 9).alias("dist2"), F.round(-F.col("worse"), 6).alias("logl"))
+
+
 @register(
     "embedding_knn",
     "WITH q AS (SELECT vec_id AS q, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q, vec_id, list_sum(list_transform(list_zip(qe, embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS dot FROM q, embeddings WHERE vec_id <> q), "
@@ -516,9 +564,27 @@ def idw_candidates(spark, sf):
 # -- volume and stopping expressions -----------------------------------------------------------------------------
 
 
-@register("assign_levels", "SELECT CAST(k AS INTEGER) AS k, -1e0 - (k + 5e-1) / 200 * 4e0 AS level FROM range(200) t(k)")
+@register("assign_levels", "SELECT o_orderkey, -1e0 - (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 + 5e-1) / (SELECT count(*) FROM orders) * 4e0 AS level FROM orders")
 def assign_levels(spark, sf):
-    return spark.range(200).select(F.col("id").cast("int").alias("k"), (F.lit(-1.0) - (F.col("id") + 0.5) / 200 * F.lit(4.0)).alias("level"))
+    """Levels of as many walkers as there are orders, the dearest first: places in a global order without one sort."""
+    d, n = ranked(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], "k")
+    return d.select("o_orderkey", (F.lit(-1.0) - (F.col("k") + 0.5) / F.lit(n) * F.lit(4.0)).alias("level"))
+
+
+_NETS = ", ".join(f"({d}, {k}, {v})" for d in range(4) for k, v in enumerate(sobol_directions(d)))
+_SHIFTS = [0, 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35]
+
+
+@register(
+    "sobol_points",
+    f"WITH v AS (SELECT * FROM (VALUES {_NETS}) t(d, b, v)), s AS (SELECT * FROM (VALUES {', '.join(f'({d}, {x})' for d, x in enumerate(_SHIFTS))}) t(d, s)), "
+    "x AS (SELECT o_orderkey, v.d AS d, bit_xor(CASE WHEN (o_orderkey >> b) & 1 = 1 THEN CAST(v AS BIGINT) ELSE 0 END) AS x FROM orders, v GROUP BY 1, 2), "
+    "u AS (SELECT o_orderkey, x.d AS d, xor(x, CAST(s AS BIGINT)) / 4294967296e0 AS u FROM x JOIN s ON s.d = x.d) "
+    "SELECT o_orderkey, max(u) FILTER (WHERE d = 0) AS u0, max(u) FILTER (WHERE d = 1) AS u1, max(u) FILTER (WHERE d = 2) AS u2, max(u) FILTER (WHERE d = 3) AS u3 FROM u GROUP BY 1",
+)
+def sobol_points(spark, sf):
+    """The shifted Sobol point of every order's number."""
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", *[sobol(F.col("o_orderkey"), d, _SHIFTS[d]).alias(f"u{d}") for d in range(4)])
 
 
 @register("umbrella_logpi", f"WITH {LOG_SQL} SELECT phase, round(max(-5e-1 * ((logl + 50e0) / 10e0) * ((logl + 50e0) / 10e0)), 6) AS top, round(avg(-5e-1 * ((logl + 50e0) / 10e0) * ((logl + 50e0) / 10e0)), 4) AS mean FROM log GROUP BY phase")
@@ -533,10 +599,14 @@ def volume_summary(spark, sf):
     return d.agg(F.count("*").alias("n"), F.round(F.avg((F.col("delta") >= -ROI).cast("double")), 9).alias("in_band"), F.round(F.max("logl"), 6).alias("final_max"))
 
 
-@register("brk_stop", "SELECT w, n, CASE WHEN w >= 1 AND n - w - 1 > 0 THEN round(w * w / CAST(n - w - 1 AS DOUBLE), 9) END AS undiscovered FROM (SELECT CAST(a AS INTEGER) AS w, CAST(b AS INTEGER) AS n FROM range(6) x(a), range(20) y(b)) t")
+@register(
+    "brk_stop",
+    "WITH g AS (SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS w, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY 1) SELECT user_id, w, n, CASE WHEN w >= 1 AND n - w - 1 > 0 THEN round(w * w / CAST(n - w - 1 AS DOUBLE), 9) END AS undiscovered FROM g",
+)
 def brk_stop(spark, sf):
-    d = spark.range(120).select(F.expr("cast(id div 20 as int)").alias("w"), (F.col("id") % 20).cast("int").alias("n"))
-    return d.select("w", "n", F.round(undiscovered(F.col("w"), F.col("n")), 9).alias("undiscovered"))
+    """Kinds not met yet, from how many each user has met in how many events."""
+    d = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.count_distinct("event_type").cast("int").alias("w"), F.count("*").cast("int").alias("n"))
+    return d.select("user_id", "w", "n", F.round(undiscovered(F.col("w"), F.col("n")), 9).alias("undiscovered"))
 
 
 @register("lehmer_memory", "SELECT round(sum(l_discount * l_discount) / sum(l_discount), 9) AS f_mean, round(avg(l_tax), 9) AS cr_mean FROM lineitem")
@@ -624,69 +694,131 @@ def mann_whitney_u(spark, sf):
 
 # -- scans -------------------------------------------------------------------------------------------------------
 
-_SPHERE2 = Projection.of([0, 1], [60, 60], [(-5.0, 5.0)] * 2)
+_ACKLEY = Target("ackley", 2).sql(["a", "b"])
 
 
-@register("scan_direct_eval", "WITH g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, -5e0 + 10e0 * i / 60 AS a, -5e0 + 10e0 * j / 60 AS b FROM range(61) x(i), range(61) y(j)) SELECT i0, i1, round(" + Target("ackley", 2).sql(["a", "b"]) + ", 6) AS logl FROM g")
+@register("scan_direct_eval", f"{_SPAN}, g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, l0 + (h0 - l0) * i / 60 AS a, l1 + (h1 - l1) * j / 60 AS b FROM b, range(61) x(i), range(61) y(j)) SELECT i0, i1, round({_ACKLEY}, 6) AS logl FROM g")
 def scan_direct_eval(spark, sf):
     from ridgeline.plans.scan import Scan
 
-    return Scan(spark, Target("ackley", 2)).run(_SPHERE2).state.select("i0", "i1", r6("logl").alias("logl"))
+    box = data_box(spark, sf)[:2]
+    return Scan(spark, Target("ackley", 2), bounds=box).run(Projection.of([0, 1], [60, 60], box)).state.select("i0", "i1", r6("logl").alias("logl"))
 
 
-def _scan(spark, method, n=12, refine=1, warm=None):
+def _scan(spark, method, n=12, refine=1, warm=None, box=BOX, **more):
     from ridgeline.plans.scan import Scan
 
-    p = Projection.of([0, 1], [n, n], BOX, method=method, refine=refine)
-    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0))
+    p = Projection.of([0, 1], [n, n], box, method=method, refine=refine)
+    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0, ftol=1e-12, **more), bounds=box)
     return scan, scan.run(p, warm)
 
 
-def plane_sql(n: int) -> str:
-    """The exact profile over the first two parameters: the target is a sum of two brackets, and the second one has the maximum 0."""
+# The maxima of a bracket of the target, and the bracket itself.
+BRACKET_PEAKS = [(3.0, 2.0), (-2.805118086952745, 3.131312518250573), (-3.779310253377747, -3.283185991286170), (3.584428340330492, -1.848126526964404)]
+_BRACKET = "-5e-2 * (pow({a} * {a} + {b} - 11, 2) + pow({a} + {b} * {b} - 7, 2))"
+
+
+def _plane(n: int) -> str:
     at = "-6e0 + 12e0 * {} / %d" % n
-    bracket = "-5e-2 * (pow(a * a + b - 11, 2) + pow(a + b * b - 7, 2))"
-    return f"WITH g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, {at.format('i')} AS a, {at.format('j')} AS b FROM range({n + 1}) x(i), range({n + 1}) y(j)), v AS (SELECT i0, i1, {bracket} AS logl FROM g) SELECT i0, i1, round(logl, 3) AS logl FROM v WHERE logl > -4.9e0"
+    return (
+        f"WITH g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, {at.format('i')} AS a, {at.format('j')} AS b FROM range({n + 1}) x(i), range({n + 1}) y(j)), "
+        f"v AS (SELECT i0, i1, {_BRACKET.format(a='a', b='b')} AS logl FROM g)"
+    )
+
+
+def plane_sql(n: int) -> str:
+    """The exact profile over the first two parameters: the target is a sum of two brackets, and the second one has the
+    maximum 0. The region's cells have this value at one of the four peaks, the cells around it this one at most."""
+    return (
+        f"{_plane(n)}{near_sql()}, r AS (SELECT *, logl > (SELECT max(logl) FROM v) - 4925e-3 AS inside FROM v), k AS (SELECT * FROM r WHERE inside OR EXISTS (SELECT 1 FROM r s, o WHERE s.inside AND s.i0 = r.i0 + o.a AND s.i1 = r.i1 + o.b)) "
+        "SELECT i0, i1, CASE WHEN inside THEN round(logl, 6) END AS logl, CASE WHEN inside THEN 0e0 END AS off_peak, true AS bounded FROM k"
+    )
+
+
+def _off_peak(x: str, y: str) -> F.Column:
+    """The distance to the nearest peak of a bracket, to 3 digits."""
+    return F.round(F.least(*[F.sqrt((F.col(x) - a) * (F.col(x) - a) + (F.col(y) - b) * (F.col(y) - b)) for a, b in BRACKET_PEAKS]), 3)
 
 
-def in_plane(state: DataFrame) -> DataFrame:
-    """The cells that are surely in the region of interest."""
-    return state.filter("logl > -4.9").select("i0", "i1", F.round("logl", 3).alias("logl"))
+def in_plane(state: DataFrame, p: Projection, phi: tuple[str, str] = ("p0", "p1")) -> DataFrame:
+    """The cells of the region with value and parameters, and the cells around it with the bound of their value."""
+    top = state.agg(F.max("logl").alias("top"))
+    s = G.with_coordinates(state, p).join(F.broadcast(top)).withColumn("inside", F.col("logl") > F.col("top") - 4.925)  # no cell lies there; some are at 4.9 and 5
+    most = F.expr(_BRACKET.format(a="g0", b="g1"))
+    region = s.filter("inside").select(*p.cells)
+    kept = S.around(region, s, p).union(region).distinct()
+    return s.join(kept, p.cells, "left_semi").select(
+        *p.cells, F.when(F.col("inside"), F.round("logl", 6)).alias("logl"), F.when(F.col("inside"), _off_peak(*phi)).alias("off_peak"), (F.col("logl") <= most + 1e-9).alias("bounded")
+    )
 
 
 @register("scan_lbfgsb", plane_sql(12))
 def scan_lbfgsb(spark, sf):
-    return in_plane(_scan(spark, "lbfgs", warm=log(spark, sf))[1].state)
+    r = _scan(spark, "lbfgs", warm=log(spark, sf))[1]
+    return in_plane(r.state, r.projection)
 
 
 @register("scan_multistart", plane_sql(12))
 def scan_multistart(spark, sf):
-    return in_plane(_scan(spark, "lbfgs")[1].state)
+    """Without a log's points: starts are drawn in the box that the log spans."""
+    r = _scan(spark, "lbfgs", box=data_box(spark, sf))[1]
+    return in_plane(r.state, r.projection)
 
 
 @register("scan_de", plane_sql(12))
 def scan_de(spark, sf):
-    return in_plane(_scan(spark, "de", warm=log(spark, sf))[1].state)
+    r = _scan(spark, "de", warm=log(spark, sf))[1]
+    return in_plane(r.state, r.projection)
+
+
+@register("scan_de_archive", plane_sql(12))
+def scan_de_archive(spark, sf):
+    """Differential evolution over the table of cells."""
+    r = _scan(spark, "de_table", warm=log(spark, sf), generations=4)[1]
+    return in_plane(r.state, r.projection)
+
+
+_VALLEY = [(-2.5, 2.5), (-2.5, 2.5), (-10.0, 10.0), (-60.0, 60.0)]
+
+
+@register(
+    "scan_valley",
+    "WITH g AS (SELECT CAST(i AS INTEGER) AS i0, CAST(j AS INTEGER) AS i1, -25e-1 + 5e0 * i / 20 AS a, -25e-1 + 5e0 * j / 20 AS b FROM range(21) x(i), range(21) y(j)), "
+    "v AS (SELECT i0, i1, (100 * b * b + 1) / 101 AS x2, -1e-1 * (100 * pow(b - a * a, 2) + pow(1 - a, 2) + pow(1 - b, 2) + 100 / 101e0 * pow(1 - b * b, 2)) AS logl FROM g) "
+    "SELECT i0, i1, round(logl, 4) AS logl, round(x2, 2) AS x2 FROM v WHERE logl > (SELECT max(logl) FROM v) - 8",
+)
+def scan_valley(spark, sf):
+    """A curved valley, whose profile over the first two parameters has a closed form; starts come from the log."""
+    from ridgeline.plans.scan import Scan
+
+    t = Target("rosenbrock", 4)
+    p = Projection.of([0, 1], [20, 20], _VALLEY)
+    warm = log(spark, sf).select(*[(F.col(x) / 12 + 0.5) * (hi - lo) + lo for x, (lo, hi) in zip(XS, _VALLEY)]).toDF(*XS)
+    warm = warm.withColumn("logl", t.column(XS))
+    s = Scan(spark, t, ScanConfig(roi_threshold=8.0, ftol=1e-12, max_iter=300), bounds=_VALLEY).run(p, warm).state
+    top = s.agg(F.max("logl").alias("top"))
+    return s.join(F.broadcast(top)).filter(F.col("logl") > F.col("top") - 8).select("i0", "i1", F.round("logl", 4).alias("logl"), F.round("p0", 2).alias("x2"))
 
 
 # a new node is worked on where the bilinear value of its coarse corners lies in the region
-_REFINED = plane_sql(24).replace("SELECT i0, i1, round(logl, 3) AS logl FROM v WHERE logl > -4.9e0", (
-    "c AS (SELECT i0 // 2 AS k, i1 // 2 AS l, logl FROM v WHERE i0 % 2 = 0 AND i1 % 2 = 0), "
+_REFINED = _plane(24) + (
+    ", c AS (SELECT i0 // 2 AS k, i1 // 2 AS l, logl FROM v WHERE i0 % 2 = 0 AND i1 % 2 = 0), "
     "w AS (SELECT i0, i1, v.logl AS logl, avg(c.logl) AS guess FROM v JOIN c ON c.k BETWEEN i0 // 2 AND (i0 + 1) // 2 AND c.l BETWEEN i1 // 2 AND (i1 + 1) // 2 GROUP BY i0, i1, v.logl) "
-    "SELECT i0, i1, round(logl, 3) AS logl FROM w WHERE logl > -4.9e0 AND guess >= (SELECT max(logl) FROM c) - 5e0"
-)).replace("), v AS", "), v AS", 1).replace(" FROM g) c AS", " FROM g), c AS")
+    "SELECT i0, i1, round(logl, 6) AS logl, 0e0 AS off_peak FROM w WHERE logl > -4.9e0 AND guess >= (SELECT max(logl) FROM c) - 5e0"
+)
 
 
 @register("scan_refined", _REFINED)
 def scan_refined(spark, sf):
-    return in_plane(_scan(spark, "lbfgs", 12, 2, log(spark, sf))[1].refined.state)
+    s = _scan(spark, "lbfgs", 12, 2, log(spark, sf))[1].refined.state
+    return s.filter("logl > -4.9").select("i0", "i1", r6("logl").alias("logl"), _off_peak("p0", "p1").alias("off_peak"))
 
 
 def _logged(spark, sf):
     from ridgeline.plans.scan import Scan
 
     p = Projection.of([0, 1], [12, 12], BOX)
-    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0, log=True))
+    scan = Scan(spark, TARGET, ScanConfig(roi_threshold=5.0, ftol=1e-12, log=True))
     return scan, p, scan.run(p, log(spark, sf))
 
 
@@ -706,7 +838,7 @@ def scan_log_counts(spark, sf):
 def scan_log_profile(spark, sf):
     """The profile of a scan's own log is the scan's profile."""
     scan, p, _ = _logged(spark, sf)
-    return in_plane(R.best_per_cell(G.with_cells(scan.log().select(*XS, "logl"), p), p.cells).select("i0", "i1", "logl"))
+    return in_plane(R.best_per_cell(G.with_cells(scan.log().select(*XS, "logl"), p), p.cells, "logl", PHI), p, ("x2", "x3"))
 
 
 @register("volume_samples")
@@ -727,18 +859,19 @@ def volume_band(spark, sf):
     )
 
 
-_PEAKS = "(VALUES (3.0, 2.0), (-2.8, 3.1), (-3.8, -3.3), (3.6, -1.8))"
+_PEAKS = "(VALUES (0), (1), (2), (3))"
 
 
-@register(
-    "optima_registry",
-    f"SELECT CAST(a.x AS DOUBLE) AS x0, CAST(a.y AS DOUBLE) AS x1, CAST(b.x AS DOUBLE) AS x2, CAST(b.y AS DOUBLE) AS x3, true AS peak FROM {_PEAKS} a(x, y), {_PEAKS} b(x, y)",
-)
+@register("optima_registry", f"SELECT CAST(a.k AS INTEGER) AS first, CAST(b.k AS INTEGER) AS second, 0e0 AS off, 0e0 AS logl FROM {_PEAKS} a(k), {_PEAKS} b(k)")
 def optima_registry(spark, sf):
-    """The optima that a multistart registers at the top: every pair of the four published peaks of the target's brackets."""
-    result = _scan(spark, "lbfgs")[1]
-    rows = [(*[round(float(x), 1) for x in o["point"]], True) for o in result.optima if o["value"] > -1e-4]
-    return spark.createDataFrame(rows, "x0 double, x1 double, x2 double, x3 double, peak boolean")
+    """The optima that a multistart in the log's box registers at the top: every pair of a bracket's four peaks, once."""
+    result = _scan(spark, "lbfgs", box=data_box(spark, sf))[1]
+    rows = [(*map(float, o["point"]), float(o["value"])) for o in result.optima]  # at most as many as starts
+    d = spark.createDataFrame(rows, ", ".join(f"{x} double" for x in XS) + ", value double").filter("value > -1e-4")
+    far = lambda x, y, k: F.greatest(F.abs(F.col(x) - BRACKET_PEAKS[k][0]), F.abs(F.col(y) - BRACKET_PEAKS[k][1]))
+    near = lambda x, y: F.least(*[F.struct(far(x, y, k).alias("d"), F.lit(k).alias("k")) for k in range(4)])
+    d = d.select(near("x0", "x1").alias("a"), near("x2", "x3").alias("b"), "value")
+    return d.select(F.col("a.k").alias("first"), F.col("b.k").alias("second"), (F.round(F.greatest("a.d", "b.d"), 4) + 0.0).alias("off"), (F.round("value", 6) + 0.0).alias("logl"))
 
 
 @register("dbscan_modes", None)

@@ -136,27 +136,6 @@ def latin_hypercube(rng: np.random.Generator, n: int, bounds: np.ndarray) -> np.
     return bounds[:, 0] + u * (bounds[:, 1] - bounds[:, 0])
 
 
-def primes(n: int) -> list[int]:
-    out, k = [], 2
-    while len(out) < n:
-        if all(k % p for p in out):
-            out.append(k)
-        k += 1
-    return out
-
-
-def halton(ids: np.ndarray, d: int, shift: np.ndarray | None = None) -> np.ndarray:
-    """Points of the Halton sequence for these ids, rotated by shift."""
-    out = np.zeros((len(ids), d))
-    for k, base in enumerate(primes(d)):
-        i, scale = np.asarray(ids, dtype=np.int64) + 1, 1.0
-        while i.any():
-            scale /= base
-            out[:, k] += scale * (i % base)
-            i = i // base
-    return out if shift is None else (out + shift) % 1.0
-
-
 def evolve(
     f: Objective, population: np.ndarray, values: np.ndarray, bounds: np.ndarray, rng: np.random.Generator, generations: int, window: int,
     threshold: float, guide: np.ndarray | None = None,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.config import Projection, ScanConfig, VolumeConfig
 from ridgeline.functions.phases import JOB_PHASE
-from ridgeline.functions.sampling import log_acceptance, stretch, umbrella, uniform
+from ridgeline.functions.sampling import SOBOL_BITS, log_acceptance, sobol, stretch, umbrella, uniform
 from ridgeline.operators import grid as G
 from ridgeline.operators import state as S
 from ridgeline.operators.pool import capacity, nearest, pool_of
@@ -533,18 +533,13 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
     roi, w = config.roi_threshold, config.n_walkers
     xs = [f"x{k}" for k in range(d)]
     sigma = config.sigma_frac * roi
-    rotation = K.stream(seed, 77).random(d)
-    lows, spans = np.array(scan.bounds)[:, 0], np.diff(np.array(scan.bounds), axis=1)[:, 0]
-
-    def points(frames):
-        for pdf in frames:
-            x = lows + K.halton(pdf["id"].to_numpy(), d, rotation) * spans
-            yield pd.DataFrame({"id": pdf["id"], **{n: x[:, k] for k, n in enumerate(xs)}})
+    shifts = [int(v) for v in K.stream(seed, 77).integers(0, 1 << SOBOL_BITS, d)]
+    drawn = [(F.lit(lo) + F.lit(hi - lo) * sobol(F.col("id"), k, shifts[k])).alias(xs[k]) for k, (lo, hi) in enumerate(scan.bounds)]
 
     # draws in growing batches, until w seeds lie inside or 10,000 a walker are drawn
     rows, lo, hi = [], 0, min(10_000 * w, 1 << 18)
     while len(rows) < w and lo < 10_000 * w:
-        cand = spark.range(lo, hi).mapInPandas(points, "id long, " + ", ".join(f"{x} double" for x in xs))
+        cand = spark.range(lo, hi).select("id", *drawn)
         inside = G.envelope(cand, [(r.projection, r.state) for r in results], top - roi).orderBy("id").limit(w - len(rows))
         rows += sorted(inside.collect(), key=lambda r: r["id"])  # at most n_walkers rows
         lo, hi = hi, min(10_000 * w, 4 * hi)

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.config import ConfigurationError, InvalidProjectionError, Projection, VolumeConfig, parse_n_optima, resolve_dims
 from ridgeline.functions import targets as T
 from ridgeline.functions.nuisance import Nuisance, default_coupling, presets
+from ridgeline.functions import sampling as Q
 from ridgeline.plans import kernels as K
 
 
@@ -85,8 +87,30 @@ def test_sampling_designs():
     for k in range(2):
         u = (x[:, k] - b[k, 0]) / (b[k, 1] - b[k, 0])
         assert sorted((u * 50).astype(int)) == list(range(50))
-    h = K.halton(np.arange(1000), 3)
-    assert np.allclose(h[:4, 0], [0.5, 0.25, 0.75, 0.125]) and abs(h.mean() - 0.5) < 0.01
+
+
+def sobol_points(n, dims):
+    """The sequence by its definition, one bit of a point's number at a time."""
+    out = np.zeros((n, dims), np.uint64)
+    for d in range(dims):
+        for k, v in enumerate(Q.sobol_directions(d)):
+            out[:, d] ^= np.where(np.arange(n) >> k & 1, np.uint64(v), np.uint64(0))
+    return out
+
+
+def test_sobol(spark):
+    dims, shift = Q.SOBOL_DIMS, 0xDEADBEEF
+    want = sobol_points(4096, dims)
+    cols = [Q.sobol(F.col("id"), d, shift).alias(f"u{d}") for d in range(dims)]
+    got = np.array([tuple(r) for r in spark.range(4096).select("id", *cols).orderBy("id").drop("id").collect()])
+    assert (got == (want ^ np.uint64(shift)) / 2**32).all()
+    assert (want[:4, 1] / 2**32).tolist() == [0.0, 0.5, 0.75, 0.25] and want[4, 1] / 2**32 == 0.625 and want[4, 2] / 2**32 == 0.375
+    for d in range(dims):  # every coordinate alone, and neighbouring ones in pairs, fill their boxes evenly
+        assert (np.bincount((want[:, d] >> np.uint64(20)).astype(int), minlength=4096) == 1).all()
+    pair = (want[:256, 0] >> np.uint64(28)) * 16 + (want[:256, 1] >> np.uint64(28))
+    assert len(set(pair.tolist())) == 256
+    with pytest.raises(ValueError):
+        Q.sobol_directions(dims)
 
 
 def test_clustering():
