@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,12 +42,28 @@ def is_held_out(doc_id: Column | str) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 4 == 2
 
 
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(operator: str, release: Callable[[], object]) -> None:
+    """Names what lets go of the state that an operator keeps in a Python worker between its tasks."""
+    _KEPT[operator] = release
+
+
+def begins(operator: str) -> None:
+    """Called by the operator's tasks: workers serve one operator after another, and the others' state goes."""
+    for name, release in _KEPT.items():
+        if name != operator:
+            release()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session under spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A folder of this session under spark.checkpoint.dir. Where that is unset, a session in one process gets a temporary
+    folder; on a cluster that is an error, since executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ridgeline-")
         spark.conf.set("spark.checkpoint.dir", root)
     app = spark.sparkContext.applicationId

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import is_held_out, table
+from ridgeline.llm.common import begins, is_held_out, keeps, table
 
 DIM = 512
 SYMBOLS = 64
@@ -122,10 +122,12 @@ class Encoder:
 
 
 _ENCODERS: dict[int, Encoder] = {}
+keeps("language_id", _ENCODERS.clear)
 
 
 def encoder(dim: int) -> Encoder:
     """One encoder a process: Python workers serve many tasks."""
+    begins("language_id")
     if dim not in _ENCODERS:
         _ENCODERS[dim] = Encoder(dim)
     return _ENCODERS[dim]

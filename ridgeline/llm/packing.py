@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import table, written
+from ridgeline.llm.common import begins, keeps, table, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -113,9 +113,11 @@ class Tokens:
 
 
 _TOKENS: dict[str, Tokens] = {}
+keeps("packing", _TOKENS.clear)
 
 
 def tokens(path: str) -> Tokens:
+    begins("packing")
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
     return _TOKENS[path]
