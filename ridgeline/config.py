@@ -106,6 +106,7 @@ class VolumeConfig:
     eval_budget: int | None = None
     stay_in_box: bool = True
     output_file: str | None = None
+    summary_file: str | None = None
 
     @staticmethod
     def from_dict(d: dict) -> VolumeConfig:
@@ -129,8 +130,9 @@ class VolumeConfig:
             raise ConfigurationError("eval_budget must be a positive integer")
         if not isinstance(self.warm_start, bool) or not isinstance(self.stay_in_box, bool):
             raise ConfigurationError("warm_start and stay_in_box must be booleans")
-        if self.output_file is not None and not self.output_file:
-            raise ConfigurationError("output_file must not be empty")
+        for name in ("output_file", "summary_file"):
+            if getattr(self, name) is not None and not (isinstance(getattr(self, name), str) and getattr(self, name)):
+                raise ConfigurationError(f"{name} must not be empty")
 
 
 @dataclass

@@ -8,6 +8,7 @@ the region of interest are ever made.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -24,8 +25,9 @@ from ridgeline.operators import grid as G
 from ridgeline.operators import state as S
 from ridgeline.operators.pool import capacity, nearest, pool_of
 from ridgeline.operators.pool import seeds as pool_seeds
-from ridgeline.operators.profile import best_per_cell
+from ridgeline.operators.profile import best_per_cell, histogram
 from ridgeline.plans import kernels as K
+from ridgeline.sources import samples as L
 from ridgeline.sources.store import discarded, stored
 
 
@@ -71,6 +73,8 @@ def normalised_gradient(raw, n: int) -> np.ndarray:
 
 CALLS = "array<struct<x: array<double>, logl: double>>"
 PAIRS = "array<struct<s: array<double>, y: array<double>>>"
+#: Bins of the histogram in a volume summary.
+HISTOGRAM = 20
 #: What an optimisation counts besides its evaluations: values that were not finite, gradient components that the
 #: target's own function gave, failures of that function.
 COUNTS = ["failed", "saved", "gradient_failures"]
@@ -520,6 +524,18 @@ class Scan:
         return [self.run(p, warm) for p in projections]
 
 
+def partner_index(walker: Column, half: int, walkers: int, size: int, window: float | None, u: Column) -> Column:
+    """The place, among the `size` walkers of the other half, of a walker's partner. Walkers are numbered by level, so those
+    within `window` levels are a range of numbers; where it holds none of the other half, the whole half is drawn from."""
+    whole = F.floor(u * size)
+    if window is None:
+        return whole.cast("int")
+    reach, odd = math.floor(window + 1e-9), 1 - half
+    low = F.greatest(F.lit(0), F.ceil((walker - reach - odd) / 2))
+    high = F.least(F.lit(size - 1), F.floor((walker + reach - odd) / 2))
+    return F.when(high >= low, low + F.floor(u * (high - low + 1))).otherwise(whole).cast("int")
+
+
 def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Samples of the region within roi_threshold of the best value: (points x0.. and logl, summary).
 
@@ -573,7 +589,7 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
     def half_step(all_: DataFrame, sweep: int, half: int) -> DataFrame:
         mine, frozen = all_.filter(F.col("w") % 2 == half), all_.filter(F.col("w") % 2 != half)
         size = (w + half) // 2  # walkers of the other half
-        partner = F.floor(uniform("w", F.lit(sweep), F.lit(seed)) * size).cast("int")
+        partner = partner_index(F.col("w"), half, w, size, None if config.partner_level_window is None else config.partner_level_window * w / roi, uniform("w", F.lit(sweep), F.lit(seed)))
         z = stretch(uniform("w", F.lit(sweep), F.lit(seed + 1)))
         other = frozen.select(F.expr("cast(w div 2 as int)").alias("__k"), *[F.col(x).alias(f"{x}_o") for x in xs])
         both = mine.withColumns({"__k": partner, "z": z}).join(F.broadcast(other), "__k")
@@ -617,4 +633,9 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
         "n_walkers": w, "n_sweeps": sweeps, "n_evaluations": evals, "n_samples": n, "in_band": n / evals, "acceptance": accepted / max(evals - w, 1),
         "final_max": best, "drift": best - top,
     }
+    if config.output_file:
+        edges = {"lo": best - roi, "hi": best}
+        counts = {r["bin"]: r["n"] for r in histogram(band, "logl", best - roi, best, HISTOGRAM).collect()} if n else {}
+        summary["histogram"] = {**edges, "counts": [counts.get(k, 0) for k in range(HISTOGRAM)]}
+        L.write_volume_output(band, summary, config.output_file, config.summary_file)
     return band, summary

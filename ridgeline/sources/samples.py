@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -150,6 +151,29 @@ def to_json(summary: dict) -> str:
     return json.dumps(json_safe(summary), indent=1, sort_keys=True)
 
 
+def default_summary_file(output: str) -> str:
+    """output with `_summary.json` for its extension."""
+    folder, _, name = output.rpartition("/")
+    stem = name.rpartition(".")[0] or name
+    return f"{folder}/{stem}_summary.json" if folder else f"{stem}_summary.json"
+
+
+def write_volume_output(band: DataFrame, summary: dict, output: str, summary_file: str | None = None) -> tuple[str | None, str]:
+    """Writes a band of samples, unless it has none, in the format of the extension, replacing what is there, and the
+    summary as one JSON text; the two paths, the first None without samples."""
+    spark = band.sparkSession
+    if summary["n_samples"]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(output)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            warnings.warn(f"{output} is replaced", stacklevel=2)
+        write_log(band, output, mode="overwrite")
+    written = output if summary["n_samples"] else None
+    where = summary_file or default_summary_file(output)
+    text = to_json({**summary, "output_file": written})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(where)
+    return written, where
+
+
 def dense(profile: DataFrame, grid: DataFrame, cells: list[str], value: str = "logl") -> DataFrame:
     """Every cell of the grid, NaN where the profile has none."""
     out = grid.join(profile.select(*cells, value), cells, "left")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.sources import samples as L
 
@@ -48,3 +49,49 @@ def test_batches_and_combine(spark, tmp_path):
 
 def test_json():
     assert L.to_json({"a": (1.0, float("inf")), 2: np.float64("nan")}) == '{\n "2": null,\n "a": [\n  1.0,\n  null\n ]\n}'
+
+
+def test_log_writer_commits_whole_writes(spark, tmp_path):
+    from ridgeline.sources.log_writer import LogWriter
+
+    path, cols = f"{tmp_path}/log", ["x0", "logl", "phase"]
+    d = spark.range(40).selectExpr("id / 7.0D AS x0", "CASE WHEN id = 3 THEN double('-inf') ELSE -id END AS logl", "cast(id % 3 AS int) AS phase")
+    with LogWriter(spark, path) as log:
+        log.write_batch(d.repartition(4))
+        log.write_batch(d.limit(5))
+        log.flush()
+        with pytest.raises(ValueError, match="columns"):
+            log.write_batch(d.select("x0"))
+    log.close()
+    log.close()
+    with pytest.raises(ValueError, match="closed"):
+        log.write_batch(d)
+    back = L.read_log(spark, path, cols, "csv")
+    assert back.count() == 45 and back.filter("logl = double('-inf')").count() == 2
+    assert abs(back.agg({"x0": "sum"}).first()[0] - (d.agg({"x0": "sum"}).first()[0] + d.limit(5).agg({"x0": "sum"}).first()[0])) < 1e-6
+
+    @F.udf("double")
+    def fails(i):
+        if i == 39:
+            raise RuntimeError("this task fails")
+        return float(i)
+
+    bad = spark.range(0, 40, 1, 4).select(fails("id").alias("x0"), F.lit(0.0).alias("logl"), F.lit(1).alias("phase"))
+    with pytest.raises(Exception, match="this task fails"):
+        LogWriter(spark, path).write_batch(bad)
+    assert L.read_log(spark, path, cols, "csv").count() == 45  # the tasks that ended left nothing
+
+
+def test_volume_output(spark, tmp_path):
+    import json
+
+    band = spark.createDataFrame([(0.0, 1.0, -0.5), (0.5, 1.0, -1.5)], "x0 double, x1 double, logl double")
+    out, where = L.write_volume_output(band, {"n_samples": 2, "drift": float("inf")}, f"{tmp_path}/v.csv")
+    assert L.read_log(spark, out, ["x0", "x1", "logl"]).count() == 2 and where == f"{tmp_path}/v_summary.json"
+    summary = json.loads("\n".join(r.value for r in spark.read.text(where, wholetext=True).collect()))
+    assert summary == {"n_samples": 2, "drift": None, "output_file": out}
+    with pytest.warns(UserWarning, match="replaced"):
+        L.write_volume_output(band.limit(1), {"n_samples": 1}, f"{tmp_path}/v.csv")
+    assert L.read_log(spark, out, ["x0", "x1", "logl"]).count() == 1
+    out, where = L.write_volume_output(band.limit(0), {"n_samples": 0}, f"{tmp_path}/none.csv", f"{tmp_path}/s.json")
+    assert out is None and not (tmp_path / "none.csv").exists() and (tmp_path / "s.json").exists()

@@ -188,8 +188,8 @@ def test_optima_registry_has_every_peak(spark, sf):
     from ridgeline.catalogue import QUERIES
 
     rows = QUERIES["optima_registry"](spark, sf).collect()
-    one = [(3.0, 2.0), (-2.8, 3.1), (-3.8, -3.3), (3.6, -1.8)]
-    assert sorted(tuple(r)[:4] for r in rows) == sorted(a + b for a in one for b in one)
+    assert sorted((r["first"], r["second"]) for r in rows) == [(a, b) for a in range(4) for b in range(4)]
+    assert {(r.off, r.logl) for r in rows} == {(0.0, 0.0)}
 
 
 def test_curvature_of_neighbours_saves_evaluations(spark):
@@ -272,3 +272,35 @@ def test_a_recheck_polishes_the_best_seed(spark):
     assert all(out[i].logl == -1.0 for i in range(31) if i != 15)
     tested = [n for kind, _, n in scan.waves if kind == "SUSPECT_RECHECK"]
     assert tested[0] >= 2 and len(tested) >= 2
+
+
+def test_partners_lie_in_the_level_window(spark):
+    from ridgeline.functions.sampling import uniform
+    from ridgeline.plans.scan import partner_index
+
+    for walkers, window in ((101, 7.4), (60, 0.5), (40, None), (9, 3.0)):
+        for half in (0, 1):
+            size = (walkers + half) // 2
+            d = spark.range(walkers).filter(F.col("id") % 2 == half).withColumn("u", F.explode(F.array(*[uniform("id", F.lit(k)) for k in range(20)])))
+            rows = d.select("id", partner_index(F.col("id"), half, walkers, size, window, F.col("u")).alias("k")).collect()
+            seen = {}
+            for r in rows:
+                assert 0 <= r.k < size
+                seen.setdefault(r.id, set()).add(2 * r.k + 1 - half)
+            for w, partners in seen.items():
+                if window is not None and window >= 1:
+                    assert all(abs(w - x) <= window for x in partners)
+            if window in (None, 0.5):  # no walker of the other half so near: the whole half
+                assert max(len(x) for x in seen.values()) > 8
+
+
+def test_volume_with_window_and_files(spark, tmp_path):
+    import json
+
+    s = Target("sphere", 4)
+    scan = Scan(spark, s, ScanConfig(roi_threshold=4.0, n_starts=8))
+    r = scan.run(Projection.of([0, 1], [8, 8], s.bounds))
+    config = VolumeConfig(roi_threshold=4.0, n_walkers=60, n_steps=3, partner_level_window=1.0, output_file=f"{tmp_path}/v.csv")
+    band, summary = sample_volume(scan, [r], config)
+    told = json.loads("\n".join(x.value for x in spark.read.text(f"{tmp_path}/v_summary.json", wholetext=True).collect()))
+    assert told["n_samples"] == summary["n_samples"] == spark.read.text(f"{tmp_path}/v.csv").count() == sum(told["histogram"]["counts"])
