@@ -891,3 +891,25 @@ def stream_live_profile(spark, sf):
     import uuid
 
     return run_available(live_profile(spark, folder, d.schema, P01), f"live_{uuid.uuid4().hex[:8]}").withColumn("logl", r6("logl"))
+
+
+@register(
+    "stream_best_points",
+    "WITH r AS (SELECT CAST(o_custkey % 8 AS BIGINT) AS key, o_orderkey AS seq, round(o_totalprice, 2) AS value, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank, count(*) OVER (PARTITION BY o_custkey % 8) AS came FROM orders) SELECT key, CAST(rank AS INTEGER) AS rank, seq, value, came FROM r WHERE rank < 50",
+)
+def stream_best_points(spark, sf):
+    """The best points of each shard of a log, kept in a stream's state store; the stream stops on the way and goes on."""
+    from ridgeline.sources.store import shared_root, stored
+    from ridgeline.streaming import online as N
+
+    d = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 8).cast("long").alias("key"), F.array("o_totalprice").alias("x"), F.col("o_totalprice").alias("value")
+    )
+    log_ = stored(d.repartition(3), "stream-log")
+    with N.rocksdb(spark):
+        stream = spark.readStream.schema(log_.schema).option("maxFilesPerTrigger", 1).parquet(log_.stored_at)
+        updates = N.online(stream, "key", N.BestPoints(50))
+        root = f"{shared_root(spark)}/online-{log_.stored_at.rsplit('-', 1)[1]}"
+        N.run_online(updates, f"{root}/out", f"{root}/check", batches=1)
+        N.run_online(updates, f"{root}/out", f"{root}/check")
+    return N.latest(spark, f"{root}/out").select("key", "rank", "seq", F.round("value", 2).alias("value"), "came")

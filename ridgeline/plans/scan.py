@@ -471,6 +471,8 @@ class Scan:
         phi = [f"p{k}" for k in range(len(p.profiled))]
         extents = [p.bounds[d][1] - p.bounds[d][0] for d in p.profiled]
         odd = stored(S.suspects(state, p, phi, extents, c.roi_threshold, c.suspect_k, c.suspect_fraction).select(*p.cells), "suspects")
+        if odd.isEmpty():
+            return state
         for wave in range(c.max_waves):
             seeds = self.recheck_seeds(odd, state, p).filter(F.size("seeds") > 1)
             own = state.select(*p.cells, F.col("logl").alias("own"))

@@ -9,10 +9,12 @@ holds an earlier `seq`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -102,6 +104,18 @@ class BestPoints(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def online(stream: DataFrame, key: str, processor: StatefulProcessor) -> DataFrame:
     """stream through a processor, keyed by `key` (long): each batch gives the new state of the keys that it touches."""
     return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.OUTPUT, outputMode="Update", timeMode="None")
@@ -129,10 +143,8 @@ def run_online(updates: DataFrame, path: str, checkpoint: str, batches: int | No
     running.stop()
 
 
-def latest(spark, path: str, per: str = "key") -> DataFrame:
+def latest(spark: SparkSession, path: str, per: str = "key") -> DataFrame:
     """The last update of each key in a table that run_online wrote."""
-    from pyspark.sql import functions as F
-
     d = spark.read.parquet(path)
     last = d.groupBy(per).agg(F.max("batch").alias("batch"))
     return d.join(last, [per, "batch"]).drop("batch")

@@ -6,16 +6,12 @@ from ridgeline.plans import kernels as K
 from ridgeline.streaming import online as O
 
 BOX = [(-5.0, 5.0)] * 2
-ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 @pytest.fixture
 def rocks(spark):
-    for k, v in ROCKS.items():
-        spark.conf.set(k, v)
-    yield
-    for k in ROCKS:
-        spark.conf.unset(k)
+    with O.rocksdb(spark):
+        yield
 
 
 def runs(n=90, seed=3):
