@@ -159,6 +159,9 @@ class ScanConfig:
     curvature: bool = True  # a run begins with the curvature that the best neighbour's run left
     proximity: bool = True  # cells also start from the nearest point of the pool
     patch_refined: bool = False
+    refine_direct: bool = False  # new cells of a refined grid are evaluated at candidate parameters, not optimised
+    clustering: str | None = "dbscan"  # modes that give such candidates: dbscan, hierarchical, kmeans or None
+    cluster_eps: float | None = None  # reach of dbscan in standard deviations; learned from the cells if None
     pull: float = 0.5  # chance of a trial to go towards a better neighbour (de_table)
     archive: float = 0.1  # share of the cells that the archive of best members holds (de_table)
     agree: float = 0.05  # spread of neighbours' parameters up to which a fresh cell needs one generation only
@@ -171,4 +174,6 @@ class ScanConfig:
     def __post_init__(self) -> None:
         if not self.roi_threshold > 0 or self.population < 2 or self.max_iter < 1 or (self.n_starts is not None and self.n_starts < 1) or self.batch < 1:
             raise ConfigurationError("roi_threshold, population, max_iter, n_starts and batch must be positive")
+        if self.clustering not in (None, "dbscan", "hierarchical", "kmeans") or (self.cluster_eps is not None and not self.cluster_eps > 0):
+            raise ConfigurationError("clustering must be dbscan, hierarchical, kmeans or None, and cluster_eps positive")
         self.optima_range = parse_n_optima(self.n_optima)

@@ -1,22 +1,115 @@
-"""Modes: clusters of cells by their profiled parameters."""
+"""Modes: clusters of cells by their profiled parameters.
+
+Density clustering is joins and aggregations at any size: neighbours within eps meet in buckets of side eps, and chains of
+core cells contract star by star. Ward's method and k-means take small grids, in one task.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from math import ceil, floor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ridgeline.config import ConfigurationError, Projection
+from ridgeline.operators.pool import nearest, squared_distance
+from ridgeline.operators.rank import ranked
 from ridgeline.plans import kernels as K
+from ridgeline.sources.store import discarded, stored
 
-#: Cells that one clustering takes; a grid with more in its region must be coarsened first.
+#: Cells that Ward's method and k-means take; a grid with more in its region must be coarsened first.
 MOST_CELLS = 20_000
+#: Axes that buckets of neighbours have at most: 3 ** axes buckets are looked at for each cell.
+BUCKET_AXES = 5
+#: Squared distances up to this much over the limit still count, so that rounding decides no tie.
+SLACK = 1e-9
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: each node of edges (a, b) with the smallest node that it reaches.
+
+    Rounds of large and small stars: every node hands its larger neighbours, then its smaller ones, to the smallest it
+    knows, until nothing changes; rounds grow with the logarithm of the longest chain. Loops (a = b) keep single nodes.
+    """
+    links = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def mark(d: DataFrame) -> tuple:
+        return tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+    seen = mark(links)
+    while seen[0]:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # every link now leads from a larger node to a smaller one
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        each = large.join(least, "a")
+        small = each.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
+        links, was = stored(small.distinct(), "links"), links
+        discarded(was)
+        now = mark(links)
+        if now == seen:
+            break
+        seen = now
+    roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def density_modes(state: DataFrame, p: Projection, phi: list[str], weight: float = 1.0, min_samples: int | None = None, eps: float | None = None, multiplier: float = 3.0) -> DataFrame:
+    """state with `label`: density clusters of standardised parameters and coordinates, numbered by their first core cell.
+
+    A cell with min_samples cells within eps, itself included, is a core cell; core cells within eps share a cluster, other
+    cells within eps of a core cell join the smallest such cluster, the rest is noise (-1). eps: multiplier times the 90th
+    percentile of the distance to the min_samples-th nearest cell, unless given. A single cell is cluster 0. What is
+    stored between joins is a row for each pair of cells within eps.
+    """
+    columns = [*phi, *p.cells]
+    s = state.agg(F.count("*").alias("n"), *[x for k, c in enumerate(columns) for x in (F.avg(c).alias(f"m{k}"), F.stddev_pop(c).alias(f"s{k}"))]).first()
+    n, axes = s["n"], range(len(columns))
+    if n < 2:
+        return state.withColumn("label", F.lit(0))
+    k = min(max(2, min_samples or len(phi) + 1), n)
+    scale = [(1.0 if j < len(phi) else weight) / (s[f"s{j}"] or 1.0) for j in axes]
+    number = reduce(lambda a, jg: a * F.lit(jg[1] + 1) + F.col(p.cells[jg[0]]), enumerate(p.grid_points), F.lit(0).cast("long"))
+    x = stored(state.select(number.alias("a"), *[((F.col(c) - F.lit(float(s[f"m{j}"]))) * F.lit(scale[j])).alias(f"x{j}") for j, c in enumerate(columns)]), "features")
+    y = x.select(F.col("a").alias("b"), *[F.col(f"x{j}").alias(f"y{j}") for j in axes])
+    pairs = [(f"x{j}", f"y{j}", 1.0) for j in axes]
+    if eps is None:
+        kth = nearest(x, y, ["a"], pairs, k, ["b"], n, n).filter(F.col("rank") == k).select("a", "dist2")
+        placed, _ = ranked(kth, ["dist2", "a"], "place")
+        at = 0.9 * (n - 1)
+        ends = {r["place"]: r["dist2"] ** 0.5 for r in placed.filter(F.col("place").isin(floor(at), ceil(at))).select("place", "dist2").collect()}
+        eps = (ends[floor(at)] + (ends[ceil(at)] - ends[floor(at)]) * (at - floor(at))) * multiplier
+
+    side = F.lit(max(eps, 1e-12) * (1 + SLACK))
+    held = [*range(len(phi), len(columns)), *range(len(phi))][:BUCKET_AXES]
+    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{j}") for j, v in zip(held, o)]) for o in product((-1, 0, 1), repeat=len(held))]))
+    mine = x.withColumn("__o", around).withColumns({f"c{j}": F.floor(F.col(f"x{j}") / side) + F.col(f"__o.o{j}") for j in held}).drop("__o")
+    theirs = y.withColumns({f"c{j}": F.floor(F.col(f"y{j}") / side) for j in held})
+    near = mine.join(theirs, [f"c{j}" for j in held]).filter(squared_distance(pairs) <= F.lit(eps * eps * (1 + SLACK))).select("a", "b")
+    near = stored(near, "near")
+    core = stored(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("a"), "core")
+    of_core = near.join(core.select(F.col("a").alias("b")), "b", "left_semi")
+    found = components(of_core.join(core, "a", "left_semi").filter("a >= b"))
+    found = stored(found, "components")
+    roots, _ = ranked(found.select("root").distinct(), ["root"], "label")
+    labels = found.join(roots, "root").select(F.col("node").alias("b"), "label")
+    label = of_core.join(labels, "b").groupBy("a").agg(F.min("label").cast("int").alias("label"))
+    out = state.withColumn("__a", number).join(label.withColumnRenamed("a", "__a"), "__a", "left")
+    return out.select(*state.columns, F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def cluster_modes(state: DataFrame, p: Projection, phi: list[str], method: str = "dbscan", weight: float = 1.0, min_samples: int | None = None, eps: float | None = None, multiplier: float = 3.0) -> DataFrame:
     """state with `label` (noise -1): dbscan, hierarchical (Ward) or kmeans on standardised parameters and coordinates."""
     if method not in ("dbscan", "hierarchical", "kmeans"):
         raise ConfigurationError(f"unknown clustering {method!r}")
+    if method == "dbscan":
+        return density_modes(state, p, phi, weight, min_samples, eps, multiplier)
     cells = 1
     for g in p.grid_points:
         cells *= g + 1
@@ -32,11 +125,7 @@ def cluster_modes(state: DataFrame, p: Projection, phi: list[str], method: str =
         x[:, len(phi) :] *= weight
         if len(x) < 2:
             return pdf.assign(label=0)
-        k = min(max(2, min_samples or len(phi) + 1), len(x))
-        if method == "dbscan":
-            label = K.dbscan(x, eps or K.dbscan_eps(x, k, multiplier), k)
-        else:
-            label = K.ward(x, 1.0) if method == "hierarchical" else K.kmeans(x)
+        label = K.ward(x, 1.0) if method == "hierarchical" else K.kmeans(x)
         return pdf.assign(label=label.astype("int32"))
 
     kinds = ", ".join(f"{n} {t}" for n, t in state.dtypes)

@@ -23,6 +23,7 @@ from ridgeline.functions.phases import JOB_PHASE
 from ridgeline.functions.sampling import SOBOL_BITS, log_acceptance, sobol, stretch, umbrella, uniform
 from ridgeline.operators import grid as G
 from ridgeline.operators import state as S
+from ridgeline.operators.cluster import cluster_modes
 from ridgeline.operators.pool import capacity, nearest, pool_of
 from ridgeline.operators.pool import seeds as pool_seeds
 from ridgeline.operators.profile import best_per_cell, histogram
@@ -489,7 +490,8 @@ class Scan:
         return state
 
     def refine(self, coarse: Result, factor: int) -> Result:
-        """The grid with factor times the intervals: coarse nodes keep their values, others start from interpolated parameters."""
+        """The grid with factor times the intervals: coarse nodes keep their values, others start from interpolated parameters
+        (the nearest cell's where there are fewer cells than one has corners), or are evaluated there (refine_direct)."""
         c, p = self.config, coarse.projection
         fine = p.refined(factor)
         phi = [f"p{k}" for k in range(len(p.profiled))]
@@ -498,13 +500,59 @@ class Scan:
         corners = G.neighbours(coarse.state.filter(F.col("logl") >= top - c.roi_threshold).select(*p.cells), p, centre=True)
         corners = corners.select(*[F.col(f"n{j}").alias(f"i{j}") for j in range(len(p.dims))]).distinct()
         cells = G.fine_cells(corners, p, factor).join(kept.select(*p.cells), p.cells, "left_anti")
-        guess = G.interpolated(cells, coarse.state, p, factor, ["logl", *phi]).filter(F.col("logl") >= top - c.roi_threshold)
+        if coarse.metrics["cells"] >= 2 ** len(p.dims):
+            guess = G.interpolated(cells, coarse.state, p, factor, ["logl", *phi])
+        else:  # too few cells for any cell's corners
+            guess = self._near_coarse(cells, coarse.state, p, factor, 1, coarse.metrics["cells"]).select(*p.cells, "logl", *phi)
+        guess = guess.filter(F.col("logl") >= top - c.roi_threshold)
         work = stored(guess.select(*p.cells, F.array(F.array(*phi)).alias("starts")), "guesses")
-        state = stored(kept if work.isEmpty() else kept.unionByName(self.optimise(work, fine, "REFINEMENT_LBFGSB", "lbfgs")), "refined")
+        if work.isEmpty():
+            new = None
+        elif c.refine_direct:
+            new = self._best_candidates(work, coarse, fine, factor)
+        else:
+            new = self.optimise(work, fine, "REFINEMENT_LBFGSB", "lbfgs")
+        state = stored(kept if new is None else kept.unionByName(new), "refined")
         if c.patch_refined:
             state = self.patch(state, fine)
         return Result(fine, state, self._metrics(state, coarse.metrics["start_evaluations"], 1))
 
+    def _near_coarse(self, cells: DataFrame, coarse: DataFrame, p: Projection, factor: int, k: int, n: int) -> DataFrame:
+        """Each fine cell with the k nearest of the n coarse cells by coordinates, ties to the smallest cell."""
+        at = [f"__c{j}" for j in range(len(p.dims))]
+        nodes = coarse.select(*[(F.col(c) * factor).alias(a) for c, a in zip(p.cells, at)], *[x for x in coarse.columns if x not in p.cells])
+        pairs = [(c, a, p.grid_points[j] * factor / (p.box(j)[1] - p.box(j)[0])) for j, (c, a) in enumerate(zip(p.cells, at))]
+        return nearest(cells.select(*p.cells), nodes, p.cells, pairs, k, at, n, cells.count())
+
+    def mode_candidates(self, cells: DataFrame, coarse: Result, factor: int) -> DataFrame | None:
+        """cells, label, p0..: for fine cells that have a mode's border among their six nearest coarse cells, and two modes
+        or more, each mode's mean parameters by inverse distance. None without borders."""
+        c, p = self.config, coarse.projection
+        phi = [f"p{k}" for k in range(len(p.profiled))]
+        modes = stored(cluster_modes(coarse.state.select(*p.cells, "logl", *phi), p, phi, c.clustering, eps=c.cluster_eps), "modes")
+        edge = S.boundary_cells(modes, p).withColumn("edge", F.lit(1))
+        marked = stored(modes.join(edge, p.cells, "left").fillna(0, ["edge"]), "marked")
+        if marked.filter("edge = 1").isEmpty():
+            return None
+        six = stored(self._near_coarse(cells, marked, p, factor, 6, coarse.metrics["cells"]), "six")
+        several = six.groupBy(*p.cells).agg(F.max("edge").alias("e"), F.size(F.collect_set(F.when(F.col("label") >= 0, F.col("label")))).alias("m"))
+        torn = several.filter("e = 1 AND m > 1").select(*p.cells)
+        return S.inverse_distance_candidates(six.filter("label >= 0").join(torn, p.cells, "left_semi"), p.cells, phi)
+
+    def _best_candidates(self, work: DataFrame, coarse: Result, fine: Projection, factor: int) -> DataFrame:
+        """State rows of the fine cells in work: the best of the interpolated parameters and each near mode's, as they are."""
+        phi = [f"p{k}" for k in range(len(fine.profiled))]
+        tests = work.select(*fine.cells, F.lit(-1).alias("label"), *[F.col("starts")[0][k].alias(x) for k, x in enumerate(phi)])
+        modes = self.mode_candidates(work, coarse, factor) if self.config.clustering else None
+        if modes is not None:
+            tests = tests.unionByName(modes.select(*tests.columns))
+        tried = self._tested(tests, fine, "ACTIVATE_GRID_POINT", 0)
+        best = tried.groupBy(*fine.cells).agg(F.min(F.struct((-F.col("logl")).alias("v"), "label", *phi)).alias("b"))
+        return best.select(
+            *fine.cells, (-F.col("b.v")).alias("logl"), *[F.col(f"b.{x}").alias(x) for x in phi], F.lit(0).cast("long").alias("evals"), F.lit(True).alias("done"),
+            F.lit(JOB_PHASE["ACTIVATE_GRID_POINT"]).cast("int").alias("phase"), F.lit(None).cast(PAIRS).alias("curv"),
+        )
+
     def _remember(self, r: Result) -> None:
         p = r.projection
         s = r.solutions
