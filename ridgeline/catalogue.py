@@ -874,11 +874,86 @@ def optima_registry(spark, sf):
     return d.select(F.col("a.k").alias("first"), F.col("b.k").alias("second"), (F.round(F.greatest("a.d", "b.d"), 4) + 0.0).alias("off"), (F.round("value", 6) + 0.0).alias("logl"))
 
 
-@register("dbscan_modes", None)
+def _modes_sql(source: str, k: int, eps: str) -> str:
+    """labels(i0, i1, label) of density clusters of `source` by parameters x2, x3 and cells; eps: what selects `eps`, maybe from
+    kth(d), the distances to the k-th nearest cell."""
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{j}" for j, c in enumerate(("x2", "x3", "i0", "i1")))
+    d2 = " + ".join(f"(s.z{j} - t.z{j}) * (s.z{j} - t.z{j})" for j in range(4))
+    return (
+        f"z AS (SELECT i0, i1, i0 * 1000 + i1 AS a, {z} FROM {source}), d AS (SELECT s.a AS a, t.a AS b, {d2} AS d2 FROM z s, z t), "
+        f"kth AS (SELECT sqrt(d2) AS d FROM (SELECT d2, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM d) t WHERE r = {k}), e AS (SELECT {eps}), "
+        f"nb AS (SELECT a, b FROM d, e WHERE d2 <= eps * eps * (1 + 1e-9)), core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= {k}), "
+        "link AS (SELECT a, b FROM nb WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), "
+        "reach AS (SELECT a, a AS r FROM core UNION SELECT l.b, reach.r FROM reach, link l WHERE l.a = reach.a AND l.b > reach.r), "
+        "root AS (SELECT a, min(r) AS r FROM reach GROUP BY a), numbered AS (SELECT a, dense_rank() OVER (ORDER BY r) - 1 AS label FROM root), "
+        "labels AS (SELECT z.i0 AS i0, z.i1 AS i1, CAST(coalesce(min(n.label), -1) AS INTEGER) AS label FROM z LEFT JOIN nb ON nb.a = z.a LEFT JOIN numbered n ON n.a = nb.b GROUP BY z.i0, z.i1)"
+    )
+
+
+@register(
+    "dbscan_modes",
+    f"WITH RECURSIVE {STATE_SQL}, kept AS (SELECT * FROM state WHERE logl >= -400), {_modes_sql('kept', 3, '3 * quantile_cont(d, 0.9e0) AS eps FROM kth')} "
+    "SELECT k.i0 AS i0, k.i1 AS i1, round(logl, 6) AS logl, round(x2, 6) AS x2, round(x3, 6) AS x3, label FROM kept k JOIN labels l ON l.i0 = k.i0 AND l.i1 = k.i1",
+)
 def dbscan_modes(spark, sf):
     from ridgeline.operators.cluster import cluster_modes
 
-    return cluster_modes(state(spark, sf).filter("logl >= -400"), P01, PHI)
+    d = cluster_modes(state(spark, sf).filter("logl >= -400"), P01, PHI)
+    return d.select("i0", "i1", r6("logl").alias("logl"), r6("x2").alias("x2"), r6("x3").alias("x3"), "label")
+
+
+@register(
+    "dbscan_modes_narrow",
+    f"WITH RECURSIVE {STATE_SQL}, {_modes_sql('state', 3, '6e-1 AS eps')} SELECT label, count(*) AS n, min(i0 * 1000 + i1) AS first FROM labels GROUP BY label",
+)
+def dbscan_modes_narrow(spark, sf):
+    """Modes at a given reach of 0.6 standard deviations: size and first cell of each, and of the noise."""
+    from ridgeline.operators.cluster import cluster_modes
+
+    d = cluster_modes(state(spark, sf), P01, PHI, eps=0.6)
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.min(F.col("i0") * 1000 + F.col("i1")).cast("int").alias("first"))
+
+
+# the state of the log is the coarse grid; new nodes are evaluated at the bilinear parameters and, next to borders between
+# modes, at each near mode's mean by inverse distance
+_DIRECT_ROI = 150.0
+_DIRECT = (
+    f"WITH RECURSIVE {STATE_SQL}, top AS (SELECT max(logl) AS m FROM state), {_modes_sql('state', 3, '6e-1 AS eps')}, "
+    f"near AS (SELECT DISTINCT i0 + a AS k, i1 + b AS l FROM state, top, (VALUES (-1), (0), (1)) u(a), (VALUES (-1), (0), (1)) v(b) WHERE logl >= m - {_DIRECT_ROI!r}e0 AND i0 + a BETWEEN 0 AND 24 AND i1 + b BETWEEN 0 AND 10), "
+    "fine AS (SELECT DISTINCT k * 2 + a AS i0, l * 2 + b AS i1 FROM near, (VALUES (0), (1), (2)) u(a), (VALUES (0), (1), (2)) v(b) WHERE k * 2 + a <= 48 AND l * 2 + b <= 20), "
+    "fresh AS (SELECT * FROM fine f WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.i0 * 2 = f.i0 AND s.i1 * 2 = f.i1)), "
+    "place AS (SELECT i0, i1, least(i0 // 2, 23) AS k, least(i1 // 2, 9) AS l FROM fresh), "
+    "corner AS (SELECT p.i0 AS i0, p.i1 AS i1, s.logl AS logl, s.x2 AS x2, s.x3 AS x3, (CASE WHEN s.i0 > k THEN i0_ ELSE 1 - i0_ END) * (CASE WHEN s.i1 > l THEN i1_ ELSE 1 - i1_ END) AS w "
+    "FROM (SELECT *, i0 / 2e0 - k AS i0_, i1 / 2e0 - l AS i1_ FROM place) p JOIN state s ON s.i0 BETWEEN k AND k + 1 AND s.i1 BETWEEN l AND l + 1), "
+    "guess AS (SELECT i0, i1, sum(w * logl) AS logl, sum(w * x2) AS x2, sum(w * x3) AS x3 FROM corner GROUP BY i0, i1 HAVING count(*) = 4), "
+    f"work AS (SELECT i0, i1, x2, x3 FROM guess, top WHERE logl >= m - {_DIRECT_ROI!r}e0)" + near_sql("cross") + ", "
+    "edge AS (SELECT DISTINCT s.i0 AS i0, s.i1 AS i1 FROM labels s, o JOIN labels t ON t.i0 = s.i0 + o.a AND t.i1 = s.i1 + o.b WHERE s.label <> t.label), "
+    "far AS (SELECT w.i0 AS i0, w.i1 AS i1, s.i0 AS c0, s.i1 AS c1, pow((w.i0 - s.i0 * 2) / 4e0, 2) + pow((w.i1 - s.i1 * 2) / (20 / 12e0), 2) AS dist2, s.x2 AS x2, s.x3 AS x3 FROM work w, state s), "
+    "six AS (SELECT f.*, l.label AS label, e.i0 IS NOT NULL AS edge FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 ORDER BY dist2, c0, c1) AS r FROM far) f JOIN labels l ON l.i0 = c0 AND l.i1 = c1 LEFT JOIN edge e ON e.i0 = c0 AND e.i1 = c1 WHERE r <= 6), "
+    "torn AS (SELECT i0, i1 FROM six GROUP BY i0, i1 HAVING bool_or(edge) AND count(DISTINCT CASE WHEN label >= 0 THEN label END) > 1), "
+    "mode AS (SELECT s.i0 AS i0, s.i1 AS i1, label, sum(x2 / greatest(sqrt(dist2), 1e-10)) / sum(1 / greatest(sqrt(dist2), 1e-10)) AS x2, sum(x3 / greatest(sqrt(dist2), 1e-10)) / sum(1 / greatest(sqrt(dist2), 1e-10)) AS x3 "
+    "FROM six s JOIN torn t ON t.i0 = s.i0 AND t.i1 = s.i1 WHERE label >= 0 GROUP BY s.i0, s.i1, label), "
+    "tried AS (SELECT i0, i1, -1 AS label, x2, x3 FROM work UNION ALL SELECT i0, i1, label, x2, x3 FROM mode), "
+    f"value AS (SELECT i0, i1, label, x2, x3, {TARGET.sql(['(-6e0 + 12e0 * i0 / 48)', '(-6e0 + 12e0 * i1 / 20)', 'x2', 'x3'])} AS logl FROM tried), "
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 ORDER BY logl DESC, label) AS r FROM value) t WHERE r = 1) "
+    "SELECT i0, i1, round(logl, 5) AS logl, round(x2, 5) AS x2, round(x3, 5) AS x3 FROM best UNION ALL SELECT i0 * 2, i1 * 2, round(logl, 5), round(x2, 5), round(x3, 5) FROM state"
+)
+
+
+@register("scan_refined_direct", _DIRECT)
+def scan_refined_direct(spark, sf):
+    """The log's state on a grid twice as fine: new nodes take the best of the interpolated and each near mode's parameters."""
+    from ridgeline.plans.scan import PAIRS, Result, Scan
+    from ridgeline.sources.store import stored
+
+    s = state(spark, sf).select(
+        "i0", "i1", "logl", F.col("x2").alias("p0"), F.col("x3").alias("p1"), F.lit(1).cast("long").alias("evals"), F.lit(True).alias("done"),
+        F.lit(1).alias("phase"), F.lit(None).cast(PAIRS).alias("curv"),
+    )
+    s = stored(s, "state")
+    coarse = Result(P01, s, {"cells": s.count(), "start_evaluations": 0})
+    fine = Scan(spark, TARGET, ScanConfig(roi_threshold=_DIRECT_ROI, refine_direct=True, cluster_eps=0.6), bounds=BOX).refine(coarse, 2)
+    return fine.state.select("i0", "i1", *[F.round(a, 5).alias(b) for a, b in (("logl", "logl"), ("p0", "x2"), ("p1", "x3"))])
 
 
 @register("stream_live_profile", f"WITH {LOG_SQL} SELECT {cells_sql(P01)}, round(max(logl), 6) AS logl, count(*) AS n FROM log GROUP BY 1, 2")
