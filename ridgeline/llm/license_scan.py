@@ -54,7 +54,7 @@ TAG = "spdx license identifier"
 WEIGHTS = {"tag": 0.9, "base": 0.7, "more": 0.5}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
-_TAG_RAW = re.compile(r"(?<![a-z0-9\u0080-\U0010ffff])spdx[^a-z0-9]+license[^a-z0-9]+identifier[ \t]*:[ \t]*([^\r\n]*)", re.I | re.A)
+_TAG_RAW = re.compile(r"(?<![a-z0-9\u0080-\U0010ffff])spdx[^a-z0-9]+license[^a-z0-9]+identifier[ \t]*:[ \t]*", re.I | re.A)
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -63,21 +63,24 @@ SCHEMA = (
 COPYLEFT = ("gpl", "lgpl", "agpl", "cc-by-sa", "cc-by-nc", "cc-by-nd", "all-rights-reserved", "mpl", "epl")
 
 
-def parse_expression(text: str) -> list[tuple]:
-    """Shunting-yard: the postfix form of the longest well-formed prefix of a licence expression.
+def expression_at(text: str, at: int = 0) -> tuple[list[tuple], int]:
+    """Shunting-yard: the postfix form of the longest well-formed prefix of the licence expression at a place, and its end.
 
-    Items are ("id", name) and ("op", name). Line ends and comment ends close the expression.
+    Items are ("id", name) and ("op", name). Line ends, comment ends and the next tag close the expression.
     """
     out: list[tuple] = []
     stack: list[str] = []
-    best: list[tuple] = []
-    want, pos = True, 0
+    size, rest, end = 0, [], at  # the best prefix: so many items, then the operators that waited
+    want, opened, pos = True, 0, at
     while m := _TOKEN.match(text, pos):
         tok, pos = m[1], m.end()
         low = tok.lower()
+        if low.startswith("spdx") and _TAG_RAW.match(text, m.start(1)):
+            break
         if want:
             if tok == "(":
                 stack.append(tok)
+                opened += 1
             elif tok == ")" or low in PRECEDENCE:
                 break
             else:
@@ -88,15 +91,20 @@ def parse_expression(text: str) -> list[tuple]:
                 out.append(("op", stack.pop()))
             stack.append(low)
             want = True
-        elif tok == ")" and "(" in stack:
+        elif tok == ")" and opened:
             while stack[-1] != "(":
                 out.append(("op", stack.pop()))
             stack.pop()
+            opened -= 1
         else:
             break
-        if not want and "(" not in stack:
-            best = out + [("op", x) for x in reversed(stack)]
-    return best
+        if not want and not opened:  # outside brackets at most one operator of each kind waits
+            size, rest, end = len(out), stack[::-1], pos
+    return out[:size] + [("op", x) for x in rest], end
+
+
+def parse_expression(text: str) -> list[tuple]:
+    return expression_at(text)[0]
 
 
 def evaluate(postfix: list[tuple]) -> tuple[list[str], bool]:
@@ -113,10 +121,10 @@ def evaluate(postfix: list[tuple]) -> tuple[list[str], bool]:
         (b, pb), (a, pa_) = stack.pop(), stack.pop()
         if x == "with":
             stack.append((a, pa_))
-        elif x == "or":
-            stack.append((a | b, pa_ or pb))
-        else:
-            stack.append((a | b, pa_ and pb))
+            continue
+        small, large = sorted((a, b), key=len)
+        large |= small  # no other item holds it
+        stack.append((large, pa_ or pb if x == "or" else pa_ and pb))
     return (sorted(stack[0][0]), stack[0][1]) if stack else ([], True)
 
 
@@ -160,8 +168,9 @@ def scan_text(text: str | None, a: ahocorasick.Automaton) -> dict:
                 base.add(label)
     if tags:
         upto = passed = 0  # words before the place that was counted last: a tag stands at a word's start
-        for m in _TAG_RAW.finditer(text):
-            postfix = parse_expression(m[1])
+        end = 0
+        while m := _TAG_RAW.search(text, end):
+            postfix, end = expression_at(text, m.end())
             if not postfix:
                 continue
             found, free = evaluate(postfix)

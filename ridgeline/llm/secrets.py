@@ -39,6 +39,10 @@ LOGIN = re.compile(r"://[^\s/@:]*:$")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Openings of well-known keys.
 KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
+#: Parts of a signed token are joined by dots, so a run of their characters is looked into only if two more follow.
+RUN = re.compile(r"[A-Za-z0-9_-]+")
+SIGNED = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10}")
+OPENED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})")
 SECRET_WORDS = frozenset("token secret password passwd pwd key apikey api auth credential private access bearer signing".split())
 HARMLESS_WORDS = frozenset("commit sha sha1 sha256 md5 checksum digest hash revision rev blob tree uuid guid id example sample test dummy placeholder url http https href src version build etag".split())
 HARMLESS_PATH = frozenset("test tests example examples docs fixture fixtures sample mock lock vendor dist".split())
@@ -101,6 +105,17 @@ def features(value: str, before: str, after: str, path: str, assigned: bool) ->
     ]
 
 
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of three dotted runs of at least ten characters, the first after `eyJ`: each run is looked at once."""
+    runs = [m.span() for m in RUN.finditer(text)] if "eyJ" in text else []
+    out, passed = [], 0
+    for (s, e), (s2, e2), (s3, e3) in zip(runs, runs[1:], runs[2:]):
+        if s2 == e + 1 and s3 == e2 + 1 and text[e] == text[e2] == "." and min(e2 - s2, e3 - s3) >= 10 and (m := SIGNED.search(text, max(s, passed), e)):
+            out.append((m.start(), e3))
+            passed = e3
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[int, int, bool]]:
     """(start, end, assigned), in order, each place once; those inside others too.
 
@@ -113,7 +128,7 @@ def candidates(text: str | None) -> list[tuple[int, int, bool]]:
     for s, e in values:
         ends[s] = max(e, ends.get(s, 0))
     starts = sorted(ends)
-    found = {m.span(): False for m in KNOWN.finditer(text)}
+    found = {m.span(): False for m in OPENED.finditer(text)} | {span: False for span in signed_tokens(text)}
     for m in TOKEN.finditer(text):
         s, e = m.span()
         at = bisect(starts, s)

@@ -107,6 +107,20 @@ class Model:
         return a
 
 
+def without_covered(best: dict[int, tuple[int, float]], free: list[tuple[int, int]]) -> dict[int, tuple[int, float]]:
+    """best without the starts inside one of the spans free: both in order, each looked at once."""
+    spans = sorted(free)
+    at = reach = 0
+    gone = set()
+    for s in sorted(best):
+        while at < len(spans) and spans[at][0] <= s:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if s < reach:
+            gone.add(s)
+    return {s: x for s, x in best.items() if s not in gone}
+
+
 def features(folded: str, a: ahocorasick.Automaton) -> tuple[tuple, list[tuple[int, int, float]]]:
     """The model's inputs, and the finds (start, end, weight) that count."""
     best: dict[int, tuple[int, float]] = {}
@@ -118,7 +132,7 @@ def features(folded: str, a: ahocorasick.Automaton) -> tuple[tuple, list[tuple[i
         elif start not in best or size > best[start][0]:
             best[start] = (size, w)
     if free:
-        best = {s: x for s, x in best.items() if not any(lo <= s < hi for lo, hi in free)}
+        best = without_covered(best, free)
     n = max(folded.count(" ") - 1, 1)
     total = sum(w for _, w in best.values())
     return (total, total / math.sqrt(n), total / n, math.log(n), 1.0), [(s, s + k, w) for s, (k, w) in best.items()]

@@ -1,6 +1,7 @@
 import re
 
 from edges import check_edges, documents
+from timing import growth
 
 from ridgeline.llm import license_scan as L
 from ridgeline.llm.common import WORD
@@ -57,3 +58,17 @@ def test_places_of_many_tags():
     text = "word xspdx-license-identifier: MIT\n" + line * 3000
     spans = [s["word"] for s in L.scan_text(text, a)["spans"] if s["kind"] == "tag"]
     assert spans == [w for k in range(3000) for w in [5 + 8 * k] * 2]
+
+
+def test_more_than_one_tag_on_a_line():
+    a = L.automaton(L.BASE_PHRASES, L.MORE_PHRASES)
+    r = L.scan_text("/* SPDX-License-Identifier: MIT */ SPDX-License-Identifier: Apache-2.0 OR (SPDX-License-Identifier: ISC\nBSD-2-Clause", a)
+    assert r["expressions"] == ["mit", "apache-2.0", "isc"] and r["labels"] == "apache,isc,mit"
+    assert [s["word"] for s in r["spans"] if s["kind"] == "tag"] == [0, 4, 11]
+
+
+def test_one_long_expression_takes_linear_time():
+    a = L.automaton(L.BASE_PHRASES, L.MORE_PHRASES)
+    for unit in ("MIT or ", "x{} and ", "(", "(MIT or ", "(a or SPDX-License-Identifier: "):
+        make = lambda n, unit=unit: "SPDX-License-Identifier: " + "".join(unit.replace("{}", str(k)) for k in range(n)) + "MIT"
+        assert growth(lambda t: L.scan_text(t, a), make(4000), make(32000)) < 24, unit

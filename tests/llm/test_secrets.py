@@ -4,6 +4,7 @@ import string
 
 import numpy as np
 from edges import check_edges, documents
+from timing import growth
 
 from ridgeline.llm import secrets as S
 
@@ -93,3 +94,18 @@ def test_edges(spark):
     assert S.scan_secrets(documents(spark).drop("source"), forest).count() == 13
     table = spark.createDataFrame(S.labelled_findings(300), "value string, before string, after string, path string, assigned boolean, label int")
     assert len(S.learn_from_table(table, 200).trees) == S.TREES
+
+
+def test_signed_tokens_equal_the_pattern_in_linear_time():
+    pattern = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    r = random.Random(4)
+    parts = ["eyJ", "-eyJ", ".", ".", " ", "abcDEF123_", "0123456789abc", "x", "é", "-"]
+    hits = 0
+    for _ in range(12000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 30)))
+        want = [m.span() for m in pattern.finditer(text)]
+        assert S.signed_tokens(text) == want, text
+        hits += len(want)
+    assert hits > 100
+    for unit in ("-eyJ", "-eyJ" + "a" * 12, "-eyJabcdefghijk."):
+        assert growth(S.candidates, unit * 4000, unit * 32000) < 24, unit

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 from edges import check_edges, documents
+from timing import growth
 
 from ridgeline.llm import toxicity as T
 
@@ -49,3 +50,14 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     assert T.learn_from(documents(spark), labels) == T.Model()
     assert T.learn_from(documents(spark, []), labels.limit(0)) == T.Model()
+
+
+def test_exceptions_of_long_texts():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        best = {int(s): (1, 1.0) for s in rng.integers(0, 60, 20)}
+        free = [(int(s), int(s + n)) for s, n in zip(rng.integers(0, 60, 8), rng.integers(1, 12, 8))]
+        want = {s: x for s, x in best.items() if not any(lo <= s < hi for lo, hi in free)}
+        assert T.without_covered(best, free) == want and list(T.without_covered(best, free)) == list(want)
+    a = T.Model().automaton()
+    assert growth(lambda n: T.features(T.fold("trash can idiot " * n), a), 2000, 16000) < 24
