@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.config import Projection, ScanConfig, VolumeConfig
 from ridgeline.functions import phases
-from ridgeline.functions.nuisance import Nuisance
+from ridgeline.functions.nuisance import Nuisance, presets
 from ridgeline.functions.sampling import sobol, sobol_directions, umbrella, undiscovered
 from ridgeline.functions.targets import Target
 from ridgeline.functions.targets import get as get_target
@@ -117,6 +117,26 @@ def target_nuisance_uniform(spark, sf):
     return f.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("f") > -1e300).alias("inside"), F.round(F.max("f"), 6).alias("high"))
 
 
+def _preset(n: Nuisance) -> str:
+    """A nuisance preset over x0 to x3, over and over; its nuisance parameters are drawn into their box."""
+    base = n.base.dims
+    nuisance = [f"({XS[(k + 1) % 4]} * {lim / 6!r}e0)" for k, (_, lim) in enumerate(n.bounds[base:])]
+    return n.sql([XS[k % 4] for k in range(base)] + nuisance)
+
+
+@register(
+    "target_nuisance_presets",
+    f"WITH {LOG_SQL}, places AS (SELECT * FROM log WHERE phase = 0) " + " UNION ALL ".join(f"SELECT '{k}' AS name, round(max({_preset(n)}), 4) AS high, round(avg({_preset(n)}), 4) AS mean FROM places" for k, n in presets().items()),
+)
+def target_nuisance_presets(spark, sf):
+    """The highest and the mean value of every preset with 4 to 32 nuisance parameters on the points of one phase."""
+    d = log(spark, sf).filter("phase = 0")
+    made = {k: F.expr(_preset(n)) for k, n in presets().items()}
+    both = d.agg(*[F.struct(F.max(e).alias("high"), F.avg(e).alias("mean")).alias(k) for k, e in made.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"`{k}`.high").alias("high"), F.col(f"`{k}`.mean").alias("mean")) for k in made]))
+    return both.select(each.alias("e")).select("e.name", F.round("e.high", 4).alias("high"), F.round("e.mean", 4).alias("mean"))
+
+
 def _named(name: str) -> str:
     """The SQL text of a target of the registry over as many columns as it has dimensions, x0 to x3 over and over."""
     f = get_target(name)
@@ -890,6 +910,11 @@ def _modes_sql(source: str, k: int, eps: str) -> str:
     )
 
 
+@register("grid_coverage", f"WITH {STATE_SQL} SELECT count(*) AS cells, round(count(*) / 275e0, 6) AS coverage FROM state WHERE logl >= -400")
+def grid_coverage(spark, sf):
+    return S.coverage(state(spark, sf).filter("logl >= -400"), P01).withColumn("coverage", r6("coverage"))
+
+
 @register(
     "dbscan_modes",
     f"WITH RECURSIVE {STATE_SQL}, kept AS (SELECT * FROM state WHERE logl >= -400), {_modes_sql('kept', 3, '3 * quantile_cont(d, 0.9e0) AS eps FROM kth')} "

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ridgeline.functions.targets import Target, _d, _sq, _sum
+from ridgeline.functions.targets import Target, _d, _sq, _sum, get
 
 COUPLINGS = ("shift", "scale", "rotation", "additive", "mixed")
 PENALTIES = ("gaussian", "uniform", "soft_uniform")
@@ -42,6 +42,7 @@ class Nuisance:
     sigma: float | list[float] = 1.0
     mean: float | list[float] = 0.0
     rotation_scale: float = 0.1
+    reach: float = 5.0  # the box of a nuisance parameter goes so many sigmas to both sides
     matrix: np.ndarray | None = field(default=None)
 
     def __post_init__(self) -> None:
@@ -65,7 +66,7 @@ class Nuisance:
 
     @property
     def bounds(self) -> list[tuple[float, float]]:
-        return self.base.bounds + [(float(m - 5 * s), float(m + 5 * s)) for m, s in zip(self.means, self.sigmas)]
+        return self.base.bounds + [(float(m - self.reach * s), float(m + self.reach * s)) for m, s in zip(self.means, self.sigmas)]
 
     def _pairs(self) -> list[tuple[int, int]]:
         n = self.base.dims
@@ -130,12 +131,29 @@ class Nuisance:
         return max(float(lbfgs(at, self.means.copy(), b, max_iter).value), self.at_constraint_mean(poi))
 
 
+# The named combinations, {target}_{coupling}_{nuisance parameters}nuis_sigma{width of their penalty}.
+PRESETS = """
+himmelblau_4d_shift_4nuis_sigma0.5
+himmelblau_4d_shift_8nuis_sigma0.5
+himmelblau_4d_shift_16nuis_sigma0.5
+himmelblau_4d_shift_8nuis_sigma0.2
+himmelblau_4d_shift_8nuis_sigma1.0
+himmelblau_4d_scale_8nuis_sigma0.1
+rosenbrock_4d_shift_8nuis_sigma0.5
+rosenbrock_4d_shift_16nuis_sigma0.5
+rosenbrock_4d_scale_8nuis_sigma0.1
+rastrigin_4d_shift_8nuis_sigma0.5
+rastrigin_4d_shift_16nuis_sigma0.5
+himmelblau_4d_shift_32nuis_sigma0.5
+rosenbrock_6d_shift_12nuis_sigma0.5
+sphere_10d_shift_20nuis_sigma0.5
+""".split()
+
+
 def presets() -> dict[str, Nuisance]:
-    """Named combinations of a base target, a coupling and a penalty width."""
+    """Named combinations of a base target, a coupling, a number of nuisance parameters and a penalty width."""
     out = {}
-    for base in ("sphere", "rosenbrock", "himmelblau", "rastrigin"):
-        t = Target(base, 4 if base == "himmelblau" else 2)
-        for mode in ("shift", "scale", "rotation", "additive") if base != "rastrigin" else ("shift", "mixed"):
-            for sigma in (1.0,):
-                out[f"{base}_{mode}_2nuis_sigma{sigma:g}"] = Nuisance(t, 2, mode, sigma=sigma)
+    for name in PRESETS:
+        target, coupling, count, sigma = name.rsplit("_", 3)
+        out[name] = Nuisance(get(target), int(count.removesuffix("nuis")), coupling, sigma=float(sigma.removeprefix("sigma")))
     return out

@@ -63,6 +63,19 @@ def apart(seeds: Column, extents: list[float], radius: float = 1e-3) -> Column:
     )
 
 
+def status(done: str = "done", phase: str = "phase") -> Column:
+    """Where a cell stands: active, converged, or optimized once a polish, a recheck or a refinement gave its best value."""
+    return F.when(F.col(phase).isin(2, 3), "optimized").when(F.col(done), "converged").otherwise("active")
+
+
+def coverage(state: DataFrame, p: Projection) -> DataFrame:
+    """One row: how many distinct cells of the grid the state holds, and their share of all."""
+    total = 1
+    for g in p.grid_points:
+        total *= g + 1
+    return state.select(*p.cells).distinct().agg(F.count("*").alias("cells"), (F.count("*") / F.lit(float(total))).alias("coverage"))
+
+
 def improved(state: DataFrame, before: DataFrame, p: Projection, value: str = "logl") -> DataFrame:
     """Cells that are new or better than before."""
     old = before.select(*p.cells, F.col(value).alias("__old"))

@@ -93,6 +93,11 @@ class Result:
     def solutions(self) -> DataFrame:
         return G.with_coordinates(self.state, self.projection)
 
+    @property
+    def finished(self) -> DataFrame:
+        """The solutions of cells that are no longer active, with their status: what a grid's export holds."""
+        return self.solutions.withColumn("status", S.status()).filter(F.col("status") != "active")
+
 
 class Scan:
     """Scans of one target. target: vectorised callable with `bounds`; with a `sql` method, batches are expressions."""
@@ -356,7 +361,7 @@ class Scan:
             state = stored(self.direct(p), "direct")
             at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)}
             self._record(G.with_coordinates(state, p).select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl", "phase"))
-            return Result(p, state, self._metrics(state, 0, 0))
+            return Result(p, state, self._metrics(state, p, 0, 0))
         d = len(p.bounds)
         xs = [f"x{k}" for k in range(d)]
         known = None
@@ -403,7 +408,7 @@ class Scan:
             state = self.patch(state, p)
             if c.suspect:
                 state = self.recheck(state, p)
-        result = Result(p, state, self._metrics(state, extra, rounds), optima=optima)
+        result = Result(p, state, self._metrics(state, p, extra, rounds), optima=optima)
         self._remember(result)
         if p.refine > 1:
             result.refined = self.refine(result, p.refine)
@@ -515,7 +520,7 @@ class Scan:
         state = stored(kept if new is None else kept.unionByName(new), "refined")
         if c.patch_refined:
             state = self.patch(state, fine)
-        return Result(fine, state, self._metrics(state, coarse.metrics["start_evaluations"], 1))
+        return Result(fine, state, self._metrics(state, fine, coarse.metrics["start_evaluations"], 1))
 
     def _near_coarse(self, cells: DataFrame, coarse: DataFrame, p: Projection, factor: int, k: int, n: int) -> DataFrame:
         """Each fine cell with the k nearest of the n coarse cells by coordinates, ties to the smallest cell."""
@@ -559,14 +564,16 @@ class Scan:
         at = {d: F.col(f"g{k}") for k, d in enumerate(p.dims)} | {d: F.col(f"p{k}") for k, d in enumerate(p.profiled)}
         self._into_pool(s.select(*[at[d].alias(f"x{d}") for d in range(len(p.bounds))], "logl"))
 
-    def _metrics(self, state: DataFrame, extra: int, rounds: int) -> dict:
+    def _metrics(self, state: DataFrame, p: Projection, extra: int, rounds: int) -> dict:
         """Counts of a result. What optimisers counted besides evaluations was observed in the jobs that ran them."""
-        r = state.agg(F.count("*").alias("cells"), F.sum("evals").alias("evals"), F.max("logl").alias("best"), F.count_if("done").alias("done")).first()
+        at = [F.count_if(S.status() == x).alias(x) for x in ("active", "optimized")]
+        r = state.agg(F.count("*").alias("cells"), F.sum("evals").alias("evals"), F.max("logl").alias("best"), F.count_if("done").alias("done"), *at).first()
         seen = [o.get for o in self._observed]
         counts = {n: sum(o[n] for o in seen) for n in ("runs", *COUNTS)}
         return {
             "cells": r["cells"], "evaluations": (r["evals"] or 0) + extra + self._tests, "start_evaluations": extra, "tests": self._tests,
-            "best": r["best"], "converged": r["done"], "rounds": rounds, **counts,
+            "best": r["best"], "converged": r["done"], "active": r["active"], "optimized": r["optimized"],
+            "coverage": r["cells"] / math.prod(g + 1 for g in p.grid_points), "rounds": rounds, **counts,
         }
 
     def run_all(self, projections: list[Projection], warm: DataFrame | None = None) -> list[Result]:

@@ -156,6 +156,18 @@ def test_nuisance():
         Nuisance(s, 2, matrix=np.eye(3))
 
 
+def test_nuisance_presets():
+    made = presets()
+    wide = made["himmelblau_4d_shift_32nuis_sigma0.5"]
+    assert wide.dims == 36 and wide.bounds[4] == (-2.5, 2.5) and (wide.matrix.sum(0) == 1).all()
+    assert made["sphere_10d_shift_20nuis_sigma0.5"].dims == 30 and made["rosenbrock_4d_scale_8nuis_sigma0.1"].coupling == "scale"
+    for n in made.values():  # at the penalty's centre the base target is left
+        at = np.full(n.base.dims, 0.5)
+        assert np.isclose(n.at_constraint_mean(at), n.base(at))
+    narrow = Nuisance(T.Target("sphere", 2), 2, sigma=2.0, reach=3.0)
+    assert narrow.bounds[2:] == [(-6.0, 6.0)] * 2
+
+
 def test_nuisance_expressions(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (15, 4))

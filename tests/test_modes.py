@@ -6,6 +6,7 @@ import pytest
 from ridgeline.config import ConfigurationError, Projection, ScanConfig
 from ridgeline.functions.targets import Target
 from ridgeline.operators import cluster as C
+from ridgeline.operators import state as S
 from ridgeline.plans import kernels as K
 from ridgeline.plans.scan import Result, Scan
 
@@ -100,6 +101,18 @@ def test_refined_cells_take_the_best_candidate(spark):
     assert fine.metrics["tests"] == scan._tests > len(b) - len(rows)
 
 
+def test_statuses_and_coverage(spark):
+    kinds = "i0 int, i1 int, logl double, p0 double, p1 double, evals long, done boolean, phase int, curv array<struct<s: array<double>, y: array<double>>>"
+    cells = [(0, 0, 1, True), (0, 1, 1, False), (1, 1, 2, False), (2, 2, 3, True)]
+    state = spark.createDataFrame([(i, j, -1.0, 0.0, 0.0, 2, done, phase, None) for i, j, phase, done in cells], kinds)
+    scan, p, *_ = refined(spark, [(0, 0, 0.0, 0.0)], clustering=None)
+    m = scan._metrics(state, p, 0, 1)
+    assert (m["cells"], m["converged"], m["active"], m["optimized"], m["coverage"]) == (4, 2, 1, 2, 4 / 35)
+    done = {(r.i0, r.i1): r.status for r in Result(p, state, m).finished.collect()}
+    assert done == {(0, 0): "converged", (1, 1): "optimized", (2, 2): "optimized"}
+    assert S.coverage(state, p).first().cells == 4 and S.coverage(state.limit(0), p).first().coverage == 0
+
+
 def test_few_cells_give_the_nearest_ones_parameters(spark):
     rows = [(0, 0, 3.0, 2.0), (1, 1, -2.8, 3.1), (2, 2, 1.0, 1.0)]  # three: fewer than the corners of one cell
     fine = refined(spark, rows, clustering=None)[3]
