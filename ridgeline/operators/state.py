@@ -142,7 +142,10 @@ def lehmer(successes: DataFrame, f: str = "f", cr: str = "cr") -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: n1, n2, u1, z for the groups 0 and 1, with average ranks by counting, no sort of all rows in one task."""
+    """One row: n1, n2, u1, z for the groups 0 and 1, with average ranks by counting, no sort of all rows in one task.
+
+    Products of counts are doubles: n1 * n2 * (n1 + n2 + 1) leaves 64 bits at some three million rows.
+    """
     counts = df.groupBy(value).agg(F.count("*").alias("c"), F.sum(F.when(F.col(group) == 0, 1).otherwise(0)).alias("c0"))
     buckets = counts.withColumn("__b", F.floor(F.col(value)))
     sums = buckets.groupBy("__b").agg(F.sum("c").alias("s"))
@@ -152,6 +155,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     ranks = buckets.withColumn("__in", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(sums, "__b")
     rank = F.col("__before") + F.col("__in") + (F.col("c") + 1) / 2
     total = ranks.agg(F.sum(rank * F.col("c0")).alias("r1"), F.sum("c0").alias("n1"), F.sum(F.col("c") - F.col("c0")).alias("n2"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    mid, sd = F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12.0)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    u = F.col("r1") - n1 * (n1 + 1) / 2
+    mid, sd = n1 * n2 / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)
     return total.select("n1", "n2", u.alias("u1"), ((u - mid) / sd).alias("z"))
