@@ -534,7 +534,7 @@ class Scan:
         or more, each mode's mean parameters by inverse distance. None without borders."""
         c, p = self.config, coarse.projection
         phi = [f"p{k}" for k in range(len(p.profiled))]
-        modes = stored(cluster_modes(coarse.state.select(*p.cells, "logl", *phi), p, phi, c.clustering, eps=c.cluster_eps), "modes")
+        modes = stored(cluster_modes(coarse.state.select(*p.cells, "logl", *phi), p, phi, c.clustering, eps=c.cluster_eps, flat=c.cluster_flat), "modes")
         edge = S.boundary_cells(modes, p).withColumn("edge", F.lit(1))
         marked = stored(modes.join(edge, p.cells, "left").fillna(0, ["edge"]), "marked")
         if marked.filter("edge = 1").isEmpty():

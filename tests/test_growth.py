@@ -4,7 +4,9 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from sql_compare import compare
 
+from ridgeline import catalogue as Q
 from ridgeline.operators import state as S
 
 
@@ -18,3 +20,29 @@ def test_rank_sums_of_millions_of_rows(spark):
     u, mid, sd = ranks - (n // 2) * (n // 2 + 1) / 2, (n // 2) ** 2 / 2, math.sqrt((n // 2) ** 2 * (n + 1) / 12)
     assert (r.n1, r.n2) == (n // 2, n // 2)
     assert r.u1 == u and r.z == pytest.approx((u - mid) / sd, rel=1e-12)
+
+
+@pytest.fixture(scope="module")
+def peaked(spark, tmp_path_factory):
+    """A log whose every cell holds the best x2 and x3, as in large tables: the state's x2 and x3 have no spread."""
+    out = str(tmp_path_factory.mktemp("peaked"))
+    one = spark.range(50 * 11).selectExpr(
+        "id l_orderkey", "cast(664 as long) l_partkey", "1L l_suppkey", "cast(id % 5 as int) l_linenumber", "cast(1 + id % 50 as double) l_quantity",
+        "cast(id div 50 as double) / 100 l_discount", "0.06D l_tax",
+    )
+    one.union(one.withColumn("l_partkey", F.col("l_partkey") + F.col("l_orderkey") % 7).withColumn("l_tax", F.lit(0.02))).write.parquet(f"{out}/lineitem.parquet")
+    return out
+
+
+def lineitem(folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/lineitem.parquet/*.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", ["dbscan_modes_narrow", "dbscan_modes"])
+def test_modes_of_parameters_without_spread(spark, peaked, name):
+    assert Q.state(spark, peaked).select("x2", "x3").distinct().count() == 1
+    compare(Q.QUERIES[name](spark, peaked), Q.ORACLE[name], lineitem(peaked))
