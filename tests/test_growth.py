@@ -42,7 +42,18 @@ def lineitem(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["dbscan_modes_narrow", "dbscan_modes"])
+@pytest.mark.parametrize("name", ["dbscan_modes_narrow", "scan_refined_direct", "dbscan_modes"])
 def test_modes_of_parameters_without_spread(spark, peaked, name):
     assert Q.state(spark, peaked).select("x2", "x3").distinct().count() == 1
     compare(Q.QUERIES[name](spark, peaked), Q.ORACLE[name], lineitem(peaked))
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """-0.05 * (21.05 ** 2 + 1.74 ** 2) is a bit above -22.306505."""
+    import duckdb
+
+    x = -0.05 * (((5.5 * 5.5 + 1.8 - 11) * (5.5 * 5.5 + 1.8 - 11)) + ((5.5 + 1.8 * 1.8 - 7) * (5.5 + 1.8 * 1.8 - 7)))
+    values = [x, -x, 0.5e-6, 1234567.1234565, -3.0, 0.0]
+    want = duckdb.execute("SELECT round(v, 5), round(v, 6) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(Q.rounded("v", 5), Q.r6("v")).collect()
+    assert [tuple(r) for r in got] == want
