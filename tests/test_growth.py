@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from sql_compare import compare
 
 from ridgeline import catalogue as Q
+from ridgeline.config import Projection
+from ridgeline.operators import pool as P
+from ridgeline.operators import profile as R
 from ridgeline.operators import state as S
 
 
@@ -57,3 +60,25 @@ def test_rounding_is_that_of_the_sql(spark):
     want = duckdb.execute("SELECT round(v, 5), round(v, 6) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()
     got = spark.createDataFrame([(v,) for v in values], "v double").select(Q.rounded("v", 5), Q.r6("v")).collect()
     assert [tuple(r) for r in got] == want
+
+
+def filters(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter (" in line]
+
+
+def test_no_filter_repeats_the_target(spark, sf):
+    """Where a log's value is an expression, a filter by it holds the whole expression some ten times a row."""
+    log = Q.log(spark, sf)
+    assert not log.schema["logl"].nullable
+    seeds = P.seeds(log.select(*Q.XS, "logl"), Q.P01, Q.ROI, Q.XS)
+    for d in (Q.lnl_histogram(spark, sf), seeds, log.withColumn("b", F.floor(F.col("logl") * 2.0)).join(F.broadcast(spark.range(3).toDF("b")), "b")):
+        assert all("11.0" not in line for line in filters(d)), filters(d)
+
+
+def test_seeds_and_histograms_pass_over_what_is_no_value(spark):
+    bad = [None, float("nan"), float("-inf"), 0.0, -1.0, 10.0]
+    d = spark.createDataFrame([(float(k % 2), v) for k, v in enumerate(bad)] + [(5.0, None), (5.0, float("-inf"))], "x0 double, logl double")
+    p = Projection.of([0], [10], [(0.0, 10.0)])
+    got = P.seeds(d.filter("logl is null or not isnan(logl)"), p, 30.0, ["x0"])
+    assert {(r.i0, r.logl, r.x0) for r in got.collect()} == {(0, -1.0, 0.0), (1, 10.0, 1.0)}
+    assert [(r.bin, r.n) for r in R.histogram(d, "logl", -1.0, 1.0, 4).orderBy("bin").collect()] == [(0, 1), (1, 0), (2, 1), (3, 0)]
