@@ -27,10 +27,13 @@ def pool_of(points: DataFrame, n_dims: int, value: str = "logl", *ties: str) ->
 
 
 def seeds(points: DataFrame, p: Projection, threshold: float, carried: list[str], value: str = "logl") -> DataFrame:
-    """The best point of each cell inside the region of interest: bounds, then cells, then the cut."""
+    """The best point of each cell inside the region of interest: bounds, then cells, then the cut. Values of null or -inf
+    are no points; they go after the cells are known, so that a log whose value is an expression is evaluated once a row."""
+    points = points.withColumn(value, F.coalesce(value, F.lit(float("-inf"))))
     for d, (lo, hi) in enumerate(p.bounds):
         points = points.filter(F.col(f"x{d}").between(lo, hi))
-    return in_roi(best_per_cell(with_cells(points, p), p.cells, value, carried), threshold, value)
+    best = best_per_cell(with_cells(points, p), p.cells, value, carried)
+    return in_roi(best.filter(F.col(value) > float("-inf")), threshold, value)
 
 
 def squared_distance(pairs: list[tuple[str, str, float]]) -> Column:

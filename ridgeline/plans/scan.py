@@ -372,7 +372,7 @@ class Scan:
         optima, extra = [], 0
         seeded = None
         if known is not None:
-            seeded = stored(pool_seeds(known.filter(F.col("logl") > float("-inf")), p, c.roi_threshold, xs), "seeds")
+            seeded = stored(pool_seeds(known, p, c.roi_threshold, xs), "seeds")
             if seeded.isEmpty():
                 seeded = None
         if seeded is None:
@@ -626,8 +626,10 @@ def sample_volume(scan: Scan, results: list[Result], config: VolumeConfig, log:
     walkers = spark.createDataFrame(start, kinds)
     if log is not None and config.warm_start:
         # a band join: each logged point and each level meet in a bucket of width sigma
-        lv = walkers.select("w", "level", F.explode(F.array(*[F.floor(F.col("level") / sigma) + k for k in (-1, 0, 1)])).alias("b"))
-        near = log.select(*xs, "logl", F.floor(F.col("logl") / sigma).alias("b")).join(F.broadcast(lv), "b")
+        # the product is never null: a quotient would be tested for null, with all of logl in it, where the log is read
+        bucket = lambda c: F.floor(F.col(c) * F.lit(1 / sigma))
+        lv = walkers.select("w", "level", F.explode(F.array(*[bucket("level") + k for k in (-1, 0, 1)])).alias("b"))
+        near = log.select(*xs, "logl", bucket("logl").alias("b")).join(F.broadcast(lv), "b")
         near = near.filter(F.abs(F.col("logl") - F.col("level")) <= sigma)
         pick = near.groupBy("w").agg(F.min(F.struct(F.xxhash64("w", *xs).alias("h"), *xs)).alias("s"))
         walkers = walkers.join(pick, "w", "left").select("w", *[F.coalesce(F.col(f"s.{x}"), F.col(x)).alias(x) for x in xs], "level")
