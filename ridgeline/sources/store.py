@@ -21,10 +21,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "round") -> DataFrame:
+def stored(df: DataFrame, name: str = "round", rows_a_file: int = 0) -> DataFrame:
+    """df written to the shared folder and read again. rows_a_file: how many rows a file holds at most, 0 for no limit."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/rounds-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

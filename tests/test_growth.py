@@ -82,3 +82,21 @@ def test_seeds_and_histograms_pass_over_what_is_no_value(spark):
     got = P.seeds(d.filter("logl is null or not isnan(logl)"), p, 30.0, ["x0"])
     assert {(r.i0, r.logl, r.x0) for r in got.collect()} == {(0, -1.0, 0.0), (1, 10.0, 1.0)}
     assert [(r.bin, r.n) for r in R.histogram(d, "logl", -1.0, 1.0, 4).orderBy("bin").collect()] == [(0, 1), (1, 0), (2, 1), (3, 0)]
+
+
+@pytest.mark.parametrize("name", ["stream_live_profile", "stream_best_points"])
+def test_files_of_streams_grow_in_number_not_in_size(spark, sf, name, monkeypatch):
+    """No task of a stream takes more than a file's rows, however large the log; files are read in few batches."""
+    from ridgeline.sources import store
+
+    made = []
+    plain = store.stored
+    monkeypatch.setattr(store, "stored", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    monkeypatch.setattr(Q, "STREAM_ROWS", 500)
+    out = Q.QUERIES[name](spark, sf)
+    rows = made[0].groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in rows) <= 500 and len(rows) >= made[0].count() / 500
+    con = __import__("duckdb").connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    compare(out, Q.ORACLE[name], con)
