@@ -2,7 +2,9 @@
 
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from sql_compare import compare
 
@@ -10,6 +12,7 @@ from ridgeline import catalogue as Q
 from ridgeline.config import Projection
 from ridgeline.operators import pool as P
 from ridgeline.operators import profile as R
+from ridgeline.operators import similar as N
 from ridgeline.operators import state as S
 
 
@@ -100,3 +103,27 @@ def test_files_of_streams_grow_in_number_not_in_size(spark, sf, name, monkeypatc
     for t in ("lineitem", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     compare(out, Q.ORACLE[name], con)
+
+
+def test_similar_vectors_with_ties_copies_and_odd_ones(spark, monkeypatch):
+    """Against all pairs: copies that tie, several chunks and blocks, and vectors that are null, short or not finite."""
+    monkeypatch.setattr(N, "CHUNK", 40)
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(300)]
+    rows = [(i, rows[i % 7][1] if i % 3 == 0 else v) for i, v in rows]
+    rows += [(300, None), (400, [1.0, 2.0]), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0]), (500, [float("nan")] * 6), (None, [9.0] * 6)]
+    d = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    q = d.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    w = Window.partitionBy("q").orderBy(F.desc("dot"), "vec_id")
+    want = d.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", dot.alias("dot")).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    got = N.most_similar(d, q, 5)
+    key = lambda r: (r.q, r.rank, r.vec_id)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() == 18 * 5
+
+
+def test_similar_vectors_meet_block_by_block(spark, sf):
+    """No join of single vectors with single queries does the regular ones."""
+    plan = Q.embedding_knn(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
